@@ -200,3 +200,468 @@ def q_f21(spark, sf_dir):
                        F.sum(F.when(F.col("enhanced_aml_score") >= 6.0, 1).otherwise(0)).cast("bigint").alias("n_enhanced"))
         out = agg if out is None else out.unionByName(agg)
     return out
+
+
+# ---------------------------------------------------------------- scoring and alerts
+from riskweave.operators import alerts as A  # noqa: E402
+from riskweave.operators import banks as B  # noqa: E402
+from riskweave.operators import network as N  # noqa: E402
+
+
+def _sc(body: str) -> str:
+    return O.scored_query(body)
+
+
+@register("q_a1_percentile_score", _sc("SELECT transaction_id, native_score, aml_score FROM scored"))
+def q_a1(spark, sf_dir):
+    return scored_table(spark, sf_dir).select("transaction_id", "native_score", "aml_score")
+
+
+@register("q_a2_policy_native", _sc("SELECT transaction_id, native_score FROM scored WHERE anomaly_label = 1"))
+def q_a2(spark, sf_dir):
+    s = scored_table(spark, sf_dir)
+    cut, _ = A.policy_cut(s, "native", contamination=DEFAULT_CONFIG.contamination)
+    return A.apply_policy(s, cut, out_col="_p").where(F.col("_p") == 1).select("transaction_id", "native_score")
+
+
+@register("q_a3_policy_manual", _sc("SELECT transaction_id, native_score FROM scored WHERE native_score >= 0.9999"))
+def q_a3(spark, sf_dir):
+    s = scored_table(spark, sf_dir)
+    cut, _ = A.policy_cut(s, "manual", manual_cutoff=0.9999)
+    return A.apply_policy(s, cut, out_col="_p").where(F.col("_p") == 1).select("transaction_id", "native_score")
+
+
+@register("q_a4_policy_topk", _sc(
+    "SELECT transaction_id, native_score FROM scored "
+    "WHERE native_score >= (SELECT quantile_cont(native_score, 0.98) FROM scored)"))
+def q_a4(spark, sf_dir):
+    s = scored_table(spark, sf_dir)
+    cut, _ = A.policy_cut(s, "topk", topk_pct=2.0)
+    return A.apply_policy(s, cut, out_col="_p").where(F.col("_p") == 1).select("transaction_id", "native_score")
+
+
+@register("q_a5_flag_enhanced", _sc("SELECT transaction_id, enhanced_aml_score, flagged_by_enhanced FROM scored"))
+def q_a5(spark, sf_dir):
+    return scored_table(spark, sf_dir).select("transaction_id", "enhanced_aml_score", "flagged_by_enhanced")
+
+
+@register("q_a6_flag_indicators", _sc(
+    "SELECT transaction_id, high_weight_indicator_count, flagged_by_indicators FROM scored"))
+def q_a6(spark, sf_dir):
+    return scored_table(spark, sf_dir).select("transaction_id", "high_weight_indicator_count", "flagged_by_indicators")
+
+
+_A7 = ["transaction_id", "anomaly_label", "flagged_by_model", "flagged_by_enhanced", "flagged_by_indicators", "is_flagged"]
+
+
+@register("q_a7_combine_flags", _sc("SELECT " + ", ".join(_A7) + " FROM scored"))
+def q_a7(spark, sf_dir):
+    return scored_table(spark, sf_dir).select(*_A7)
+
+
+_KPI_SQL = ("count(*) AS n_transactions, CAST(sum(is_flagged) AS BIGINT) AS n_flagged, "
+            "round(sum(is_flagged) * 100.0 / count(*), 6) AS flagged_rate_pct, round(avg(aml_score), 6) AS avg_aml_score")
+
+
+@register("q_a9_kpis", _sc(f"SELECT {_KPI_SQL} FROM scored"))
+def q_a9(spark, sf_dir):
+    k = A.kpis(scored_table(spark, sf_dir))
+    return k.select("n_transactions", "n_flagged", r6("flagged_rate_pct"), r6("avg_aml_score"))
+
+
+@register("q_a10_quality_assessment", _sc(f"""
+SELECT n_transactions, n_flagged, flagged_rate_pct, avg_aml_score, round(score_std, 6) AS score_std,
+       CASE WHEN rate BETWEEN 0.1 AND 3.0 THEN 'good' WHEN rate > 3.0 AND rate <= 5.0 THEN 'acceptable'
+            WHEN rate < 0.1 THEN 'low' ELSE 'check_threshold' END AS rate_band,
+       CASE WHEN avg_raw >= 0.6 THEN 'tail_heavy' WHEN avg_raw <= 0.4 THEN 'tail_light' ELSE 'balanced' END AS score_band,
+       CASE WHEN n_flagged <= n_transactions * 0.02 * 1.5 THEN 'expected' ELSE 'many_flagged' END AS volume_band,
+       CASE WHEN score_std > 0.15 THEN 'good_separation' ELSE 'low_variance' END AS spread_band
+FROM (SELECT {_KPI_SQL}, sum(is_flagged) * 100.0 / count(*) AS rate, avg(aml_score) AS avg_raw,
+             stddev_samp(aml_score) AS score_std FROM scored) k"""))
+def q_a10(spark, sf_dir):
+    q = A.quality_assessment(scored_table(spark, sf_dir))
+    return q.select("n_transactions", "n_flagged", r6("flagged_rate_pct"), r6("avg_aml_score"), r6("score_std"),
+                    "rate_band", "score_band", "volume_band", "spread_band")
+
+
+@register("q_a11_flag_breakdown", _sc("""
+SELECT method, n_flagged, round(n_flagged * 100.0 / n, 6) AS pct FROM (
+  SELECT 'enhanced_score' AS method, CAST(sum(flagged_by_enhanced) AS BIGINT) AS n_flagged, count(*) AS n FROM scored
+  UNION ALL SELECT 'high_weight_indicators', CAST(sum(flagged_by_indicators) AS BIGINT), count(*) FROM scored
+  UNION ALL SELECT 'model_policy', CAST(sum(flagged_by_model) AS BIGINT), count(*) FROM scored
+  UNION ALL SELECT 'unique_total', CAST(sum(is_flagged) AS BIGINT), count(*) FROM scored) t"""))
+def q_a11(spark, sf_dir):
+    return A.flag_breakdown(scored_table(spark, sf_dir)).select("method", "n_flagged", r6("pct"))
+
+
+_TOP = ", ".join(A.TOP_COLUMNS)
+
+
+@register("q_a12_top_suspicious", _sc(f"SELECT {_TOP} FROM scored ORDER BY aml_score DESC, transaction_id LIMIT 5"))
+def q_a12(spark, sf_dir):
+    return A.top_suspicious(scored_table(spark, sf_dir), 5)
+
+
+def _reasons_sql() -> str:
+    parts = ", ".join(f"CASE WHEN {col} = 1 THEN '{txt}' END" for col, _, txt in A.reason_catalog())
+    n = " + ".join(f"CASE WHEN {col} = 1 THEN 1 ELSE 0 END" for col, _, _ in A.reason_catalog())
+    return (f"SELECT transaction_id, concat_ws('; ', {parts}) AS reasons, CAST({n} AS INTEGER) AS n_reasons "
+            f"FROM scored WHERE is_flagged = 1")
+
+
+@register("q_a13_explain_flags", _sc(_reasons_sql()))
+def q_a13(spark, sf_dir):
+    return A.explain_flags(scored_table(spark, sf_dir)).select("transaction_id", "reasons", "n_reasons")
+
+
+@register("q_a13_reason_counts", _sc(" UNION ALL ".join(
+    f"SELECT '{code}' AS reason, count(*) AS n_rows FROM scored WHERE is_flagged = 1 AND {col} = 1 "
+    f"HAVING count(*) > 0" for col, code, _ in A.reason_catalog())))
+def q_a13b(spark, sf_dir):
+    return A.reason_counts(scored_table(spark, sf_dir))
+
+
+def _hist_sql(col: str) -> str:
+    return f"""SELECT bin, count(*) AS n, round(min(lo) + bin * min(w), 6) AS bin_start FROM (
+  SELECT CAST(CASE WHEN mx > mn THEN least(floor(({col} - mn) / (mx - mn) * 50), 49) ELSE 0 END AS INTEGER) AS bin,
+         mn AS lo, CASE WHEN mx > mn THEN (mx - mn) / 50 ELSE 0.0 END AS w
+  FROM scored CROSS JOIN (SELECT min({col}) AS mn, max({col}) AS mx FROM scored) m) t GROUP BY bin"""
+
+
+@register("q_a14_score_histogram", _sc(_hist_sql("aml_score")))
+def q_a14(spark, sf_dir):
+    return A.histogram(scored_table(spark, sf_dir), "aml_score").select("bin", "n", r6("bin_start"))
+
+
+@register("q_a14_amount_histogram", _sc(_hist_sql("amount")))
+def q_a14b(spark, sf_dir):
+    return A.histogram(scored_table(spark, sf_dir), "amount").select("bin", "n", r6("bin_start"))
+
+
+@register("q_a17_config_diagnostic", _sc(
+    f"SELECT {_KPI_SQL.replace(', round(avg(aml_score), 6) AS avg_aml_score', '')}, 1.0 AS contamination_pct, "
+    "'native' AS policy FROM scored"))
+def q_a17(spark, sf_dir):
+    d = A.config_diagnostic(scored_table(spark, sf_dir), DEFAULT_CONFIG, "native")
+    return d.select("n_transactions", "n_flagged", r6("flagged_rate_pct"), "contamination_pct", "policy")
+
+
+# ---------------------------------------------------------------- banks
+def _role_sql(role: str, where: str, min_tx: int) -> str:
+    return (f"SELECT {role}_bank AS bank, '{role}' AS role, count(*) AS total_transactions, sum(amount) AS total_amount, "
+            f"avg(aml_score) AS avg_aml_score, max(aml_score) AS max_aml_score, "
+            f"CAST(sum(anomaly_label) AS BIGINT) AS flagged_transactions FROM scored "
+            f"WHERE {role}_bank IS NOT NULL {where} GROUP BY {role}_bank HAVING count(*) >= {min_tx}")
+
+
+def _roles_sql(min_tx: int, country: str | None) -> str:
+    parts = []
+    for role in ("sender", "receiver"):
+        where = f"AND upper({role}_country) = '{country}'" if country else ""
+        parts.append(_role_sql(role, where, min_tx))
+    return " UNION ALL ".join(parts)
+
+
+_ROLE_OUT = ["bank", "role", "total_transactions", "flagged_transactions", "max_aml_score"]
+
+
+def _role_out(df):
+    return df.select(*_ROLE_OUT, r6("total_amount"), r6("avg_aml_score"))
+
+
+_ROLE_OUT_SQL = ", ".join(_ROLE_OUT) + ", round(total_amount, 6) AS total_amount, round(avg_aml_score, 6) AS avg_aml_score"
+
+
+@register("q_b1_bank_role_metrics", _sc(f"SELECT {_ROLE_OUT_SQL} FROM ({_roles_sql(10, None)}) r"))
+def q_b1(spark, sf_dir):
+    return _role_out(B.union_roles(scored_table(spark, sf_dir), min_transactions=10))
+
+
+@register("q_b2_focus_country_filter", _sc(
+    "SELECT transaction_id, sender_country, receiver_country FROM scored "
+    "WHERE upper(sender_country) = 'XK' OR upper(receiver_country) = 'XK'"))
+def q_b2(spark, sf_dir):
+    return B.focus_country_filter(scored_table(spark, sf_dir), "XK").select(
+        "transaction_id", "sender_country", "receiver_country")
+
+
+@register("q_b3_union_roles", _sc(f"SELECT {_ROLE_OUT_SQL} FROM ({_roles_sql(3, 'XK')}) r"))
+def q_b3(spark, sf_dir):
+    s = B.focus_country_filter(scored_table(spark, sf_dir), "XK")
+    return _role_out(B.union_roles(s, min_transactions=3, country="XK"))
+
+
+def _risk_sql(min_tx: int, country: str | None) -> str:
+    return f"""SELECT bank, total_transactions, flagged_transactions, avg_aml_score, max_aml_score, total_amount,
+       flagged_transactions * 100.0 / total_transactions AS flagged_percent,
+       flagged_transactions * 100.0 / total_transactions * 0.4 + avg_aml_score * 100 * 0.3 + max_aml_score * 100 * 0.3 AS risk_score
+FROM (SELECT bank, CAST(sum(total_transactions) AS BIGINT) AS total_transactions,
+             CAST(sum(flagged_transactions) AS BIGINT) AS flagged_transactions, avg(avg_aml_score) AS avg_aml_score,
+             max(max_aml_score) AS max_aml_score, sum(total_amount) AS total_amount
+      FROM ({_roles_sql(min_tx, country)}) r GROUP BY bank) g"""
+
+
+_RISK_OUT = ["bank", "total_transactions", "flagged_transactions", "max_aml_score"]
+_RISK_R6 = ["avg_aml_score", "total_amount", "flagged_percent", "risk_score"]
+_RISK_OUT_SQL = ", ".join(_RISK_OUT) + ", " + ", ".join(f"round({c}, 6) AS {c}" for c in _RISK_R6)
+
+
+def _risk_out(df, rank=False):
+    return df.select(*_RISK_OUT, *[r6(c) for c in _RISK_R6], *(["rank"] if rank else []))
+
+
+def _ranked_sql(min_tx: int, country: str | None, top: int | None) -> str:
+    lim = f"WHERE rank <= {top}" if top else ""
+    return (f"SELECT {_RISK_OUT_SQL}, rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY flagged_transactions > 0 DESC, "
+            f"flagged_transactions DESC, risk_score DESC, bank) AS INTEGER) AS rank FROM ({_risk_sql(min_tx, country)}) x) y {lim}")
+
+
+@register("q_b4_bank_risk", _sc(f"SELECT {_RISK_OUT_SQL} FROM ({_risk_sql(3, 'XK')}) x"))
+def q_b4(spark, sf_dir):
+    s = B.focus_country_filter(scored_table(spark, sf_dir), "XK")
+    return _risk_out(B.bank_risk(B.union_roles(s, min_transactions=3, country="XK")))
+
+
+@register("q_b5_rank_banks", _sc(_ranked_sql(10, None, None)))
+def q_b5(spark, sf_dir):
+    return _risk_out(B.all_banks(scored_table(spark, sf_dir), min_transactions=10, top_n=None), rank=True)
+
+
+@register("q_b6_focus_country_banks", _sc(_ranked_sql(5, "XK", None)))
+def q_b6(spark, sf_dir):
+    return _risk_out(B.focus_country_banks(scored_table(spark, sf_dir), "XK", min_transactions=5), rank=True)
+
+
+@register("q_b7_all_banks", _sc(_ranked_sql(10, None, 20)))
+def q_b7(spark, sf_dir):
+    return _risk_out(B.all_banks(scored_table(spark, sf_dir), min_transactions=10, top_n=20), rank=True)
+
+
+@register("q_b9_bank_chart_data", _sc(
+    f"SELECT bank, round(risk_score, 6) AS metric_value, total_transactions, flagged_transactions, "
+    f"round(flagged_percent, 6) AS flagged_percent, round(avg_aml_score, 6) AS avg_aml_score, "
+    f"round(total_amount, 6) AS total_amount FROM ({_risk_sql(10, None)}) x ORDER BY risk_score DESC, bank LIMIT 15"))
+def q_b9(spark, sf_dir):
+    m = B.all_banks(scored_table(spark, sf_dir), min_transactions=10, top_n=None)
+    return B.bank_chart_data(m, "risk_score", 15).select(
+        "bank", r6("metric_value"), "total_transactions", "flagged_transactions", r6("flagged_percent"),
+        r6("avg_aml_score"), r6("total_amount"))
+
+
+@register("q_b10_bank_comparison_data", _sc(
+    f"""SELECT bank, measure, round(value, 6) AS value FROM (
+  SELECT bank, 'flagged_percent' AS measure, flagged_percent AS value FROM t
+  UNION ALL SELECT bank, 'avg_score_x100', avg_aml_score * 100 FROM t) u""".replace(
+        "FROM t", f"FROM (SELECT * FROM ({_risk_sql(10, None)}) x ORDER BY risk_score DESC, bank LIMIT 10) t")))
+def q_b10(spark, sf_dir):
+    m = B.all_banks(scored_table(spark, sf_dir), min_transactions=10, top_n=None)
+    return B.bank_comparison_data(m, 10).select("bank", "measure", r6("value"))
+
+
+def _country_sql(side: str) -> str:
+    return (f"SELECT {side}_country AS country, count(*) AS n_flagged FROM scored WHERE anomaly_label = 1 "
+            f"GROUP BY {side}_country ORDER BY n_flagged DESC, country LIMIT 10")
+
+
+@register("q_b11_fraud_sender_countries", _sc(_country_sql("sender")))
+def q_b11s(spark, sf_dir):
+    return B.fraud_country_counts(scored_table(spark, sf_dir), "sender")
+
+
+@register("q_b11_fraud_receiver_countries", _sc(_country_sql("receiver")))
+def q_b11r(spark, sf_dir):
+    return B.fraud_country_counts(scored_table(spark, sf_dir), "receiver")
+
+
+@register("q_b12_fraud_scatter_sample", _sc(
+    "SELECT transaction_id, amount, aml_score, enhanced_aml_score FROM scored WHERE anomaly_label = 1 "
+    "ORDER BY transaction_id LIMIT 500"))
+def q_b12(spark, sf_dir):
+    return B.fraud_scatter_sample(scored_table(spark, sf_dir), 500)
+
+
+# ---------------------------------------------------------------- network
+NET_SCORE, NET_THR, NET_LIMIT = "aml_score", 0.99, 400
+
+_SEL_CTES = f"""fl AS (SELECT * FROM scored WHERE aml_score >= {NET_THR}),
+nf AS (SELECT count(*) AS c FROM fl),
+nm AS (SELECT * FROM scored WHERE aml_score < {NET_THR}),
+sel_f AS (SELECT * FROM fl WHERE (SELECT c FROM nf) < {NET_LIMIT}
+          UNION ALL
+          SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY aml_score DESC, transaction_id) AS rn FROM fl) z
+          WHERE (SELECT c FROM nf) >= {NET_LIMIT} AND rn <= {NET_LIMIT}),
+acc AS (SELECT CAST(sender_id AS VARCHAR) AS a FROM fl UNION SELECT CAST(receiver_id AS VARCHAR) FROM fl),
+ctx AS (SELECT * FROM (
+          SELECT *, row_number() OVER (ORDER BY aml_score DESC, amount DESC, transaction_id) AS rn FROM nm
+          WHERE CAST(sender_id AS VARCHAR) IN (SELECT a FROM acc) OR CAST(receiver_id AS VARCHAR) IN (SELECT a FROM acc)) z
+        WHERE (SELECT c FROM nf) < {NET_LIMIT} AND rn <= {NET_LIMIT} - (SELECT c FROM nf)),
+fil AS (SELECT * FROM (
+          SELECT *, row_number() OVER (ORDER BY aml_score DESC, transaction_id) AS rn FROM nm
+          WHERE transaction_id NOT IN (SELECT transaction_id FROM ctx)) z
+        WHERE (SELECT c FROM nf) < {NET_LIMIT} AND rn <= {NET_LIMIT} - (SELECT c FROM nf) - (SELECT count(*) FROM ctx)),
+sel AS (SELECT transaction_id, sender_id, receiver_id, amount, sender_bank, receiver_bank, aml_score, "timestamp" FROM sel_f
+        UNION ALL SELECT transaction_id, sender_id, receiver_id, amount, sender_bank, receiver_bank, aml_score, "timestamp" FROM ctx
+        UNION ALL SELECT transaction_id, sender_id, receiver_id, amount, sender_bank, receiver_bank, aml_score, "timestamp" FROM fil)"""
+
+
+def _net_sql(body: str, source: str = "scored") -> str:
+    ep = f"""ep AS (SELECT CAST(transaction_id AS VARCHAR) AS transaction_id,
+              coalesce(nullif(trim(CAST(sender_id AS VARCHAR)), ''), 'S_' || CAST(transaction_id AS VARCHAR)) AS src,
+              coalesce(nullif(trim(CAST(receiver_id AS VARCHAR)), ''), 'R_' || CAST(transaction_id AS VARCHAR)) AS dst,
+              coalesce(TRY_CAST(amount AS DOUBLE), 0.0) AS amount,
+              coalesce(nullif(trim(sender_bank), ''), 'Unknown') AS sender_bank,
+              coalesce(nullif(trim(receiver_bank), ''), 'Unknown') AS receiver_bank,
+              coalesce(TRY_CAST({NET_SCORE} AS DOUBLE), 0.0) AS score, "timestamp" FROM {source}),
+ed AS (SELECT src, dst, count(*) AS weight, sum(amount) AS total_amount, max(score) AS max_score FROM ep GROUP BY src, dst),
+ends AS (SELECT src AS account, 0 AS in_degree, 1 AS out_degree, 0.0 AS amount_in, total_amount AS amount_out,
+                weight AS tx, max_score, CAST(max_score >= {NET_THR} AS INTEGER) AS fl FROM ed
+         UNION ALL
+         SELECT dst, 1, 0, total_amount, 0.0, weight, max_score, CAST(max_score >= {NET_THR} AS INTEGER) FROM ed),
+deg AS (SELECT account, CAST(sum(in_degree) AS BIGINT) AS in_degree, CAST(sum(out_degree) AS BIGINT) AS out_degree,
+               CAST(sum(in_degree) + sum(out_degree) AS BIGINT) AS degree FROM ends GROUP BY account)"""
+    return O.with_chain(O.txn_cte(), O.clean_ctes("txn", O.TXN_COLUMNS), O.feature_ctes(),
+                        O.scored_ctes(DEFAULT_CONFIG.contamination), _SEL_CTES, ep, body=body)
+
+
+def _sel(spark, sf_dir):
+    return N.select_for_network(scored_table(spark, sf_dir), NET_SCORE, NET_THR, NET_LIMIT)
+
+
+@register("q_n2_select_flagged", _net_sql("SELECT transaction_id, aml_score FROM sel_f"))
+def q_n2(spark, sf_dir):
+    return _sel(spark, sf_dir).flagged.select("transaction_id", "aml_score")
+
+
+@register("q_n3_select_context", _net_sql("SELECT transaction_id, aml_score FROM ctx"))
+def q_n3(spark, sf_dir):
+    return _sel(spark, sf_dir).context.select("transaction_id", "aml_score")
+
+
+@register("q_n4_select_filler", _net_sql("SELECT transaction_id, aml_score FROM fil"))
+def q_n4(spark, sf_dir):
+    return _sel(spark, sf_dir).filler.select("transaction_id", "aml_score")
+
+
+@register("q_n5_selection_counts", _net_sql(
+    "SELECT (SELECT count(*) FROM sel) AS selected_total, (SELECT count(*) FROM sel_f) AS selected_fraud, "
+    "(SELECT count(*) FROM sel) - (SELECT count(*) FROM sel_f) AS selected_context, "
+    "(SELECT count(*) FROM scored) AS total_transactions_in_df, (SELECT c FROM nf) AS flagged_transactions_in_df"))
+def q_n5(spark, sf_dir):
+    return _sel(spark, sf_dir).counts
+
+
+def _ep(spark, sf_dir):
+    return N.resolve_endpoints(scored_table(spark, sf_dir), NET_SCORE)
+
+
+@register("q_n6_resolve_endpoints", _net_sql(
+    "SELECT transaction_id, src, dst, amount, sender_bank, receiver_bank, score FROM ep"))
+def q_n6(spark, sf_dir):
+    return _ep(spark, sf_dir).drop("timestamp")
+
+
+@register("q_n7_edges", _net_sql("SELECT src, dst, weight, round(total_amount, 6) AS total_amount, max_score FROM ed"))
+def q_n7(spark, sf_dir):
+    return N.edges(_ep(spark, sf_dir)).select("src", "dst", "weight", r6("total_amount"), "max_score")
+
+
+@register("q_n8_edge_recent_tx", _net_sql(
+    "SELECT src, dst, pos, transaction_id FROM (SELECT src, dst, transaction_id, CAST(row_number() OVER "
+    "(PARTITION BY src, dst ORDER BY \"timestamp\" DESC NULLS LAST, transaction_id DESC) AS INTEGER) AS pos FROM ep) z "
+    "WHERE pos <= 6"))
+def q_n8(spark, sf_dir):
+    return N.edge_recent_tx(_ep(spark, sf_dir), 6).select("src", "dst", "pos", "transaction_id")
+
+
+@register("q_n9_degrees", _net_sql("SELECT * FROM deg"))
+def q_n9(spark, sf_dir):
+    return N.degrees(N.edges(_ep(spark, sf_dir)))
+
+
+@register("q_n10_node_stats", _net_sql(
+    "SELECT account, CAST(sum(in_degree) AS BIGINT) AS in_degree, CAST(sum(out_degree) AS BIGINT) AS out_degree, "
+    "round(sum(amount_in), 6) AS amount_in, round(sum(amount_out), 6) AS amount_out, "
+    "CAST(sum(tx) AS BIGINT) AS transactions, greatest(max(max_score), 0.0) AS max_edge_score, "
+    "CAST(sum(fl) AS BIGINT) AS flagged_edges, CAST(sum(fl) > 0 AS INTEGER) AS touches_flagged "
+    "FROM ends GROUP BY account"))
+def q_n10(spark, sf_dir):
+    ns = N.node_stats(N.edges(_ep(spark, sf_dir)), NET_THR)
+    return ns.select("account", "in_degree", "out_degree", r6("amount_in"), r6("amount_out"), "transactions",
+                     "max_edge_score", "flagged_edges", "touches_flagged")
+
+
+@register("q_n11_flagged_edges", _net_sql(f"SELECT src, dst, weight, max_score FROM ed WHERE max_score >= {NET_THR}"))
+def q_n11(spark, sf_dir):
+    return N.flagged_edges(N.edges(_ep(spark, sf_dir)), NET_THR).select("src", "dst", "weight", "max_score")
+
+
+_COMP_CTE = """ue AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed),
+reach(node, lbl) AS (SELECT a, a FROM ue
+                     UNION
+                     SELECT ue.b, reach.lbl FROM reach JOIN ue ON reach.node = ue.a WHERE reach.lbl < ue.b),
+comp AS (SELECT node, min(lbl) AS component FROM reach GROUP BY node)"""
+
+
+def _net_sql_with_comp(body: str) -> str:
+    base = _net_sql("__BODY__")
+    head, _ = base.rsplit("__BODY__", 1)
+    head = head.rstrip()
+    if head.endswith("SELECT"):
+        head = head[: -len("SELECT")]
+    return "WITH RECURSIVE " + head[len("WITH "):].rstrip() + ",\n" + _COMP_CTE + "\n" + body
+
+
+_METRICS_SQL = f"""SELECT (SELECT count(*) FROM deg) AS n_nodes, count(*) AS n_edges,
+       CASE WHEN (SELECT count(*) FROM deg) > 0 THEN count(*) * 2.0 / (SELECT count(*) FROM deg) ELSE 0.0 END AS average_degree,
+       CASE WHEN (SELECT count(*) FROM deg) > 1 THEN count(*) / ((SELECT count(*) FROM deg) * ((SELECT count(*) FROM deg) - 1.0)) ELSE 0.0 END AS density,
+       count(CASE WHEN max_score >= {NET_THR} THEN 1 END) AS num_fraud_edges,
+       round(coalesce(sum(total_amount), 0.0), 6) AS total_amount, CAST({NET_THR} AS DOUBLE) AS score_threshold_used,
+       '{NET_SCORE}' AS score_column_used,
+       (SELECT count(DISTINCT component) FROM comp) AS n_connected_components FROM ed"""
+
+
+def _metrics_out(df):
+    return df.select("n_nodes", "n_edges", "average_degree", "density", "num_fraud_edges", r6("total_amount"),
+                     "score_threshold_used", "score_column_used", "n_connected_components")
+
+
+@register("q_n12_network_metrics", _net_sql_with_comp(_METRICS_SQL))
+def q_n12(spark, sf_dir):
+    net = N.transaction_network(scored_table(spark, sf_dir), NET_SCORE, NET_THR, limit=None)
+    return _metrics_out(net.metrics)
+
+
+@register("q_n13_components", _net_sql_with_comp("SELECT node, component FROM comp"))
+def q_n13(spark, sf_dir):
+    from riskweave.operators.components import connected_components
+    return connected_components(N.edges(_ep(spark, sf_dir)))
+
+
+@register("q_n14_top_hubs", _net_sql("SELECT * FROM deg ORDER BY degree DESC, account LIMIT 10"))
+def q_n14(spark, sf_dir):
+    return N.top_hubs(N.degrees(N.edges(_ep(spark, sf_dir))), 10)
+
+
+@register("q_n15_flow_roles", _net_sql("""SELECT account, role, in_degree, out_degree, degree,
+       CAST(row_number() OVER (PARTITION BY role ORDER BY degree DESC, account) AS BIGINT) AS role_position,
+       CASE role WHEN 'source' THEN -1.0 WHEN 'sink' THEN 1.0 ELSE 0.0 END AS x,
+       round(CASE WHEN count(*) OVER (PARTITION BY role) <= 1 THEN 0.0
+            ELSE (row_number() OVER (PARTITION BY role ORDER BY degree DESC, account) - 1)
+                 / (count(*) OVER (PARTITION BY role) - 1) * 2.0 - 1.0 END, 9) AS y
+FROM (SELECT *, CASE WHEN out_degree > in_degree THEN 'source' WHEN out_degree < in_degree THEN 'sink'
+                     ELSE 'middle' END AS role FROM deg) d"""))
+def q_n15(spark, sf_dir):
+    fr = N.flow_roles(N.degrees(N.edges(_ep(spark, sf_dir))))
+    return fr.select("account", "role", "in_degree", "out_degree", "degree", "role_position", "x",
+                     F.round("y", 9).alias("y"))
+
+
+def _sel_net_sql(body: str) -> str:
+    base = _net_sql_with_comp(body)
+    return base.replace('"timestamp" FROM scored),\ned AS', '"timestamp" FROM sel),\ned AS', 1)
+
+
+@register("q_n16_transaction_network", _sel_net_sql(_METRICS_SQL))
+def q_n16(spark, sf_dir):
+    net = N.transaction_network(scored_table(spark, sf_dir), NET_SCORE, NET_THR, limit=NET_LIMIT)
+    return _metrics_out(net.metrics)
