@@ -665,3 +665,242 @@ def _sel_net_sql(body: str) -> str:
 def q_n16(spark, sf_dir):
     net = N.transaction_network(scored_table(spark, sf_dir), NET_SCORE, NET_THR, limit=NET_LIMIT)
     return _metrics_out(net.metrics)
+
+
+# ---------------------------------------------------------------- models
+import uuid  # noqa: E402
+
+from riskweave.operators.models import autoencoder as AE  # noqa: E402
+from riskweave.operators.models import iforest as IF  # noqa: E402
+from riskweave.operators.models import thresholds as TH  # noqa: E402
+from riskweave.operators.models.matrix import feature_matrix  # noqa: E402
+from riskweave.operators.models.pca import fit_pca, pca_reconstruction_error  # noqa: E402
+from riskweave.operators.models.scalers import fit_robust, fit_standard  # noqa: E402
+from riskweave.session import ensure_checkpoint_dir, read_table  # noqa: E402
+
+# F19 over the features table: amount + every numeric feature column.
+MODEL_FEATURES = ["amount"] + [c for c in O.FEATURE_COLUMNS if c != "date"]
+
+
+def scratch_dir(spark) -> str:
+    """A fresh folder under the session's shared checkpoint directory."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskweave-{uuid.uuid4().hex[:12]}"
+
+
+@register("q_m1_feature_matrix", O.features_query(
+    "SELECT transaction_id, " + str(len(MODEL_FEATURES)) + " AS n_features, round(" +
+    " + ".join(f"CAST({c} AS DOUBLE)" for c in MODEL_FEATURES) + ", 6) AS feature_sum FROM feat"))
+def q_m1(spark, sf_dir):
+    m = feature_matrix(features_table(spark, sf_dir), MODEL_FEATURES, keep=["transaction_id"])
+    return m.select("transaction_id", F.size("x").alias("n_features"),
+                    F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 6).alias("feature_sum"))
+
+
+def _scaler_sql(kind: str) -> str:
+    parts = []
+    for c in MODEL_FEATURES:
+        if kind == "robust":
+            parts.append(f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.5), 6) AS center, "
+                         f"round(CASE WHEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) = 0 THEN 1.0 "
+                         f"ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END, 6) AS scale FROM feat")
+        else:
+            parts.append(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS center, "
+                         f"round(CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1.0 ELSE stddev_pop({c}) END, 6) "
+                         f"AS scale FROM feat")
+    return O.features_query(" UNION ALL ".join(parts))
+
+
+def _scaler_frame(spark, sc):
+    return spark.createDataFrame(sc.to_rows(), "feature string, center double, scale double") \
+        .select("feature", r6("center"), r6("scale"))
+
+
+@register("q_m2_robust_scale", _scaler_sql("robust"))
+def q_m2(spark, sf_dir):
+    return _scaler_frame(spark, fit_robust(features_table(spark, sf_dir), MODEL_FEATURES))
+
+
+@register("q_m3_standard_scale", _scaler_sql("standard"))
+def q_m3(spark, sf_dir):
+    return _scaler_frame(spark, fit_standard(features_table(spark, sf_dir), MODEL_FEATURES))
+
+
+def _txn_matrix(spark, sf_dir):
+    feat = features_table(spark, sf_dir)
+    sc = fit_robust(feat, MODEL_FEATURES)
+    from riskweave.session import cut_lineage
+    return cut_lineage(sc.transform(feat, keep=["transaction_id"])), sc
+
+
+@register("q_m4_iforest_fit")
+def q_m4(spark, sf_dir):
+    """Tree shapes of a 100-tree forest on the transaction features."""
+    x, _ = _txn_matrix(spark, sf_dir)
+    m = IF.fit_isolation_forest(x, "transaction_id", n_trees=100)
+    nodes = spark.createDataFrame(m.nodes, IF.NODE_SCHEMA)
+    return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"),
+                                     F.count(F.when(F.col("feature") < 0, 1)).alias("n_leaves"),
+                                     F.max("depth").alias("max_depth"), F.max("size").alias("root_size"))
+
+
+@register("q_m5_iforest_score")
+def q_m5(spark, sf_dir):
+    x, _ = _txn_matrix(spark, sf_dir)
+    m = IF.fit_isolation_forest(x, "transaction_id", n_trees=100)
+    return IF.score_isolation_forest(m, x).select("transaction_id", F.round("native_score", 9).alias("native_score"))
+
+
+@register("q_m6_contamination_threshold", _sc(
+    "SELECT round(quantile_cont(native_score, 0.99), 9) AS threshold FROM scored"))
+def q_m6(spark, sf_dir):
+    thr = TH.contamination_threshold(scored_table(spark, sf_dir), "native_score", 0.01)
+    return spark.createDataFrame([(round(thr, 9),)], "threshold double")
+
+
+@register("q_m7_calibrate_threshold", _sc(
+    "SELECT round(quantile_cont(native_score, 0.95), 9) AS threshold, 'calibration' AS threshold_source, "
+    "0.05 AS threshold_rate FROM scored".replace("0.05 AS", "CAST(0.05 AS DOUBLE) AS")))
+def q_m7(spark, sf_dir):
+    thr, md = TH.calibrate_threshold(scored_table(spark, sf_dir), "native_score", 0.05, 0.01)
+    return spark.createDataFrame([(round(thr, 9), md["threshold_source"], md["threshold_rate"])],
+                                 "threshold double, threshold_source string, threshold_rate double")
+
+
+@register("q_m8_minmax_score_label", _sc(
+    "SELECT transaction_id, round((native_score - mn) / (mx - mn), 9) AS ui_score, "
+    "CAST(native_score >= cut AS INTEGER) AS label FROM scored CROSS JOIN "
+    "(SELECT min(native_score) AS mn, max(native_score) AS mx, quantile_cont(native_score, 0.99) AS cut FROM scored) m"))
+def q_m8(spark, sf_dir):
+    out = TH.minmax_score_label(scored_table(spark, sf_dir), "native_score", None, 0.01)
+    return out.select("transaction_id", F.round("ui_score", 9).alias("ui_score"), "label")
+
+
+def _emb_matrix(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    dim = len(emb.select("embedding").first()[0])
+    flat = emb.select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(dim)])
+    sc = fit_robust(flat, [f"e{i}" for i in range(dim)])
+    from riskweave.session import cut_lineage
+    return cut_lineage(sc.transform(flat, keep=["vec_id"])), sc
+
+
+@register("q_m9_autoencoder_fit")
+def q_m9(spark, sf_dir):
+    """Training history (3 epochs here; the trainer default is 100)."""
+    x, _ = _emb_matrix(spark, sf_dir)
+    m = AE.fit_autoencoder(x, "vec_id", epochs=3)
+    return spark.createDataFrame([(h["epoch"], round(h["loss"], 6), round(h["val_loss"], 6), h["lr"]) for h in m.history],
+                                 "epoch int, loss double, val_loss double, lr double")
+
+
+@register("q_m10_reconstruction_error")
+def q_m10(spark, sf_dir):
+    x, _ = _emb_matrix(spark, sf_dir)
+    m = AE.fit_autoencoder(x, "vec_id", epochs=3)
+    return AE.reconstruction_error(m, x).select("vec_id", F.round("native_score", 9).alias("native_score"))
+
+
+@register("q_m11_pca_reconstruction")
+def q_m11(spark, sf_dir):
+    x, _ = _emb_matrix(spark, sf_dir)
+    m = fit_pca(x, "x", 8)
+    return pca_reconstruction_error(m, x).select("vec_id", F.round("native_score", 9).alias("native_score"))
+
+
+def _train(spark, sf_dir, types=("isolation_forest", "pca")):
+    from riskweave.operators.models.training import train_models
+    feat = features_table(spark, sf_dir)
+    d = scratch_dir(spark)
+    paths = train_models(feat, list(types), d, 0.01, features=MODEL_FEATURES,
+                         hyper={"isolation_forest": {"n_estimators": 100}, "pca": {"k": 8}})
+    return feat, d, paths
+
+
+@register("q_m12_save_load_model")
+def q_m12(spark, sf_dir):
+    """Scores of the saved-and-reloaded forest equal the in-memory ones."""
+    from riskweave.operators.models.artifacts import load_model, model_metadata, save_model
+    x, sc = _txn_matrix(spark, sf_dir)
+    m = IF.fit_isolation_forest(x, "transaction_id", n_trees=50)
+    path = scratch_dir(spark) + "/model_isolation_forest"
+    save_model(spark, path, m, sc, model_metadata("IsolationForest", sc, None, 0, m.params, 0.01))
+    m2, sc2, md = load_model(spark, path)
+    a = IF.score_isolation_forest(m, x).select("transaction_id", F.col("native_score").alias("a"))
+    b = IF.score_isolation_forest(m2, sc2.transform(features_table(spark, sf_dir), keep=["transaction_id"])) \
+        .select("transaction_id", F.col("native_score").alias("b"))
+    return a.join(b, "transaction_id").agg(F.count(F.lit(1)).alias("n_rows"),
+                                           F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"))
+
+
+@register("q_m14_train_models")
+def q_m14(spark, sf_dir):
+    from riskweave.operators.models.artifacts import model_registry
+    _, d, _ = _train(spark, sf_dir)
+    return model_registry(spark, d).select("model_type", "n_features", "n_samples", "contamination")
+
+
+@register("q_m15_retrain")
+def q_m15(spark, sf_dir):
+    from riskweave.operators.models.artifacts import load_metadata
+    from riskweave.operators.models.training import retrain
+    feat, _, paths = _train(spark, sf_dir, ("isolation_forest",))
+    new = retrain(spark, paths["isolation_forest"], feat.drop("year"), 0.01)
+    md = load_metadata(spark, new)
+    return spark.createDataFrame([(md["model_type"], md["n_features"], md["n_samples"], md["n_estimators"])],
+                                 "model_type string, n_features int, n_samples bigint, n_estimators int")
+
+
+@register("q_a8_score_transactions")
+def q_a8(spark, sf_dir):
+    from riskweave.plans.scoring import score_transactions
+    feat, _, paths = _train(spark, sf_dir, ("isolation_forest",))
+    scored, _ = score_transactions(spark, paths["isolation_forest"], feat, "native")
+    return scored.select("transaction_id", F.round("native_score", 9).alias("native_score"),
+                         F.round("aml_score", 9).alias("aml_score"), *A.SCORE_COLUMNS[2:])
+
+
+# ---------------------------------------------------------------- sources and sinks
+@register("q_s1_read_transactions", O.with_chain(O.txn_raw_cte(), body="SELECT * FROM txn_raw"))
+def q_s1(spark, sf_dir):
+    """Round trip of the raw upload through CSV text (header row, text columns)."""
+    from riskweave.sources.readers import read_transactions
+    path = scratch_dir(spark) + "/upload.csv"
+    (fixtures.txn_raw(spark, sf_dir).write.option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_transactions(spark, path, "csv")
+
+
+@register("q_s14_mapping_report")
+def q_s14(spark, sf_dir):
+    from riskweave.sources.mapping import mapping_report
+    raw = fixtures.txn_raw(spark, sf_dir)
+    return mapping_report(spark, resolve_mapping(raw.columns), raw.columns)
+
+
+_EXPORT_COLS = [c for c in list(O.TXN_COLUMNS) + list(O.FEATURE_COLUMNS) + list(A.SCORE_COLUMNS) if c != "timestamp"]
+
+
+def _export_sql(where: str = "", drop=()) -> str:
+    cols = [f'"{c}"' for c in _EXPORT_COLS if c not in drop]
+    return _sc(f"SELECT {', '.join(cols)}, {TS_SQL} FROM scored {where}")
+
+
+def _export(spark, sf_dir, mode):
+    from riskweave.sources.sinks import export_frame
+    out = export_frame(scored_table(spark, sf_dir), mode)
+    return out.select(*[c for c in out.columns if c != "timestamp"], ts_text())
+
+
+@register("q_s15_export_all", _export_sql())
+def q_s15a(spark, sf_dir):
+    return _export(spark, sf_dir, "all")
+
+
+@register("q_s15_export_flagged", _export_sql("WHERE is_flagged = 1"))
+def q_s15f(spark, sf_dir):
+    return _export(spark, sf_dir, "flagged")
+
+
+@register("q_s15_export_original", _export_sql(drop=("aml_score", "anomaly_label", "is_flagged", "enhanced_aml_score")))
+def q_s15o(spark, sf_dir):
+    return _export(spark, sf_dir, "original")

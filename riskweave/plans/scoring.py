@@ -35,3 +35,23 @@ def scored_table(spark: SparkSession, sf_dir: str, cfg: RiskConfig = DEFAULT_CON
     feat = features_table(spark, sf_dir, cfg)
     out, _ = attach_scores(feat, surrogate_native_score(), None, cfg.contamination)
     return out
+
+
+def score_transactions(spark: SparkSession, model_path: str, df: DataFrame, policy: str = "native",
+                       manual_cutoff: float = 0.0, topk_pct: float = 1.0,
+                       contamination: float = 0.01) -> tuple[DataFrame, str]:
+    """Model native score + percentile score + policy + rule flags.
+
+    One narrow map (the model UDF over Arrow batches) plus the range shuffle
+    of the percentile rank; the model kind comes from the artifact metadata.
+    Returns (scored table, policy description)."""
+    from riskweave.operators import alerts as A
+    from riskweave.operators.models.artifacts import load_model
+    from riskweave.operators.models.training import native_scores
+    model, scaler, md = load_model(spark, model_path)
+    with_native = native_scores(model, scaler, df, keep=df.columns).drop("x")
+    ranked = A.percentile_score(with_native, "native_score", "transaction_id", "aml_score")
+    cut, text = A.policy_cut(ranked, policy, "native_score", md.get("threshold"), manual_cutoff, topk_pct,
+                             contamination)
+    out = A.combine_flags(A.flag_indicators(A.flag_enhanced(A.apply_policy(ranked, cut))))
+    return out.select(*df.columns, *A.SCORE_COLUMNS), text
