@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,10 +57,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCRATCH: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and
+    read it back: lineage is cut (a lost executor re-reads the table instead
+    of replaying the plan), and later scans get column pruning and pushdown,
+    which a checkpointed RDD would not. Never a machine-local folder."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    _SCRATCH.append(path)
+    return spark.read.parquet(path)
+
+
+def drop_scratch_tables(spark: SparkSession) -> int:
+    """Delete the tables written by ``cut_lineage`` in this process."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _SCRATCH:
+        p = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        if p.getFileSystem(conf).delete(p, True):
+            n += 1
+    return n
 
 
 def table_path(sf_dir: str, name: str) -> str:
