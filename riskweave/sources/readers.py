@@ -102,7 +102,7 @@ def read_workbooks(spark: SparkSession, glob: str) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"]):
                 head = _first_sheet_rows(content, max_rows=1)
                 for h in (head[0] if head else []):
-                    yield pd.DataFrame({"h": [str(h) if h is not None else ""]})
+                    yield pd.DataFrame({"h": pd.Series([str(h) if h is not None else ""], dtype=object)})
 
     names: list[str] = []
     for r in files.mapInPandas(headers, "h string").distinct().collect():   # header names only
@@ -119,6 +119,6 @@ def read_workbooks(spark: SparkSession, glob: str) -> DataFrame:
                     continue
                 head = [str(h) if h is not None else "" for h in rows[0]]
                 recs = [{h: (r[i] if i < len(r) else None) for i, h in enumerate(head) if h} for r in rows[1:]]
-                yield pd.DataFrame(recs, columns=names)
+                yield pd.DataFrame(recs, columns=names).astype(object)
 
     return files.mapInPandas(body, schema)

@@ -1,0 +1,98 @@
+"""Alert policies, bank roll-ups and the account network on edge frames."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from riskweave.operators import alerts as A
+from riskweave.operators import banks as B
+from riskweave.operators import network as N
+
+
+def test_top_suspicious_ties_by_id(spark):
+    df = spark.createDataFrame([(i, 0.5) for i in (5, 3, 9, 1, 7, 2)], "transaction_id long, aml_score double")
+    assert [r["transaction_id"] for r in A.top_suspicious(df, 5).collect()] == [1, 2, 3, 5, 7]
+
+
+def test_histogram_last_bin_closed(spark):
+    df = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 3, 4, 5, 5)], "a double")
+    h = {r["bin"]: r["n"] for r in A.histogram(df, "a", 5).collect()}
+    assert h == {0: 1, 1: 1, 2: 1, 3: 1, 4: 3}
+    one = spark.createDataFrame([(2.0,), (2.0,)], "a double")
+    assert [tuple(r) for r in A.histogram(one, "a", 5).select("bin", "n").collect()] == [(0, 2)]
+
+
+def test_policies_and_breakdown(spark):
+    df = spark.createDataFrame([(i, i / 100.0) for i in range(101)], "transaction_id long, native_score double")
+    cut, text = A.policy_cut(df, "topk", topk_pct=10.0)
+    assert cut == 0.9 and "top 10.0%" in text
+    cut2, _ = A.policy_cut(df, "native", trained_threshold=0.5)
+    assert cut2 == 0.5
+    flagged = A.apply_policy(df, cut).where("anomaly_label = 1").count()
+    assert flagged == 11
+
+
+def test_explain_reasons(spark):
+    df = spark.createDataFrame([(1, 1, 0, 1, 1), (2, 0, 0, 0, 0)],
+                               "transaction_id long, high_risk_sender int, near_threshold int, "
+                               "midnight_transaction int, is_flagged int")
+    r = A.explain_flags(df).collect()
+    assert len(r) == 1 and r[0]["reason_codes"] == ["high_risk_sender", "midnight"]
+    assert r[0]["reasons"].startswith("High-Risk Sender Country (Weight: 3.0); Midnight Transaction 0-6 AM")
+
+
+SCORED = ("transaction_id long, amount double, sender_bank string, receiver_bank string, "
+          "sender_country string, receiver_country string, aml_score double, anomaly_label int")
+
+
+def test_focus_country_case_blind_and_role_double_count(spark):
+    rows = [(1, 100.0, "K1", "K1", "xk", "XK", 0.9, 1),      # inside one bank: both roles
+            (2, 50.0, "K1", "D1", "XK", "DE", 0.1, 0),
+            (3, 70.0, "D1", "K2", "DE", "Xk", 0.5, 0),
+            (4, 10.0, "D1", "D2", "DE", "DE", 0.2, 0)]
+    df = spark.createDataFrame(rows, SCORED)
+    res = {r["bank"]: r for r in B.focus_country_banks(df, "XK", min_transactions=1).collect()}
+    assert set(res) == {"K1", "K2"}
+    k1 = res["K1"]
+    assert k1["total_transactions"] == 3 and k1["flagged_transactions"] == 2
+    assert abs(k1["avg_aml_score"] - ((0.9 + 0.1) / 2 + 0.9) / 2) < 1e-12      # unweighted mean of roles
+    assert k1["rank"] == 1
+    assert B.missing_columns(df.drop("aml_score"), "aml_score", "anomaly_label", True) == ["aml_score"]
+    assert B.focus_country_banks(df.drop("aml_score"), "XK").count() == 0
+
+
+def _graph(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(i, "A", "B", 10.0, 0.1, t + dt.timedelta(minutes=i)) for i in range(7)]     # 7 parallel payments
+    rows += [(10, "B", "A", 5.0, 0.9, t), (11, "C", "C", 1.0, 0.2, t),                   # reverse edge, self-loop
+             (12, "D", "E", 2.0, None, t), (13, None, "E", 3.0, 0.3, t)]                 # null score, null sender
+    return spark.createDataFrame(rows, "transaction_id long, sender_id string, receiver_id string, amount double, "
+                                       "aml_score double, timestamp timestamp_ntz")
+
+
+def test_edges_nodes_metrics(spark):
+    ep = N.resolve_endpoints(_graph(spark), "aml_score")
+    e = {(r["src"], r["dst"]): r for r in N.edges(ep).collect()}
+    assert e[("A", "B")]["weight"] == 7 and e[("D", "E")]["max_score"] == 0.0 and ("S_13", "E") in e
+    recent = N.edge_recent_tx(ep).where("src = 'A'").orderBy("pos").collect()
+    assert [r["transaction_id"] for r in recent] == ["6", "5", "4", "3", "2", "1"]
+    deg = {r["account"]: r for r in N.degrees(N.edges(ep)).collect()}
+    assert (deg["C"]["in_degree"], deg["C"]["out_degree"], deg["C"]["degree"]) == (1, 1, 2)
+    ns = {r["account"]: r for r in N.node_stats(N.edges(ep), 0.5).collect()}
+    assert ns["A"]["flagged_edges"] == 1 and ns["A"]["touches_flagged"] == 1 and ns["C"]["transactions"] == 2
+    m = N.transaction_network(_graph(spark), "aml_score", 0.5, limit=None).metrics.first()
+    assert (m["n_nodes"], m["n_edges"], m["num_fraud_edges"], m["n_connected_components"]) == (6, 5, 1, 3)
+    assert abs(m["density"] - 5 / 30) < 1e-12
+    roles = {r["account"]: r for r in N.flow_roles(N.degrees(N.edges(ep))).collect()}
+    assert roles["D"]["role"] == "source" and roles["E"]["role"] == "sink" and roles["A"]["role"] == "middle"
+
+
+def test_selection_bounded(spark):
+    df = spark.createDataFrame([(i, "s%d" % (i % 5), "r%d" % (i % 3), float(i), i / 100.0) for i in range(100)],
+                               "transaction_id long, sender_id string, receiver_id string, amount double, aml_score double")
+    sel = N.select_for_network(df, "aml_score", 0.95, 20)
+    c = sel.counts.first()
+    assert (c["selected_total"], c["selected_fraud"], c["selected_context"]) == (20, 5, 15)
+    top = N.select_for_network(df, "aml_score", 0.5, 10).flagged
+    assert [r["transaction_id"] for r in top.collect()] == list(range(99, 89, -1))
+    assert N.guess_column(["customer", "to_country", "receiver_x"], ("receiver_id",), ("to", "receiver")) == "to_country"
