@@ -37,17 +37,25 @@ def _small_star(e: DataFrame) -> DataFrame:
     return _canon(to_min.unionByName(m.select(F.col("u").alias("a"), F.col("m").alias("b"))))
 
 
+LAST_ROUNDS = [0]
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) with component = smallest node of its weak component."""
     nodes = (edges.select(F.col(src).alias("node"))
                   .unionByName(edges.select(F.col(dst).alias("node"))).distinct())
     e = cut_lineage(_canon(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))))
+    rounds = 0
     for _ in range(max_rounds):
+        rounds += 1
         nxt = cut_lineage(_small_star(_large_star(e)))
-        same = nxt.count() == e.count() and nxt.subtract(e).isEmpty()
+        # edge sets equal <=> no edge on only one side (one job, both sides are sets)
+        diff = (nxt.withColumn("_n", F.lit(1)).join(e.withColumn("_o", F.lit(1)), ["u", "v"], "full_outer")
+                   .where(F.col("_n").isNull() | F.col("_o").isNull()).isEmpty())
         e = nxt
-        if same:
+        if diff:
             break
+    LAST_ROUNDS[0] = rounds
     adj = _both(e)
     label = adj.groupBy("u").agg(F.min("v").alias("mv")).select(F.col("u").alias("node"),
                                                                   F.least("u", "mv").alias("component"))

@@ -633,8 +633,11 @@ def q_n12(spark, sf_dir):
 
 @register("q_n13_components", _net_sql_with_comp("SELECT node, component FROM comp"))
 def q_n13(spark, sf_dir):
+    """Components need only the account pairs: the cleaned table (same rows as
+    the scored one) without the scoring work."""
     from riskweave.operators.components import connected_components
-    return connected_components(N.edges(_ep(spark, sf_dir)))
+    ep = N.resolve_endpoints(C.clean(fixtures.txn(spark, sf_dir)), None)
+    return connected_components(ep.select("src", "dst").distinct(), "src", "dst")
 
 
 @register("q_n14_top_hubs", _net_sql("SELECT * FROM deg ORDER BY degree DESC, account LIMIT 10"))
