@@ -16,9 +16,12 @@ from riskweave.session import cut_lineage
 _LOW33 = (1 << 33) - 1
 
 
-def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
-                num_partitions: int | None = None) -> DataFrame:
-    """Adds ``rank_col`` = 0-based position in ascending ``order_cols`` order."""
+def global_rank(df: DataFrame, order_cols: list, rank_col: str = "rank",
+                num_partitions: int | None = None, with_total: bool = False):
+    """Adds ``rank_col`` = 0-based position in ``order_cols`` order.
+
+    With ``with_total`` returns (DataFrame, row count); the count is the sum of
+    the per-partition counts, so it costs no extra job."""
     spark = df.sparkSession
     p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(p, *order_cols)
@@ -32,15 +35,14 @@ def global_rank(df: DataFrame, order_cols: list[str], rank_col: str = "rank",
         offsets.append((pid, acc))
         acc += cnt
     off = spark.createDataFrame(offsets, "_pid int, _offset long")
-    return (ranged.join(F.broadcast(off), "_pid")
-                  .withColumn(rank_col, F.col("_offset") + F.col("_local"))
-                  .drop("_pid", "_local", "_offset"))
+    out = (ranged.join(F.broadcast(off), "_pid")
+                 .withColumn(rank_col, F.col("_offset") + F.col("_local"))
+                 .drop("_pid", "_local", "_offset"))
+    return (out, acc) if with_total else out
 
 
 def percentile_rank(df: DataFrame, score_col: str, tie_col: str, out_col: str = "aml_score") -> DataFrame:
     """A1: rank / (n - 1) by (score, tie key); 0 when n <= 1."""
-    ranked = global_rank(df, [score_col, tie_col], "_rank")
-    total = ranked.select(F.count(F.lit(1))).scalar()
-    return (ranked.withColumn(out_col, F.when(total <= 1, F.lit(0.0))
-                              .otherwise(F.col("_rank") / (total - 1)))
-                  .drop("_rank"))
+    ranked, total = global_rank(df, [score_col, tie_col], "_rank", with_total=True)
+    score = F.lit(0.0) if total <= 1 else F.col("_rank") / F.lit(float(total - 1))
+    return ranked.withColumn(out_col, score.cast("double")).drop("_rank")

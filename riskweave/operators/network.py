@@ -201,13 +201,13 @@ def network_metrics(e: DataFrame, threshold: float, score_col: str | None,
                     n_components: int | None = None) -> DataFrame:
     """Nodes, edges, mean degree, density, flagged edges, total amount."""
     ends = e.select(F.col("src").alias("a")).unionByName(e.select(F.col("dst").alias("a")))
-    n = ends.select(F.count_distinct("a")).scalar()
+    n = int(ends.select(F.count_distinct("a")).first()[0])      # one scalar, used three times
     m = e.agg(F.count(F.lit(1)).alias("n_edges"),
               F.count(F.when(F.col("max_score") >= threshold, 1)).alias("num_fraud_edges"),
               F.coalesce(F.sum("total_amount"), F.lit(0.0)).alias("total_amount"))
-    out = m.select(n.alias("n_nodes"), "n_edges",
-                   F.when(n > 0, F.col("n_edges") * 2.0 / n).otherwise(0.0).alias("average_degree"),
-                   F.when(n > 1, F.col("n_edges") / (n * (n - 1.0))).otherwise(0.0).alias("density"),
+    out = m.select(F.lit(n).cast("bigint").alias("n_nodes"), "n_edges",
+                   (F.col("n_edges") * 2.0 / n if n > 0 else F.lit(0.0)).alias("average_degree"),
+                   (F.col("n_edges") / (n * (n - 1.0)) if n > 1 else F.lit(0.0)).alias("density"),
                    "num_fraud_edges", "total_amount",
                    F.lit(float(threshold)).alias("score_threshold_used"),
                    F.lit(score_col).cast("string").alias("score_column_used"))
