@@ -720,18 +720,25 @@ def _scaler_frame(spark, sc):
 
 @register("q_m2_robust_scale", _scaler_sql("robust"))
 def q_m2(spark, sf_dir):
-    return _scaler_frame(spark, fit_robust(features_table(spark, sf_dir), MODEL_FEATURES))
+    return _scaler_frame(spark, fit_robust(_features_once(spark, sf_dir), MODEL_FEATURES))
 
 
 @register("q_m3_standard_scale", _scaler_sql("standard"))
 def q_m3(spark, sf_dir):
-    return _scaler_frame(spark, fit_standard(features_table(spark, sf_dir), MODEL_FEATURES))
+    return _scaler_frame(spark, fit_standard(_features_once(spark, sf_dir), MODEL_FEATURES))
+
+
+def _features_once(spark, sf_dir):
+    """Model queries read the feature table several times (scaler fit, matrix,
+    scoring): materialise it once."""
+    from riskweave.session import cut_lineage
+    return cut_lineage(features_table(spark, sf_dir))
 
 
 def _txn_matrix(spark, sf_dir):
-    feat = features_table(spark, sf_dir)
-    sc = fit_robust(feat, MODEL_FEATURES)
     from riskweave.session import cut_lineage
+    feat = _features_once(spark, sf_dir)
+    sc = fit_robust(feat, MODEL_FEATURES)
     return cut_lineage(sc.transform(feat, keep=["transaction_id"])), sc
 
 
@@ -812,7 +819,7 @@ def q_m11(spark, sf_dir):
 
 def _train(spark, sf_dir, types=("isolation_forest", "pca")):
     from riskweave.operators.models.training import train_models
-    feat = features_table(spark, sf_dir)
+    feat = _features_once(spark, sf_dir)
     d = scratch_dir(spark)
     paths = train_models(feat, list(types), d, 0.01, features=MODEL_FEATURES,
                          hyper={"isolation_forest": {"n_estimators": 100}, "pca": {"k": 8}})
@@ -829,7 +836,7 @@ def q_m12(spark, sf_dir):
     save_model(spark, path, m, sc, model_metadata("IsolationForest", sc, None, 0, m.params, 0.01))
     m2, sc2, md = load_model(spark, path)
     a = IF.score_isolation_forest(m, x).select("transaction_id", F.col("native_score").alias("a"))
-    b = IF.score_isolation_forest(m2, sc2.transform(features_table(spark, sf_dir), keep=["transaction_id"])) \
+    b = IF.score_isolation_forest(m2, sc2.transform(_features_once(spark, sf_dir), keep=["transaction_id"])) \
         .select("transaction_id", F.col("native_score").alias("b"))
     return a.join(b, "transaction_id").agg(F.count(F.lit(1)).alias("n_rows"),
                                            F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"))
