@@ -339,7 +339,7 @@ def q_a14b(spark, sf_dir):
 
 
 @register("q_a17_config_diagnostic", _sc(
-    f"SELECT {_KPI_SQL.replace(', round(avg(aml_score), 6) AS avg_aml_score', '')}, 1.0 AS contamination_pct, "
+    f"SELECT {_KPI_SQL.replace(', round(avg(aml_score), 6) AS avg_aml_score', '')}, CAST(1.0 AS DOUBLE) AS contamination_pct, "
     "'native' AS policy FROM scored"))
 def q_a17(spark, sf_dir):
     d = A.config_diagnostic(scored_table(spark, sf_dir), DEFAULT_CONFIG, "native")
@@ -647,7 +647,7 @@ def q_n14(spark, sf_dir):
 
 @register("q_n15_flow_roles", _net_sql("""SELECT account, role, in_degree, out_degree, degree,
        CAST(row_number() OVER (PARTITION BY role ORDER BY degree DESC, account) AS BIGINT) AS role_position,
-       CASE role WHEN 'source' THEN -1.0 WHEN 'sink' THEN 1.0 ELSE 0.0 END AS x,
+       CAST(CASE role WHEN 'source' THEN -1.0 WHEN 'sink' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS x,
        round(CASE WHEN count(*) OVER (PARTITION BY role) <= 1 THEN 0.0
             ELSE (row_number() OVER (PARTITION BY role ORDER BY degree DESC, account) - 1)
                  / (count(*) OVER (PARTITION BY role) - 1) * 2.0 - 1.0 END, 9) AS y
