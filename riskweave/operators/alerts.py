@@ -102,10 +102,10 @@ def _flag_column(df: DataFrame) -> Column:
     return F.lit(0)
 
 
-def _kpi_aggs(df: DataFrame) -> list[Column]:
+def _kpi_aggs(df: DataFrame, score_col: str = "aml_score") -> list[Column]:
     n = F.count(F.lit(1))
     f = F.coalesce(F.sum(_flag_column(df)), F.lit(0)).cast("bigint")
-    mean = F.avg("aml_score") if "aml_score" in df.columns else F.lit(None).cast("double")
+    mean = F.avg(score_col) if score_col in df.columns else F.lit(None).cast("double")
     return [n.alias("n_transactions"), f.alias("n_flagged"),
             F.when(n > 0, f * 100.0 / n).otherwise(0.0).alias("flagged_rate_pct"),
             mean.alias("avg_aml_score")]
@@ -116,10 +116,14 @@ def kpis(df: DataFrame) -> DataFrame:
     return df.agg(*_kpi_aggs(df))
 
 
-def quality_assessment(df: DataFrame) -> DataFrame:
-    """A10: rate band, mean band, expected count, spread (sample std)."""
-    std_src = F.stddev_samp("aml_score") if "aml_score" in df.columns else F.lit(None).cast("double")
-    k = df.agg(*_kpi_aggs(df), std_src.alias("score_std"))
+def quality_assessment(df: DataFrame, score_col: str = "aml_score") -> DataFrame:
+    """A10: rate band, mean band, expected count, spread (sample std).
+
+    On ``aml_score`` (a percentile rank) mean and spread are constant (about
+    0.5 and 0.289); ``score_col="native_score"`` applies the same bands to the
+    model's own score. The ``avg_aml_score`` column holds the chosen score."""
+    std_src = F.stddev_samp(score_col) if score_col in df.columns else F.lit(None).cast("double")
+    k = df.agg(*_kpi_aggs(df, score_col), std_src.alias("score_std"))
     rate = F.col("flagged_rate_pct")
     avg = F.coalesce(F.col("avg_aml_score"), F.lit(0.0))
     std = F.coalesce(F.col("score_std"), F.lit(0.0))

@@ -61,12 +61,15 @@ def union_roles(df: DataFrame, score_col: str = "aml_score", label_col: str = "a
     return parts[0].unionByName(parts[1])
 
 
-def bank_risk(roles: DataFrame) -> DataFrame:
-    """Per bank over roles; unweighted mean of role means; risk score."""
+def bank_risk(roles: DataFrame, weighted: bool = False) -> DataFrame:
+    """Per bank over roles; mean of role means (unweighted, as the
+    reference; ``weighted=True`` weights each role by its row count); risk."""
+    mean = (F.sum(F.col("avg_aml_score") * F.col("total_transactions")) / F.sum("total_transactions")
+            if weighted else F.avg("avg_aml_score"))
     g = roles.groupBy("bank").agg(
         F.sum("total_transactions").alias("total_transactions"),
         F.sum("flagged_transactions").alias("flagged_transactions"),
-        F.avg("avg_aml_score").alias("avg_aml_score"),
+        mean.alias("avg_aml_score"),
         F.max("max_aml_score").alias("max_aml_score"),
         F.sum("total_amount").alias("total_amount"))
     pct = F.col("flagged_transactions") * 100.0 / F.col("total_transactions")
@@ -92,20 +95,21 @@ def rank_banks(metrics: DataFrame, top_n: int | None = None) -> DataFrame:
 
 
 def focus_country_banks(df: DataFrame, country: str = "XK", score_col: str = "aml_score",
-                        label_col: str = "anomaly_label", min_transactions: int = 5) -> DataFrame:
+                        label_col: str = "anomaly_label", min_transactions: int = 5,
+                        weighted: bool = False) -> DataFrame:
     """B6 = B2 + B1 x 2 + B3 + B4 + B5."""
     if missing_columns(df, score_col, label_col, True):
         return df.sparkSession.createDataFrame([], BANK_SCHEMA)
     roles = union_roles(focus_country_filter(df, country), score_col, label_col, min_transactions, country)
-    return rank_banks(bank_risk(roles)).select(*[c.split()[0] for c in BANK_SCHEMA.split(", ")])
+    return rank_banks(bank_risk(roles, weighted)).select(*[c.split()[0] for c in BANK_SCHEMA.split(", ")])
 
 
 def all_banks(df: DataFrame, score_col: str = "aml_score", label_col: str = "anomaly_label",
-              min_transactions: int = 10, top_n: int | None = 20) -> DataFrame:
+              min_transactions: int = 10, top_n: int | None = 20, weighted: bool = False) -> DataFrame:
     """Same without the country filter; top_n (None = every bank)."""
     if missing_columns(df, score_col, label_col, False):
         return df.sparkSession.createDataFrame([], BANK_SCHEMA)
-    ranked = rank_banks(bank_risk(union_roles(df, score_col, label_col, min_transactions)), top_n)
+    ranked = rank_banks(bank_risk(union_roles(df, score_col, label_col, min_transactions), weighted), top_n)
     return ranked.select(*[c.split()[0] for c in BANK_SCHEMA.split(", ")])
 
 

@@ -96,3 +96,14 @@ def test_selection_bounded(spark):
     top = N.select_for_network(df, "aml_score", 0.5, 10).flagged
     assert [r["transaction_id"] for r in top.collect()] == list(range(99, 89, -1))
     assert N.guess_column(["customer", "to_country", "receiver_x"], ("receiver_id",), ("to", "receiver")) == "to_country"
+
+
+def test_weighted_bank_mean_and_native_bands(spark):
+    rows = [(1, 10.0, "K1", "K1", "XK", "XK", 0.9, 1), (2, 10.0, "K1", "D1", "XK", "DE", 0.1, 0),
+            (3, 10.0, "K1", "D1", "XK", "DE", 0.2, 0)]
+    df = spark.createDataFrame(rows, SCORED)
+    w = {r["bank"]: r for r in B.focus_country_banks(df, "XK", min_transactions=1, weighted=True).collect()}
+    # sender role: 3 rows mean 0.4; receiver role: 1 row mean 0.9 -> weighted (1.2 + 0.9) / 4
+    assert abs(w["K1"]["avg_aml_score"] - (0.4 * 3 + 0.9) / 4) < 1e-12
+    q = A.quality_assessment(df.withColumn("native_score", F.col("amount")), "native_score").first()
+    assert q["avg_aml_score"] == 10.0 and q["spread_band"] == "low_variance"
