@@ -504,7 +504,16 @@ sel AS (SELECT transaction_id, sender_id, receiver_id, amount, sender_bank, rece
         UNION ALL SELECT transaction_id, sender_id, receiver_id, amount, sender_bank, receiver_bank, aml_score, "timestamp" FROM fil)"""
 
 
-def _net_sql(body: str, source: str = "scored") -> str:
+_COMP_CTE = """ue AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed),
+reach(node, lbl) AS (SELECT a, a FROM ue
+                     UNION
+                     SELECT ue.b, reach.lbl FROM reach JOIN ue ON reach.node = ue.a WHERE reach.lbl < ue.b),
+comp AS (SELECT node, min(lbl) AS component FROM reach GROUP BY node)"""
+
+
+def _net_sql(body: str, source: str = "scored", components: bool = False) -> str:
+    """Scored fixture -> selection -> endpoints (from ``source``) -> edges ->
+    edge ends -> degrees; with ``components`` also the recursive label CTEs."""
     ep = f"""ep AS (SELECT CAST(transaction_id AS VARCHAR) AS transaction_id,
               coalesce(nullif(trim(CAST(sender_id AS VARCHAR)), ''), 'S_' || CAST(transaction_id AS VARCHAR)) AS src,
               coalesce(nullif(trim(CAST(receiver_id AS VARCHAR)), ''), 'R_' || CAST(transaction_id AS VARCHAR)) AS dst,
@@ -519,8 +528,12 @@ ends AS (SELECT src AS account, 0 AS in_degree, 1 AS out_degree, 0.0 AS amount_i
          SELECT dst, 1, 0, total_amount, 0.0, weight, max_score, CAST(max_score >= {NET_THR} AS INTEGER) FROM ed),
 deg AS (SELECT account, CAST(sum(in_degree) AS BIGINT) AS in_degree, CAST(sum(out_degree) AS BIGINT) AS out_degree,
                CAST(sum(in_degree) + sum(out_degree) AS BIGINT) AS degree FROM ends GROUP BY account)"""
-    return O.with_chain(O.txn_cte(), O.clean_ctes("txn", O.TXN_COLUMNS), O.feature_ctes(),
-                        O.scored_ctes(DEFAULT_CONFIG.contamination), _SEL_CTES, ep, body=body)
+    ctes = [O.txn_cte(), O.clean_ctes("txn", O.TXN_COLUMNS), O.feature_ctes(),
+            O.scored_ctes(DEFAULT_CONFIG.contamination), _SEL_CTES, ep]
+    if components:
+        ctes.append(_COMP_CTE)
+    sql = O.with_chain(*ctes, body=body)
+    return "WITH RECURSIVE " + sql[len("WITH "):] if components else sql
 
 
 def _sel(spark, sf_dir):
@@ -595,20 +608,11 @@ def q_n11(spark, sf_dir):
     return N.flagged_edges(N.edges(_ep(spark, sf_dir)), NET_THR).select("src", "dst", "weight", "max_score")
 
 
-_COMP_CTE = """ue AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed),
-reach(node, lbl) AS (SELECT a, a FROM ue
-                     UNION
-                     SELECT ue.b, reach.lbl FROM reach JOIN ue ON reach.node = ue.a WHERE reach.lbl < ue.b),
-comp AS (SELECT node, min(lbl) AS component FROM reach GROUP BY node)"""
 
 
-def _net_sql_with_comp(body: str) -> str:
-    base = _net_sql("__BODY__")
-    head, _ = base.rsplit("__BODY__", 1)
-    head = head.rstrip()
-    if head.endswith("SELECT"):
-        head = head[: -len("SELECT")]
-    return "WITH RECURSIVE " + head[len("WITH "):].rstrip() + ",\n" + _COMP_CTE + "\n" + body
+
+def _net_sql_with_comp(body: str, source: str = "scored") -> str:
+    return _net_sql(body, source, components=True)
 
 
 _METRICS_SQL = f"""SELECT (SELECT count(*) FROM deg) AS n_nodes, count(*) AS n_edges,
@@ -660,8 +664,7 @@ def q_n15(spark, sf_dir):
 
 
 def _sel_net_sql(body: str) -> str:
-    base = _net_sql_with_comp(body)
-    return base.replace('"timestamp" FROM scored),\ned AS', '"timestamp" FROM sel),\ned AS', 1)
+    return _net_sql_with_comp(body, source="sel")
 
 
 @register("q_n16_transaction_network", _sel_net_sql(_METRICS_SQL))
