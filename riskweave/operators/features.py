@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from riskweave.config import DEFAULT_CONFIG, NON_FEATURE_COLUMNS, RiskConfig
+from riskweave.functions.joins import ROWS_COL, aggregate_stats, join_back
 from riskweave.functions.quantile import exact_quantile
 
 FLAG_COLUMNS = (
@@ -219,33 +220,41 @@ def engineer_features(cleaned: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG,
                       cashflow_threshold: float | None = None) -> DataFrame:
     """F1-F18 over an already cleaned (ideally materialised) table.
 
-    Built as one row-level projection, four grouped aggregates joined back,
-    and one final projection, so the analyser sees a short plan (the per-op
-    functions above give the same columns step by step)."""
+    Built as one row-level projection, four grouped aggregates joined back
+    (size-checked broadcast, or a join that salts only the hot keys; see
+    functions/joins.py), and one final projection, so the analyser sees a
+    short plan (the per-op functions above give the same columns step by step)."""
     have = set(cleaned.columns)
     base_cols = cleaned.columns
     base = calendar_parts(cleaned)
     base = base.select("*", *_country_exprs(have, cfg), *_threshold_exprs(cfg))
     thr = (cashflow_threshold if cashflow_threshold is not None
            else exact_quantile(cleaned, "amount", float(cfg.high_amount_percentile)))
-    joined = base
+    rows1 = F.count(F.lit(1)).alias(ROWS_COL)
+    aggs: dict[str, tuple[DataFrame, list[str]]] = {}
     if "sender_id" in have:
-        aggs = [F.sum("small_transaction").alias("small_txn_count_per_day"),
-                F.sum("is_high_risk_drug_country_receiver").alias("high_risk_transfers_per_day")]
+        parts = [F.sum("small_transaction").alias("small_txn_count_per_day"),
+                 F.sum("is_high_risk_drug_country_receiver").alias("high_risk_transfers_per_day")]
         if "receiver_country" in have:
-            aggs.append(F.count_distinct("receiver_country").alias("unique_receiver_locations_per_day"))
-        sd = base.where(F.col("date").isNotNull()).groupBy("sender_id", "date").agg(*aggs)
-        joined = joined.join(sd, ["sender_id", "date"], "left")
+            parts.append(F.count_distinct("receiver_country").alias("unique_receiver_locations_per_day"))
+        aggs["sd"] = (base.where(F.col("date").isNotNull()).groupBy("sender_id", "date").agg(*parts, rows1),
+                      ["sender_id", "date"])
     if {"receiver_id", "sender_id"} <= have:
-        rd = (base.where(F.col("date").isNotNull() & F.col("sender_id").isNotNull())
-                  .groupBy("receiver_id", "date").agg(F.count_distinct("sender_id").alias("unique_senders_per_day")))
-        joined = joined.join(rd, ["receiver_id", "date"], "left")
+        aggs["rd"] = (base.where(F.col("date").isNotNull() & F.col("sender_id").isNotNull())
+                          .groupBy("receiver_id", "date")
+                          .agg(F.count_distinct("sender_id").alias("unique_senders_per_day"), rows1),
+                      ["receiver_id", "date"])
     banks = {"sender_bank", "receiver_bank", "sender_country", "receiver_country"} <= have
     if banks:
-        sb = base.groupBy("sender_country", "sender_bank").agg(F.count(F.lit(1)).alias("sender_bank_count"))
-        rb = base.groupBy("receiver_country", "receiver_bank").agg(F.count(F.lit(1)).alias("receiver_bank_count"))
-        joined = (joined.join(sb, ["sender_country", "sender_bank"], "left")
-                        .join(rb, ["receiver_country", "receiver_bank"], "left"))
+        aggs["sb"] = (base.groupBy("sender_country", "sender_bank")
+                          .agg(F.count(F.lit(1)).alias("sender_bank_count"), rows1), ["sender_country", "sender_bank"])
+        aggs["rb"] = (base.groupBy("receiver_country", "receiver_bank")
+                          .agg(F.count(F.lit(1)).alias("receiver_bank_count"), rows1),
+                      ["receiver_country", "receiver_bank"])
+    stats = aggregate_stats({k: a for k, (a, _) in aggs.items()})
+    joined = base
+    for name, (agg, keys) in aggs.items():
+        joined = join_back(joined, agg, keys, stats[name])
     small, hrt = _count(joined, "small_txn_count_per_day"), _count(joined, "high_risk_transfers_per_day")
     url, usd = _count(joined, "unique_receiver_locations_per_day"), _count(joined, "unique_senders_per_day")
     sbc, rbc = _count(joined, "sender_bank_count"), _count(joined, "receiver_bank_count")
