@@ -1,9 +1,10 @@
 """Weakly connected components by alternating large-star / small-star
 (Kiveris, Lattanzi, Mirrokni, Rastogi, Vassilvitskii 2014).
 
-Each round is aggregates plus joins on the node key (a hub's edges are split by
-AQE's skew join), with a reliable checkpoint per round so lineage stays short
-and a lost executor only replays the last round.
+Each round is aggregates plus joins on the node key (a hub account's edges are
+salted over many tasks, see functions/joins.py), with a parquet table per
+round in the checkpoint folder so lineage stays short and a lost executor only
+replays the last round.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.joins import ROWS_COL, aggregate_stats, join_back
 from riskweave.session import cut_lineage
 
 
@@ -23,17 +25,24 @@ def _both(e: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def _to_min(rows: DataFrame, m: DataFrame) -> DataFrame:
+    """rows (u, v) joined to the per-node minimum m (u, m, _rows); a hub node
+    (one account in a third of all edges) is salted, not left to one task."""
+    stats = aggregate_stats({"m": m})["m"]
+    return join_back(rows, m, ["u"], stats).select(F.col("v").alias("a"), F.col("m").alias("b"))
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     adj = _both(e)
-    m = adj.groupBy("u").agg(F.min("v").alias("mv")).select("u", F.least("u", "mv").alias("m"))
-    return _canon(adj.where(F.col("v") > F.col("u")).join(m, "u")
-                     .select(F.col("v").alias("a"), F.col("m").alias("b")))
+    m = (adj.groupBy("u").agg(F.min("v").alias("mv"), F.count(F.lit(1)).alias(ROWS_COL))
+            .select("u", F.least("u", "mv").alias("m"), ROWS_COL))
+    return _canon(_to_min(adj.where(F.col("v") > F.col("u")), m))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     lower = _both(e).where(F.col("v") < F.col("u"))
-    m = lower.groupBy("u").agg(F.min("v").alias("m"))
-    to_min = lower.join(m, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    m = lower.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias(ROWS_COL))
+    to_min = _to_min(lower, m)
     return _canon(to_min.unionByName(m.select(F.col("u").alias("a"), F.col("m").alias("b"))))
 
 

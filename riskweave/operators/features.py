@@ -89,7 +89,9 @@ def threshold_flags(df: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG) -> DataFram
 
 
 def _join_counts(df: DataFrame, agg: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    out = df.join(agg, on=keys, how="left")
+    """Join per-key counts back (size-checked broadcast or hot-key salting)."""
+    stats = aggregate_stats({"a": agg})["a"]
+    out = join_back(df, agg, keys, stats)
     return out.select(*[F.col(c) for c in df.columns],
                       *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in cols])
 
@@ -106,7 +108,7 @@ def sender_day_counts(df: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG) -> DataFr
                 F.sum("is_high_risk_drug_country_receiver").alias("high_risk_transfers_per_day")]
         if "receiver_country" in have:
             aggs.append(F.count_distinct("receiver_country").alias("unique_receiver_locations_per_day"))
-        agg = df.where(F.col("date").isNotNull()).groupBy("sender_id", "date").agg(*aggs)
+        agg = df.where(F.col("date").isNotNull()).groupBy("sender_id", "date").agg(*aggs, F.count(F.lit(1)).alias(ROWS_COL))
         names = [a for a in ("small_txn_count_per_day", "high_risk_transfers_per_day",
                              "unique_receiver_locations_per_day") if a in agg.columns]
         out = _join_counts(df, agg, ["sender_id", "date"], names)
@@ -127,7 +129,7 @@ def receiver_day_senders(df: DataFrame) -> DataFrame:
     else:
         agg = (df.where(F.col("date").isNotNull() & F.col("sender_id").isNotNull())
                  .groupBy("receiver_id", "date")
-                 .agg(F.count_distinct("sender_id").alias("unique_senders_per_day")))
+                 .agg(F.count_distinct("sender_id").alias("unique_senders_per_day"), F.count(F.lit(1)).alias(ROWS_COL)))
         out = _join_counts(df, agg, ["receiver_id", "date"], ["unique_senders_per_day"])
     return out.withColumn("multiple_senders_same_receiver", _flag(F.col("unique_senders_per_day") > 1))
 
@@ -141,8 +143,10 @@ def rare_bank_combo(df: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG) -> DataFram
     if not need <= set(df.columns):
         out = df.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("sender_bank_count", "receiver_bank_count")])
     else:
-        s = df.groupBy("sender_country", "sender_bank").agg(F.count(F.lit(1)).alias("sender_bank_count"))
-        r = df.groupBy("receiver_country", "receiver_bank").agg(F.count(F.lit(1)).alias("receiver_bank_count"))
+        s = df.groupBy("sender_country", "sender_bank").agg(F.count(F.lit(1)).alias("sender_bank_count"),
+                                                            F.count(F.lit(1)).alias(ROWS_COL))
+        r = df.groupBy("receiver_country", "receiver_bank").agg(F.count(F.lit(1)).alias("receiver_bank_count"),
+                                                                F.count(F.lit(1)).alias(ROWS_COL))
         out = _join_counts(df, s, ["sender_country", "sender_bank"], ["sender_bank_count"])
         out = _join_counts(out, r, ["receiver_country", "receiver_bank"], ["receiver_bank_count"])
     present = need <= set(df.columns)

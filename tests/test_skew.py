@@ -66,3 +66,17 @@ def test_join_back_salts_only_hot_keys(spark):
     out = join_back(rows, agg, ["k"], st, broadcast_keys=0, salt_buckets=8)
     got = {r["id"]: r["cnt"] for r in out.collect()}
     assert len(got) == 3000 and got[0] == 1000 and got[1] == 4
+
+
+def test_components_with_hub_salted(spark):
+    from riskweave.operators.components import connected_components
+    from tests.test_primitives import _brute_components
+    edges = [("hub", f"a{i:04d}") for i in range(600)] + [(f"b{i:04d}", f"b{i + 1:04d}") for i in range(1200)]
+    edges += [("a0007", "b0003")]
+    spark.conf.set("riskweave.join.broadcastKeys", "0")
+    try:
+        got = {r["node"]: r["component"] for r in
+               connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    finally:
+        spark.conf.unset("riskweave.join.broadcastKeys")
+    assert got == _brute_components(edges)
