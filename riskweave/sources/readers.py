@@ -14,7 +14,6 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SUPPORTED = (".csv", ".parquet", ".xlsx")
 

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from riskweave.config import DEFAULT_CONFIG, with_config
 from riskweave.operators.clean import clean
