@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.joins import ROWS_COL, aggregate_stats, join_back
+from riskweave.functions.joins import BROADCAST_KEYS, ROWS_COL, aggregate_stats, join_back
 from riskweave.session import cut_lineage
 
 
@@ -25,24 +25,29 @@ def _both(e: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _to_min(rows: DataFrame, m: DataFrame) -> DataFrame:
-    """rows (u, v) joined to the per-node minimum m (u, m, _rows); a hub node
-    (one account in a third of all edges) is salted, not left to one task."""
-    stats = aggregate_stats({"m": m})["m"]
-    return join_back(rows, m, ["u"], stats).select(F.col("v").alias("a"), F.col("m").alias("b"))
+def _to_min(rows: DataFrame, m: DataFrame, small: bool) -> DataFrame:
+    """rows (u, v) joined to the per-node minimum m (u, m, _rows). ``small``:
+    the node count (an upper bound of m's keys in every round) was checked
+    under the broadcast limit. Otherwise sizes are checked per step and a hub
+    node (one account in a third of all edges) is salted, not left to one task."""
+    if small:
+        joined = rows.join(F.broadcast(m.drop(ROWS_COL)), "u", "left")
+    else:
+        joined = join_back(rows, m, ["u"], aggregate_stats({"m": m})["m"])
+    return joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, small: bool) -> DataFrame:
     adj = _both(e)
     m = (adj.groupBy("u").agg(F.min("v").alias("mv"), F.count(F.lit(1)).alias(ROWS_COL))
             .select("u", F.least("u", "mv").alias("m"), ROWS_COL))
-    return _canon(_to_min(adj.where(F.col("v") > F.col("u")), m))
+    return _canon(_to_min(adj.where(F.col("v") > F.col("u")), m, small))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, small: bool) -> DataFrame:
     lower = _both(e).where(F.col("v") < F.col("u"))
     m = lower.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias(ROWS_COL))
-    to_min = _to_min(lower, m)
+    to_min = _to_min(lower, m, small)
     return _canon(to_min.unionByName(m.select(F.col("u").alias("a"), F.col("m").alias("b"))))
 
 
@@ -54,10 +59,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     nodes = (edges.select(F.col(src).alias("node"))
                   .unionByName(edges.select(F.col(dst).alias("node"))).distinct())
     e = cut_lineage(_canon(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))))
+    limit = int(edges.sparkSession.conf.get("riskweave.join.broadcastKeys", str(BROADCAST_KEYS)))
+    small = e.select("u").unionByName(e.select(F.col("v").alias("u"))).distinct().count() <= limit
     rounds = 0
     for _ in range(max_rounds):
         rounds += 1
-        nxt = cut_lineage(_small_star(_large_star(e)))
+        nxt = cut_lineage(_small_star(_large_star(e, small), small))
         # edge sets equal <=> no edge on only one side (one job, both sides are sets)
         diff = (nxt.withColumn("_n", F.lit(1)).join(e.withColumn("_o", F.lit(1)), ["u", "v"], "full_outer")
                    .where(F.col("_n").isNull() | F.col("_o").isNull()).isEmpty())
