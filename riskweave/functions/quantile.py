@@ -81,17 +81,23 @@ def _order_stats(pop: DataFrame, ranks: list[int], n: int, accuracy: int = ACCUR
 
 
 def exact_quantiles(df: DataFrame, cols, qs, *, exact_distinct_limit: int = EXACT_DISTINCT_LIMIT,
-                    bracket_limit: int = BRACKET_LIMIT) -> dict[str, list[float | None]]:
+                    bracket_limit: int = BRACKET_LIMIT, counts: dict | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles ``qs`` of each column in ``cols``.
 
     Returns {column: [value per q]} with None for a column without values.
+    ``counts``, when given, receives {column: number of valid values} and
+    ``"__rows__"``: the number of rows (same pass, no extra job).
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     qs = [float(q) for q in ([qs] if isinstance(qs, (int, float)) else qs)]
     if not cols:
         return {}
-    stats = df.agg(*[F.count(_valid(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+    stats = df.agg(F.count(F.lit(1)).alias("_rows"),
+                   *[F.count(_valid(c)).alias(f"n{i}") for i, c in enumerate(cols)],
                    *[F.approx_count_distinct(_valid(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    if counts is not None:                       # valid values per column, and all rows
+        counts.update({c: stats[f"n{i}"] for i, c in enumerate(cols)})
+        counts["__rows__"] = stats["_rows"]
     result: dict[str, list[float | None]] = {}
     small = [c for i, c in enumerate(cols)
              if stats[f"n{i}"] > 0 and stats[f"d{i}"] * 1.25 <= exact_distinct_limit]

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from riskweave.config import DEFAULT_CONFIG, NON_FEATURE_COLUMNS, RiskConfig
-from riskweave.functions.joins import ROWS_COL, aggregate_stats, join_back
-from riskweave.functions.quantile import exact_quantile
+from riskweave.functions.joins import BROADCAST_KEYS, ROWS_COL, AggStats, aggregate_stats, join_back
+from riskweave.functions.quantile import exact_quantile, exact_quantiles
 
 FLAG_COLUMNS = (
     "high_risk_sender", "high_risk_receiver", "is_high_risk_drug_country_receiver",
@@ -232,8 +232,9 @@ def engineer_features(cleaned: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG,
     base_cols = cleaned.columns
     base = calendar_parts(cleaned)
     base = base.select("*", *_country_exprs(have, cfg), *_threshold_exprs(cfg))
+    counted: dict = {}
     thr = (cashflow_threshold if cashflow_threshold is not None
-           else exact_quantile(cleaned, "amount", float(cfg.high_amount_percentile)))
+           else exact_quantiles(cleaned, ["amount"], [float(cfg.high_amount_percentile)], counts=counted)["amount"][0])
     rows1 = F.count(F.lit(1)).alias(ROWS_COL)
     aggs: dict[str, tuple[DataFrame, list[str]]] = {}
     if "sender_id" in have:
@@ -255,7 +256,14 @@ def engineer_features(cleaned: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG,
         aggs["rb"] = (base.groupBy("receiver_country", "receiver_bank")
                           .agg(F.count(F.lit(1)).alias("receiver_bank_count"), rows1),
                       ["receiver_country", "receiver_bank"])
-    stats = aggregate_stats({k: a for k, (a, _) in aggs.items()})
+    # The row count (taken by the quantile pass) bounds the keys of every
+    # aggregate: under the broadcast limit no stats job is needed.
+    n_rows = counted.get("__rows__")
+    limit = int(cleaned.sparkSession.conf.get("riskweave.join.broadcastKeys", str(BROADCAST_KEYS)))
+    if n_rows is not None and n_rows <= limit:
+        stats = {k: AggStats(n_rows, n_rows, n_rows) for k in aggs}
+    else:
+        stats = aggregate_stats({k: a for k, (a, _) in aggs.items()})
     joined = base
     for name, (agg, keys) in aggs.items():
         joined = join_back(joined, agg, keys, stats[name])
