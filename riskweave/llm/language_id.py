@@ -6,24 +6,28 @@ pieces of the product of their probabilities (forward algorithm); a text's is
 the product over its words. The prediction is the language of largest
 posterior, its score that posterior.
 
-Learning is one expectation step per round, done where the documents lie: each
-word's expected piece counts over all segmentations (forward-backward under
-the current model; at first all pieces are alike) are added up per language,
-and only (language, piece) sums leave a task. The model holds languages x
-pieces numbers, whatever the corpus.
+Learning is one expectation step per round: each word's expected piece counts
+over all segmentations (forward-backward under the current model; at first all
+pieces are alike) are added up per language where the documents lie, and only
+(language, piece) sums leave a task. The fit reads at most ``max_docs``
+labelled documents, those of smallest id hash. The model holds languages x
+pieces numbers.
+
+Words of one length go through the lattice together as columns of numbers.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
-0; ties go to the smallest language name; a vocabulary piece that a word needs
-and no language knows counts as unseen; with nothing to learn from every text
-is ``und``; languages are learned from non-null ``lang`` only and no other
-column than text is read to predict.
+0; ties go to the smallest language name; a character outside the vocabulary
+is a piece that no language knows; with nothing to learn from, every text is
+``und``; languages are learned from non-null ``lang`` only, and no column but
+text is read to predict.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,105 +36,123 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.pieces import vocabulary
 
-MARK = "▁"                       # the vocabulary's word start
-KEEP_WORDS = 200_000                  # words whose scores a process keeps
-LONGEST = 64                          # a longer run of letters is scored in stretches of this length
-UNSEEN = 0.5                          # added to every count of a known piece
+MAX_DOCS = 20_000                     # labelled documents in the fit, at most
+MARK = "▁"                            # the vocabulary's word start
+KEEP_TOKENS = 200_000                 # tokens whose scores a process keeps
+LONGEST = 24                          # a longer run of letters is scored in stretches of this length
+AT_ONCE = 20_000                      # words in the lattice at a time
+CHUNK = 1 << 20                       # characters of text scored at a time, one text at least
+UNSEEN = 0.5                          # added to every piece's count
+_B = np.uint64(0x9E3779B97F4A7C15)
 
 
-def load_pieces(name: str) -> dict[str, int]:
-    """Pieces of a sentencepiece vocabulary, without control and byte pieces, lower-cased."""
+def load_pieces(name: str) -> list[str]:
+    """The letter pieces of a sentencepiece vocabulary, lower-cased, each once, in its order."""
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(name))
-    out: dict[str, int] = {}
-    for i in range(sp.get_piece_size()):
-        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
-            out.setdefault(sp.id_to_piece(i).lower(), len(out))
-    return out
+    every = (sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())
+             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
+    return list(dict.fromkeys(p for p in every if p == MARK or p.removeprefix(MARK).isalpha()))
 
 
 def letter_runs(token: str) -> list[str]:
     """Runs of letters, lower-cased, each marked as a word start and cut to stretches."""
-    runs, run = [], []
-    for ch in token:
-        if ch.isalpha():
-            run.append(ch)
-        elif run:
-            runs.append("".join(run).lower())
-            run = []
-    if run:
-        runs.append("".join(run).lower())
+    if token.isalpha():
+        runs = [token.lower()]
+    else:
+        runs = "".join(c if c.isalpha() else " " for c in token).lower().split(" ")
     out = []
     for r in runs:
-        out.append(MARK + r[:LONGEST])
-        out += [r[i:i + LONGEST] for i in range(LONGEST, len(r), LONGEST)]
+        if r:
+            out.append(MARK + r[:LONGEST])
+            out += [r[i:i + LONGEST] for i in range(LONGEST, len(r), LONGEST)]
     return out
 
 
-@dataclass
-class Lattice:
-    """The pieces and their lengths; a character outside the vocabulary is one unknown piece."""
-    name: str
-    pieces: dict[str, int] = field(default_factory=dict)
-    longest: int = 0
-
-    def __post_init__(self):
-        self.pieces = load_pieces(self.name)
-        self.longest = max(map(len, self.pieces))
-
-    def arcs(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end, the (begin, piece) of pieces ending there; piece -1: unknown character."""
-        get, n = self.pieces.get, len(word)
-        out = [[] for _ in range(n + 1)]
-        for e in range(1, n + 1):
-            for b in range(max(0, e - self.longest), e):
-                p = get(word[b:e])
-                if p is not None:
-                    out[e].append((b, p))
-            if not any(b == e - 1 for b, _ in out[e]):
-                out[e].append((e - 1, -1))
-        return out
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), -1)
 
-    def expected(self, word: str, p: np.ndarray, unknown: float) -> dict[int, float]:
-        """Expected count of each piece over all segmentations of a word (forward-backward)."""
-        arcs, n = self.arcs(word), len(word)
-        fwd, bwd = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        for e in range(1, n + 1):
-            fwd[e] = sum(fwd[b] * (p[q] if q >= 0 else unknown) for b, q in arcs[e])
-        for e in range(n, 0, -1):
-            for b, q in arcs[e]:
-                bwd[b] += bwd[e] * (p[q] if q >= 0 else unknown)
-        out: dict[int, float] = {}
-        if fwd[n] > 0:
-            for e in range(1, n + 1):
-                for b, q in arcs[e]:
-                    if q >= 0:
-                        out[q] = out.get(q, 0.0) + fwd[b] * p[q] * bwd[e] / fwd[n]
+
+class Lattice:
+    """Finds the pieces in many words at once. Piece numbers follow the vocabulary;
+    the number after the last stands for a character outside it."""
+
+    def __init__(self, pieces: list[str]):
+        self.n = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
+        hashes = np.zeros(self.n, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for i, p in enumerate(pieces):
+                for c in p:
+                    hashes[i] = hashes[i] * _B + np.uint64(ord(c) + 1)
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+
+    def arcs(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, rows, pieces) for each span, begins ascending: the words (rows) with a piece there."""
+        m, n = codes.shape
+        for b in range(n):
+            h = np.zeros(m, dtype=np.uint64)
+            for e in range(b + 1, min(n, b + self.longest) + 1):
+                with np.errstate(over="ignore"):
+                    h = h * _B + (codes[:, e - 1].astype(np.uint64) + np.uint64(1))
+                at = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
+                found = self.sorted[at] == h
+                if e == b + 1:
+                    yield b, e, np.arange(m), np.where(found, self.order[at], self.n)
+                else:
+                    rows = np.flatnonzero(found)
+                    if len(rows):
+                        yield b, e, rows, self.order[at[rows]]
+
+    def log_likelihood(self, words: list[str], probs: np.ndarray) -> np.ndarray:
+        """log of the sum over all segmentations, per word and column of ``probs``
+        (piece x language; the last row is the unknown character's)."""
+        out = np.empty((len(words), probs.shape[1]))
+        for rows, codes in _by_length(words):
+            fwd = np.zeros((codes.shape[1] + 1, len(rows), probs.shape[1]))
+            fwd[0] = 1
+            for b, e, at, piece in self.arcs(codes):
+                fwd[e][at] += fwd[b][at] * probs[piece]
+            out[rows] = np.log(np.maximum(fwd[-1], 1e-300))
         return out
 
-    def log_likelihood(self, word: str, table: list, unknown: list) -> list[float]:
-        """Per language, the log of the sum over all segmentations; ``table[piece]`` is a
-        tuple of probabilities by language. Rescaled at every step against underflow."""
-        arcs, n, k = self.arcs(word), len(word), len(unknown)
-        fwd = [[1.0] * k]
-        for e in range(1, n + 1):
-            row = [0.0] * k
-            for b, q in arcs[e]:
-                probs, f = (table[q] if q >= 0 else unknown), fwd[b]
-                for j in range(k):
-                    row[j] += f[j] * probs[j]
-            fwd.append(row)
-        return [float(np.log(max(x, 1e-300))) for x in fwd[n]]
+    def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Expected piece counts over all segmentations of words that occur ``counts`` times (forward-backward)."""
+        total = np.zeros(self.n + 1)
+        for rows, codes in _by_length(words):
+            n = codes.shape[1]
+            fwd, bwd = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
+            fwd[0], bwd[n] = 1, 1
+            arcs = list(self.arcs(codes))
+            for b, e, at, piece in arcs:
+                fwd[e][at] += fwd[b][at] * p[piece]
+            scale = counts[rows] / np.maximum(fwd[n], 1e-300)
+            for b, e, at, piece in reversed(arcs):           # ends descend within a begin, begins descend
+                bwd[b][at] += bwd[e][at] * p[piece]
+            for b, e, at, piece in arcs:
+                total += np.bincount(piece, weights=fwd[b][at] * p[piece] * bwd[e][at] * scale[at], minlength=self.n + 1)
+        return total[:-1]
+
+
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of the words, their code points) for groups of words of one length."""
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        for i in range(0, len(rows), AT_ONCE):
+            some = rows[i:i + AT_ONCE]
+            yield some, _codes([words[j] for j in some.tolist()])
 
 
 @dataclass
 class Model:
-    """``probs[piece, language]``, with the languages' names and log prior."""
+    """``probs[piece, language]`` (the last row: an unknown character), languages' names, log prior."""
     name: str
     languages: list[str]
     probs: np.ndarray
-    unknown: list[float]
-    prior: list[float]
+    prior: np.ndarray
 
 
 _LATTICE: dict[str, Lattice] = {}
@@ -138,7 +160,7 @@ _LATTICE: dict[str, Lattice] = {}
 
 def lattice(name: str) -> Lattice:
     if name not in _LATTICE:
-        _LATTICE[name] = Lattice(name)
+        _LATTICE[name] = Lattice(load_pieces(name))
     return _LATTICE[name]
 
 
@@ -146,27 +168,28 @@ def _expected_counts(labelled: DataFrame, name: str, model: Model | None) -> Dat
     """(lang, piece, n) expected counts; piece -1 counts documents."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lat = lattice(name)
-        flat = np.full(len(lat.pieces), 1.0 / len(lat.pieces))
+        flat = np.full(lat.n + 1, 1.0 / lat.n)
+        flat[-1] = 1e-7
         probs = {} if model is None else {g: model.probs[:, j] for j, g in enumerate(model.languages)}
-        words: dict[str, Counter] = {}
+        tokens: dict[str, Counter] = {}
         docs: Counter = Counter()
         sums: dict[str, np.ndarray] = {}
 
         def settle():
-            for lang, c in words.items():
-                into = sums.setdefault(lang, np.zeros(len(lat.pieces)))
-                p = probs.get(lang, flat)
+            for lang, c in tokens.items():
+                words: Counter = Counter()
                 for token, n in c.items():
                     for w in letter_runs(token):
-                        for q, x in lat.expected(w, p, 1e-7).items():
-                            into[q] += n * x
-            words.clear()
+                        words[w] += n
+                got = lat.expected(list(words), np.array(list(words.values()), dtype=float), probs.get(lang, flat))
+                sums[lang] = sums.get(lang, 0) + got
+            tokens.clear()
 
         for pdf in batches:
             for text, lang in zip(pdf["text"], pdf["lang"]):
                 docs[lang] += 1
-                words.setdefault(lang, Counter()).update((text or "").split())
-                if sum(map(len, words.values())) > KEEP_WORDS:
+                tokens.setdefault(lang, Counter()).update((text or "").split())
+                if sum(map(len, tokens.values())) > KEEP_TOKENS:
                     settle()
         settle()
         for lang, v in sums.items():
@@ -178,32 +201,75 @@ def _expected_counts(labelled: DataFrame, name: str, model: Model | None) -> Dat
                     .groupBy("lang", "piece").agg(F.sum("n").alias("n")))
 
 
+def sampled(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(text, lang) of at most ``max_docs`` labelled documents, those of smallest id hash."""
+    ids = docs.select("doc_id").where("doc_id is not null and lang is not null") \
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct()
+    return docs.where("lang is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
+
+
 def train(labelled: DataFrame, vocabulary: str = "piece_bpe_32k.model", rounds: int = 1) -> Model | None:
-    """Learn from rows (text, lang), all of them. The sums that come back are at most
-    languages x pieces. Null if there is no row with a language."""
+    """Learn from rows (text, lang). The sums that come back are at most languages x
+    pieces. None if no row has a language."""
     labelled = labelled.select("text", "lang").where(F.col("lang").isNotNull())
-    model = None
+    model, lat = None, lattice(vocabulary)
     for _ in range(rounds):
         got = _expected_counts(labelled, vocabulary, model).collect()
         languages = sorted({r["lang"] for r in got})
         if not languages:
             return None
         at = {g: j for j, g in enumerate(languages)}
-        counts = np.zeros((len(lattice(vocabulary).pieces), len(languages)))
-        docs = np.zeros(len(languages))
+        counts, docs = np.zeros((lat.n + 1, len(languages))), np.zeros(len(languages))
         for r in got:
             if r["piece"] < 0:
                 docs[at[r["lang"]]] += r["n"]
             else:
                 counts[r["piece"], at[r["lang"]]] += r["n"]
-        seen = counts.sum(axis=1) > 0
-        total = counts.sum(axis=0) + UNSEEN * (seen.sum() + 1)
-        probs = np.where(seen[:, None], (counts + UNSEEN) / total, UNSEEN / total)
-        model = Model(vocabulary, languages, np.round(probs, 15), (1e-2 * UNSEEN / total).tolist(),
-                      np.log(docs / docs.sum()).tolist())
+        probs = np.float32((counts + UNSEEN) / (counts + UNSEEN).sum(axis=0)).astype(float)   # sums may come in any order
+        probs[-1] *= 1e-2
+        model = Model(vocabulary, languages, probs, np.log(docs / docs.sum()))
     return model
 
 
+class Scorer:
+    """Log likelihoods of tokens, kept per process up to KEEP_TOKENS."""
+
+    def __init__(self, model: Model):
+        self.model, self.lat = model, lattice(model.name)
+        self.clear()
+
+    def clear(self):
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((0, len(self.model.languages) + 1))      # the last column: 1 if the token has a letter
+
+    def learn(self, tokens: list[str]) -> None:
+        words, owner = [], []
+        got = np.zeros((len(tokens), self.rows.shape[1]))
+        for i, t in enumerate(tokens):
+            runs = letter_runs(t)
+            words += runs
+            owner += [i] * len(runs)
+        if words:
+            np.add.at(got[:, :-1], owner, self.lat.log_likelihood(words, self.model.probs))
+            got[owner, -1] = 1
+        self.at.update(zip(tokens, range(len(self.at), len(self.at) + len(tokens))))
+        self.rows = np.concatenate([self.rows, got])
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Per text: log likelihood by language, and the number of tokens with a letter."""
+        split = [t.split() for t in texts]
+        new = set(chain.from_iterable(split)) - self.at.keys()
+        if new and len(self.at) + len(new) > KEEP_TOKENS:
+            self.clear()
+            new = set(chain.from_iterable(split))
+        if new:
+            self.learn(sorted(new))
+        out = np.zeros((len(texts), self.rows.shape[1]))
+        for i, tokens in enumerate(split):
+            if tokens:
+                out[i] = self.rows[[self.at[t] for t in tokens]].sum(axis=0)
+        return out
+
 
 def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     """(keep..., lang_pred, score) from the text alone."""
@@ -213,33 +279,26 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)       # pieces x languages numbers
 
     @F.pandas_udf("lang_pred string, score double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        lat, table, k = lattice(m.name), [tuple(r) for r in m.probs.tolist()], len(m.languages)
-        known: dict[str, tuple] = {}
-        for batch in texts:
-            out = []
-            for text in batch:
-                total, letters = list(m.prior), False
-                for token, n in Counter((text or "").split()).items():
-                    v = known.get(token)
-                    if v is None:
-                        runs = letter_runs(token)
-                        v = [sum(x) for x in zip(*[lat.log_likelihood(w, table, m.unknown) for w in runs])] if runs else []
-                        if len(token) <= LONGEST:
-                            if len(known) >= KEEP_WORDS:
-                                known.clear()
-                            known[token] = v
-                    if v:
-                        letters = True
-                        for j in range(k):
-                            total[j] += n * v[j]
-                if not letters:
-                    out.append(("und", 0.0))
-                    continue
-                best = max(range(k), key=lambda j: (total[j], -j))
-                out.append((m.languages[best], 1.0 / sum(np.exp(t - total[best]) for t in total)))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+        scorer = Scorer(m)
+        names = np.array([*m.languages, "und"], dtype=object)
+        for batch in batches:
+            texts, sums, at = [t or "" for t in batch], [], 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (size == 0 or size + len(texts[end]) <= CHUNK):
+                    size += len(texts[end])
+                    end += 1
+                sums.append(scorer.scores(texts[at:end]))
+                at = end
+            s = np.concatenate(sums) if sums else np.zeros((0, len(m.languages) + 1))
+            total = s[:, :-1] + m.prior
+            best = total.argmax(axis=1)                            # the first of equals
+            p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            found = s[:, -1] > 0
+            yield pd.DataFrame({"lang_pred": names[np.where(found, best, len(m.languages))],
+                                "score": np.where(found, p, 0.0)})
     return docs.select(*keep_cols, run("text").alias("_r")).select(*keep_cols, "_r.*")
 
 

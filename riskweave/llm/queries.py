@@ -103,7 +103,7 @@ def op6_token_counts(spark, sf_dir):
 @query
 def op7_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    model = language_id.train(docs.where(~held_out()))
+    model = language_id.train(language_id.sampled(docs.where(~held_out())))
     marked = docs.select("doc_id", held_out().alias("held_out"), "text")
     return language_id.predict(marked, model, "doc_id", "held_out")
 
