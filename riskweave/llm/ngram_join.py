@@ -67,15 +67,29 @@ def sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+ODD = [f"p{j}" for j in range(8)]
+
+
+def odd_bits(s: np.ndarray) -> np.ndarray:
+    """512 bits as 8 longs: which of 512 hash classes hold an odd number of the
+    set's elements. Two sets that differ in d elements differ in at most d bits."""
+    odd = (np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def hashes(docs: DataFrame, words: int) -> DataFrame:
-    """(id, s): the sorted shingle hashes of each text."""
+    """(id, p0..p7, s): the odd bits and the sorted shingle hashes of each text."""
+    names = ["id", *ODD, "s"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text in zip(b.column(0), b.column(1)):
-                s = shingle_set((text.as_py() or "").encode("utf-8", "surrogatepass"), words).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array([0, len(s)], type=pa.int32()), pa.array(s))
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], type=pa.int64()), lists], names=["id", "s"])
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(run, "id bigint, s array<bigint>")
+                s = shingle_set((text.as_py() or "").encode("utf-8", "surrogatepass"), words)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(s)], type=pa.int32()), pa.array(s.view(np.int64)))
+                bits = [pa.array([x], type=pa.int64()) for x in odd_bits(s).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], type=pa.int64()), *bits, lists], names=names)
+    schema = ", ".join(f"{c} bigint" for c in names[:-1]) + ", s array<bigint>"
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(run, schema)
 
 
 def linked(pairs: DataFrame, s: DataFrame, num: int, den: int) -> DataFrame:
@@ -137,21 +151,25 @@ def rare_pairs(crowd: DataFrame, s: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different components in ``crowd`` (id, c) that share one of
     their rarest shingles. Linked sets of sizes x and y share at least
     num / den * x shingles, so any x - ceil(num x / den) + 1 of x hold a common one,
-    if both sides order shingles alike: by how many sets of the crowd hold them."""
-    own = crowd.join(s, "id").select("id", "c", F.size("s").alias("n"), F.explode("s").alias("h"))
-    own = written(own)
+    if both sides order shingles alike: by how many sets of the crowd hold them.
+    A pair comes out only if sizes and odd bits allow a link (both bounds are exact)."""
+    own = written(crowd.join(s, "id").select("id", "c", F.size("s").alias("n"), *ODD, "s"))
+    held = own.select("id", F.explode("s").alias("h"))
     # a shingle that one set alone holds joins nothing, but takes its place in the prefix
-    df = written(own.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    ranked = own.join(df, "h", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    order = F.sort_array(F.collect_list(F.struct("df", "h")))            # one set's shingles
-    sets_ = ranked.groupBy("id", "c", "n").agg(order.alias("o"))
+    df = written(held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    order = F.sort_array(F.collect_list(F.struct("df", "h")))            # one set's shared shingles
+    shared = held.join(df, "h").groupBy("id").agg(order.alias("o"))
     need = F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9)
-    prefix = F.slice("o", 1, (F.col("n") - need + 1).cast("int"))
-    tokens = written(sets_.select("id", "c", "n", F.explode(prefix).alias("t")).select("id", "c", "n", "t.df", "t.h")
-                          .where("df > 1").select("id", "c", "n", "h"))
+    # own shingles come first: what they leave of the prefix is filled with the rarest shared ones
+    room = (F.col("n") - need + 1 - (F.col("n") - F.size("o"))).cast("int")
+    tokens = own.drop("s").join(shared, "id").where(room > 0).select(
+        "id", "c", "n", *ODD, F.explode(F.slice("o", 1, room)).alias("t"))
+    tokens = written(tokens.select("id", "c", "n", *ODD, "t.h"))
     x, y = tokens.alias("x"), tokens.alias("y")
+    differ = sum(F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in ODD)
     near = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") > F.col("y.id")) & \
-           (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
+           (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & \
+           (differ * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num))
     return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
