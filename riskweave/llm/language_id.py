@@ -258,10 +258,11 @@ class Scorer:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Per text: log likelihood by language, and the number of tokens with a letter."""
         split = [t.split() for t in texts]
-        new = set(chain.from_iterable(split)) - self.at.keys()
-        if new and len(self.at) + len(new) > KEEP_TOKENS:
+        every = set(chain.from_iterable(split))
+        new = [t for t in every if t not in self.at]
+        if len(self.at) + len(new) > KEEP_TOKENS:
             self.clear()
-            new = set(chain.from_iterable(split))
+            new = list(every)
         if new:
             self.learn(sorted(new))
         out = np.zeros((len(texts), self.rows.shape[1]))

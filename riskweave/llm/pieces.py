@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-KEEP = 300_000
+KEEP = 400_000
 LONG_PIECE = 256                     # longer pieces are encoded and not kept
 
 
@@ -38,19 +38,16 @@ class PieceCache:
         self.encode, self.known, self.split = encode, {}, splitter()
 
     def values(self, pieces: list[str]) -> list:
-        try:
-            return [self.known[p] for p in pieces]
-        except KeyError:
-            pass
-        new = [p for p in set(pieces) if p not in self.known]
-        got = dict(zip(new, self.encode(new)))
-        if len(self.known) + len(new) > KEEP:
-            self.known = {}
-        self.known.update((p, v) for p, v in got.items() if len(p) <= LONG_PIECE)
-        got.update((p, self.known[p]) for p in set(pieces) if p not in got and p in self.known)
-        lost = [p for p in set(pieces) if p not in got]          # dropped just now
-        got.update(zip(lost, self.encode(lost)) if lost else ())
-        return [got[p] for p in pieces]
+        get = self.known.get
+        got = [get(p) for p in pieces]
+        if None in got:
+            new = list({p for p, v in zip(pieces, got) if v is None})
+            fresh = dict(zip(new, self.encode(new)))
+            if len(self.known) + len(new) > KEEP:
+                self.known = {}
+            self.known.update((p, v) for p, v in fresh.items() if len(p) <= LONG_PIECE)
+            got = [fresh[p] if v is None else v for p, v in zip(pieces, got)]
+        return got
 
 
 def library_tokenizer(path: str):
