@@ -38,44 +38,78 @@ class PrefixBpe:
             self.token[r] = t
         self.longest = max(map(len, ranks), default=0)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
+        self.made: dict[int, tuple[int, int] | None] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Ids by merging the pair of smallest rank, leftmost first, until none is left."""
+    def merged(self, data: bytes, below: int | None = None) -> list[int]:
+        """Ids by merging the pair of smallest rank, leftmost first, until none is
+        left (of rank smaller than ``below``)."""
         parts = [data[i:i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            best = min(((self.ranks.get(a + b), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))
-                        if a + b in self.ranks), default=None)
+            best = min(((r, i) for i, (a, b) in enumerate(zip(parts, parts[1:]))
+                        if (r := self.ranks.get(a + b)) is not None and (below is None or r < below)), default=None)
             if best is None:
                 break
             i = best[1]
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, t: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``t``; None for a single byte, and for a
+        token that merging its bytes never makes."""
+        if t not in self.made:
+            parts = self.merged(self.token[t], t)
+            self.made[t] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return self.made[t]
+
     def stands(self, t: int) -> bool:
         """Whether the token's own bytes encode to it."""
-        ok = self.alone.get(t)
-        if ok is None:
-            ok = self.alone[t] = self.merged(self.token[t]) == [t]
-        return ok
+        return len(self.token[t]) == 1 or self.halves(t) is not None
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether merging leaves the two tokens side by side as they are."""
+        """Whether merging leaves the two tokens side by side as they are.
+
+        Going back in time, the token made last is undone: on the left its right
+        half, on the right its left half then touches the boundary. Nowhere may the
+        two that touch merge before the undone token was made; at equal ranks the
+        merge further left comes first."""
         ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
+        if ok is not None:
+            return ok
+        token, rank, x, y, until = self.token, self.ranks.get, a, b, len(self.token)
+        ok = self.stands(b)
+        while ok:
+            r = rank(token[x] + token[y])
+            if r is not None and r < until:
+                ok = False
+                break
+            left, right = self.halves(x), self.halves(y)
+            if left is None and right is None:
+                break
+            if right is None or (left is not None and x > y):
+                until, x = x, left[1]                # its merge is left of the boundary: it wins a tie
+            else:
+                until, y = y + 1, right[0]           # its merge is right of the boundary: it loses a tie
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[a, b] = ok
         return ok
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Fill ``last`` (the last token of each prefix already done; entry 0 is a
         placeholder) up to the whole of ``data``, in place."""
-        ranks, follows = self.ranks, self.follows
+        rank, known = self.ranks.get, self.pairs.get
         for end in range(len(last), len(data) + 1):
             for begin in range(max(0, end - self.longest), end):         # the longest token first
-                t = ranks.get(data[begin:end])
-                if t is not None and (follows(last[begin], t) if begin else self.stands(t)):
+                t = rank(data[begin:end])
+                if t is None:
+                    continue
+                if begin == 0:
+                    ok = self.stands(t)
+                else:
+                    ok = known((last[begin], t))
+                    if ok is None:
+                        ok = self.follows(last[begin], t)
+                if ok:
                     last.append(t)
                     break
             else:
