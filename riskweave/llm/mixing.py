@@ -146,8 +146,8 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: i
     cols = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "doc_id", "source", "text")
     keyed = _keyed(keyed.select("_row", "doc_id", "source", _words()), seed, "_row")
-    at = _with_cuts(keyed.select("_row", "doc_id", "source", "key"), per)
+    at = _with_cuts(keyed.select("_row", "doc_id", "source", "size", "key"), per)
     at = at.withColumn("copies", _copies(at))
-    return (at.where(F.col("copies") > 0)
+    return (at.where((F.col("copies") > 0) & (F.col("size") > 0))       # a text without words adds nothing to a mix
               .select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
               .select("_row.*"))

@@ -4,13 +4,16 @@
    first, so copies cost one signature set however many there are.
 2. Sets that share a PartEnum signature are candidates (partenum.py: no linked
    pair is lost). A signature's sets are compared with the smallest doc_id
-   among them, not with each other, and links become components.
-3. Signatures whose sets still lie in several components are crowded: the sets
-   under them are joined on a prefix of their rarest shingles instead (linked
-   sets must share one), across components only, and compared exactly. Nothing
-   is capped, so no link between different components is lost.
+   among them, and links become components.
+3. What that leaves open: pairs of different components under a signature of
+   at most ``FEW`` sets are compared one by one; the sets under a larger one
+   are joined on a prefix of their rarest shingles instead (linked sets must
+   share one) and then compared. Nothing is capped, so no link between
+   different components is lost.
 
-Comparisons read the exact shingle hashes of the candidates alone.
+Before any comparison a pair must pass two exact bounds, on set sizes and on
+512 odd bits of each set; only sets of pairs that pass are read again, and
+compared by their shingle hashes.
 
 Defined results: A-Z are lower-cased; a text of fewer words than a shingle has
 is one shingle; a text without words (or null) has an empty set, links with
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.joins import AggStats, join_back
@@ -33,6 +36,7 @@ from riskweave.llm.partenum import PartEnum
 from riskweave.llm.shingles import set_digest, shingle_set
 from riskweave.operators.components import connected_components
 
+FEW = 128                                # sets under a signature that are paired directly
 BROADCAST_ROWS = 1_000_000               # longs in a broadcast: 16 MB and their table
 
 
@@ -41,18 +45,27 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sigs): set size, 128-bit digest and PartEnum signatures."""
-    schema = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sigs array<bigint>"
+ODD = [f"p{j}" for j in range(8)]
+
+
+def odd_bits(s: np.ndarray) -> np.ndarray:
+    """512 bits as 8 longs: which of 512 hash classes hold an odd number of the
+    set's elements. Two sets that differ in d elements differ in at most d bits."""
+    odd = (np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def sets(docs: DataFrame, words: int, scheme: PartEnum) -> DataFrame:
+    """(doc_id, n_shingles, d1, d2, p0..p7, sigs): set size, 128-bit digest, odd bits and PartEnum signatures."""
+    names = ["doc_id", "n_shingles", "d1", "d2", *ODD, "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme = PartEnum(num, den)
         for b in batches:
             ids, out, size = b.column(0).to_pylist(), [], 0
             for i, text in zip(ids, b.column(1)):
                 s = shingle_set((text.as_py() or "").encode("utf-8", "surrogatepass"), words)
-                out.append((i, len(s), *set_digest(s), scheme.signatures(s)))
-                size += len(out[-1][4])
+                out.append((i, len(s), *set_digest(s), *odd_bits(s).tolist(), scheme.signatures(s)))
+                size += len(out[-1][-1])
                 if size >= 500_000:
                     yield table(out)
                     out, size = [], 0
@@ -60,36 +73,31 @@ def sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 yield table(out)
 
     def table(out):
-        ends = np.concatenate([[0], np.cumsum([len(o[4]) for o in out])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([o[4] for o in out])))
-        return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], type=pa.int64()) for j in range(4)] + [lists],
-                                          names=["doc_id", "n_shingles", "d1", "d2", "sigs"])
+        ends = np.concatenate([[0], np.cumsum([len(o[-1]) for o in out])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([o[-1] for o in out])))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([o[j] for o in out], type=pa.int64()) for j in range(len(names) - 1)] + [lists], names=names)
+    schema = ", ".join(f"{c} bigint" for c in names[:-1]) + ", sigs array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-ODD = [f"p{j}" for j in range(8)]
-
-
-def odd_bits(s: np.ndarray) -> np.ndarray:
-    """512 bits as 8 longs: which of 512 hash classes hold an odd number of the
-    set's elements. Two sets that differ in d elements differ in at most d bits."""
-    odd = (np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64)
-
-
 def hashes(docs: DataFrame, words: int) -> DataFrame:
-    """(id, p0..p7, s): the odd bits and the sorted shingle hashes of each text."""
-    names = ["id", *ODD, "s"]
-
+    """(id, s): the sorted shingle hashes of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text in zip(b.column(0), b.column(1)):
-                s = shingle_set((text.as_py() or "").encode("utf-8", "surrogatepass"), words)
-                lists = pa.ListArray.from_arrays(pa.array([0, len(s)], type=pa.int32()), pa.array(s.view(np.int64)))
-                bits = [pa.array([x], type=pa.int64()) for x in odd_bits(s).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], type=pa.int64()), *bits, lists], names=names)
-    schema = ", ".join(f"{c} bigint" for c in names[:-1]) + ", s array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(run, schema)
+                s = shingle_set((text.as_py() or "").encode("utf-8", "surrogatepass"), words).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(s)], type=pa.int32()), pa.array(s))
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], type=pa.int64()), lists], names=["id", "s"])
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(run, "id bigint, s array<bigint>")
+
+
+def possible(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sets under aliases ``x`` and ``y`` (n, p0..p7) can reach the threshold: by
+    their sizes, and because odd bits differ no more than the sets do."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum(F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in ODD)
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (differ * (den + num) <= (n + m) * (den - num))
 
 
 def linked(pairs: DataFrame, s: DataFrame, num: int, den: int) -> DataFrame:
@@ -101,40 +109,61 @@ def linked(pairs: DataFrame, s: DataFrame, num: int, den: int) -> DataFrame:
     return at.where(F.col("i") * den >= (F.col("n") - F.col("i")) * num).select("a", "b")
 
 
-def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **scheme) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = docs.select("doc_id", "text")
-    all_sets = written(sets(docs, words, num, den))
+    all_sets = written(sets(docs, words, PartEnum(num, den, **scheme)))
     known = all_sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    reps = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_rows")))
-    copied = reps.where("_rows > 1")
+    copied = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_rows"))
+                          .where("_rows > 1"))
     stats = copied.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("n"),
                        F.coalesce(F.max("_rows"), F.lit(0)).alias("m")).first()
     stats = AggStats(stats["k"], stats["n"], stats["m"])
-    rows = known.select("doc_id", "n_shingles", "d1", "d2", "sigs")
-    rows = join_back(rows, copied, ["d1", "d2"], stats, broadcast_keys=BROADCAST_ROWS)
+    rows = join_back(known, copied, ["d1", "d2"], stats, broadcast_keys=BROADCAST_ROWS)
     rows = rows.withColumn("rep", F.coalesce("rep", "doc_id"))
-    sigs = rows.where("doc_id = rep").select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
+    firsts = rows.where("doc_id = rep").withColumnsRenamed({"doc_id": "id", "n_shingles": "n"})
 
-    shared = written(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig"))
+    sigs = firsts.select("id", F.explode("sigs").alias("sig"))
+    shared = written(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
     members = written(sigs.join(_small(shared, shared.count()), "sig").distinct())
+    bits = firsts.select("id", "n", *ODD)
+    under = written(members.select("id").distinct())
+    bits = written(bits.join(_small(under, under.count()), "id", "left_semi").dropDuplicates(["id"]))
+
     hub = members.groupBy("sig").agg(F.min("id").alias("b"))
-    pairs = written(members.join(hub, "sig").where("id > b").select(F.col("id").alias("a"), "b").distinct())
-    ids = written(members.select("id").distinct())
+    pairs = members.join(hub, "sig").where("id > b").select(F.col("id").alias("a"), "b").distinct()
+    x, y = bits.alias("x"), bits.alias("y")
+    stars = written(pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+                         .where(possible("x", "y", num, den)).select("a", "b"))
+    few = members.where(f"many > 2 and many <= {FEW}").join(bits, "id")
+    x, y = few.alias("x"), few.alias("y")
+    close = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") > F.col("y.id")) & possible("x", "y", num, den)
+    direct = written(x.join(y, close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+                      .join(stars, ["a", "b"], "left_anti"))
+    large = members.where(f"many > {FEW}").select("sig", "id")
+
+    ids = large.select("id")
+    for p in (stars, direct):
+        ids = ids.unionByName(p.select(F.col("a").alias("id"))).unionByName(p.select(F.col("b").alias("id")))
+    ids = written(ids.distinct())
     wanted = docs.withColumn("id", F.col("doc_id").cast("bigint")).join(_small(ids, ids.count()), "id", "left_semi")
-    s = written(hashes(wanted.select("doc_id", "text"), words).dropDuplicates(["id"]))
-    links = written(linked(pairs, s, num, den))
-    comp = written(connected_components(links, "a", "b"))
-
-    # signatures whose sets lie in several components: their sets meet again by rare shingles
-    at = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    open_ = at.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    crowd = written(at.join(open_, "sig", "left_semi").select("id", "c").distinct())
-    more = written(linked(rare_pairs(crowd, s, num, den), s, num, den))
-    # a component of components: linked sets by their first component's name
-    named = more.join(crowd.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a") \
-                .join(crowd.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
-    over = written(connected_components(named.select("ca", "cb").distinct(), "ca", "cb"))
+    s = written(hashes(wanted.select("doc_id", "text"), words))
+    comp = written(connected_components(written(linked(stars, s, num, den)), "a", "b"))
+
+    def across(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, ca, cb) whose components differ."""
+        ca = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        cb = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        at = pairs.join(ca, "a", "left").join(cb, "b", "left")
+        at = at.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        return at.where("ca <> cb")
+
+    at = large.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    still = at.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
+    crowd = written(at.join(still, "sig", "left_semi").select("id", "c").distinct())
+    left = across(direct).select("a", "b").unionByName(rare_pairs(crowd.join(bits, "id"), s, num, den)).distinct()
+    more = across(linked(written(left), s, num, den)).select("ca", "cb").distinct()
+    over = written(connected_components(written(more), "ca", "cb"))         # components of components
     comp = comp.unionByName(over.join(comp, "node", "left_anti")).select("node", "component")
     comp = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left") \
                .select("node", F.coalesce("top", "component").alias("component"))
@@ -148,12 +177,11 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -
 
 
 def rare_pairs(crowd: DataFrame, s: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components in ``crowd`` (id, c) that share one of
-    their rarest shingles. Linked sets of sizes x and y share at least
+    """Pairs (a, b) of different components in ``crowd`` (id, c, n, p0..p7) that share one
+    of their rarest shingles. Linked sets of sizes x and y share at least
     num / den * x shingles, so any x - ceil(num x / den) + 1 of x hold a common one,
-    if both sides order shingles alike: by how many sets of the crowd hold them.
-    A pair comes out only if sizes and odd bits allow a link (both bounds are exact)."""
-    own = written(crowd.join(s, "id").select("id", "c", F.size("s").alias("n"), *ODD, "s"))
+    if both sides order shingles alike: by how many sets of the crowd hold them."""
+    own = written(crowd.join(s, "id"))
     held = own.select("id", F.explode("s").alias("h"))
     # a shingle that one set alone holds joins nothing, but takes its place in the prefix
     df = written(held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
@@ -161,22 +189,19 @@ def rare_pairs(crowd: DataFrame, s: DataFrame, num: int, den: int) -> DataFrame:
     shared = held.join(df, "h").groupBy("id").agg(order.alias("o"))
     need = F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9)
     # own shingles come first: what they leave of the prefix is filled with the rarest shared ones
-    room = (F.col("n") - need + 1 - (F.col("n") - F.size("o"))).cast("int")
+    room = (F.size("o") - need + 1).cast("int")
     tokens = own.drop("s").join(shared, "id").where(room > 0).select(
         "id", "c", "n", *ODD, F.explode(F.slice("o", 1, room)).alias("t"))
     tokens = written(tokens.select("id", "c", "n", *ODD, "t.h"))
     x, y = tokens.alias("x"), tokens.alias("y")
-    differ = sum(F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in ODD)
-    near = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") > F.col("y.id")) & \
-           (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & \
-           (differ * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num))
-    return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    near = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") > F.col("y.id"))
+    return x.join(y, near & possible("x", "y", num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def first_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each component; its columns are
     unchanged. Rows without a doc_id stay."""
-    keep = components(docs, words, num, den).where("doc_id = component_id").select("doc_id").distinct()
+    keep = components(docs, words, num, den, n2=2, width=1, slack=1.25).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull())
     stay = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return stay.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

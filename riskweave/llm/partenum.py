@@ -6,6 +6,12 @@ element domain is cut by hash range into ``n1`` groups of ``n2`` parts: some
 group holds at most ``k2`` of the differing elements, so the two sets agree on
 at least ``n2 - k2`` parts of it. One signature per (tag, group, subset of
 ``n2 - k2`` parts) therefore loses no link.
+
+A subset that holds none of a set's elements says nothing, and unlike sets share
+it. With ``slack`` more groups than needed, linked sets agree in at least
+``g`` groups instead of one; a set with an empty subset in fewer than ``g``
+groups leaves those signatures out, since in one of the agreeing groups the
+subset agreed on holds elements of it, and so the same ones of the other set.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ class PartEnum:
     k2: int = 1
     n2: int = 3
     width: int = 3                   # a band spans a size factor of (den / num) ** width
+    slack: float = 1.0               # groups, as a multiple of the fewest that lose no link
     _lows: list[int] = field(default_factory=lambda: [1])
 
     def band(self, size: int) -> int:
@@ -63,15 +70,20 @@ class PartEnum:
                 k = self.differing(tag)
                 if k == 0:
                     continue
-                n1 = -(-(k + 1) // (self.k2 + 1))
+                n1 = int(np.ceil(-(-(k + 1) // (self.k2 + 1)) * self.slack))
+                agreeing = n1 - k // (self.k2 + 1)
                 n = n1 * self.n2
                 part = ((s >> _U(32)) * _U(n)) >> _U(32)      # monotone in s: parts are runs of s
                 cut = np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
                 sums = mix64(cum[cut[1:]] - cum[cut[:-1]]).reshape(n1, self.n2)
                 where = mix64(np.arange(n1, dtype=np.uint64) + _U(tag << 32))
-                for j, subset in enumerate(combinations(range(self.n2), self.n2 - self.k2)):
+                held = np.diff(cut).reshape(n1, self.n2) > 0
+                subsets = list(combinations(range(self.n2), self.n2 - self.k2))
+                full = np.stack([held[:, subset].any(axis=1) for subset in subsets])
+                every = (~full).any(axis=0).sum() >= agreeing
+                for j, subset in enumerate(subsets):
                     v = where + mix64(np.full(1, j, dtype=np.uint64))
                     for p in subset:
                         v = mix64(v ^ sums[:, p])
-                    out.append(v)
+                    out.append(v if every else v[full[j]])
         return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, dtype=np.int64)
