@@ -31,14 +31,20 @@ def scratch_path(spark: SparkSession, kind: str = "llm") -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to shared storage and read it back: a lost executor rereads
     the files, and the plan above starts from them."""
-    path = scratch_path(df.sparkSession)
+    path = path or scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that no later plan reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scattered(df: DataFrame) -> int:
     """Partitions to shuffle whole texts into: as many as the input has splits, at
     least the session's number, so that it follows the input's size."""

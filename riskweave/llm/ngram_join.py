@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.joins import AggStats, join_back
-from riskweave.llm.common import written
+from riskweave.llm.common import discard, scratch_path, written
 from riskweave.llm.partenum import PartEnum
 from riskweave.llm.shingles import set_digest, shingle_set
 from riskweave.operators.components import connected_components
 
-FEW = 128                                # sets under a signature that are paired directly
+FEW = 512                                # sets under a signature that are paired directly
 BROADCAST_ROWS = 1_000_000               # longs in a broadcast: 16 MB and their table
 
 
@@ -101,7 +101,9 @@ def possible(x: str, y: str, num: int, den: int) -> Column:
 
 
 def linked(pairs: DataFrame, s: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets reach the threshold, compared exactly."""
+    """Those of ``pairs`` (a, b), a written table, whose sets reach the threshold, compared exactly."""
+    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    s = s.join(_small(ids, ids.count()), "id", "left_semi")            # only sets that are compared are shuffled
     at = (pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
                .join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
     both = F.size(F.array_intersect("sa", "sb")).cast("bigint")
@@ -112,7 +114,9 @@ def linked(pairs: DataFrame, s: DataFrame, num: int, den: int) -> DataFrame:
 def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **scheme) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = docs.select("doc_id", "text")
-    all_sets = written(sets(docs, words, PartEnum(num, den, **scheme)))
+    spark = docs.sparkSession
+    full = scratch_path(spark)
+    all_sets = written(sets(docs, words, PartEnum(num, den, **scheme)), full)
     known = all_sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     copied = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_rows"))
                           .where("_rows > 1"))
@@ -130,6 +134,12 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, *
     under = written(members.select("id").distinct())
     bits = written(bits.join(_small(under, under.count()), "id", "left_semi").dropDuplicates(["id"]))
 
+    # from here on nothing reads the signatures of single sets again: their table goes
+    rows = written(rows.select("doc_id", "n_shingles", F.col("rep").alias("node")))
+    alone = written(all_sets.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    discard(spark, full)
+
     hub = members.groupBy("sig").agg(F.min("id").alias("b"))
     pairs = members.join(hub, "sig").where("id > b").select(F.col("id").alias("a"), "b").distinct()
     x, y = bits.alias("x"), bits.alias("y")
@@ -168,11 +178,8 @@ def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, *
     comp = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left") \
                .select("node", F.coalesce("top", "component").alias("component"))
     comp = written(comp)
-    out = rows.select("doc_id", "n_shingles", F.col("rep").alias("node"))
-    out = out.join(_small(comp, comp.count()), "node", "left").select(
+    out = rows.join(_small(comp, comp.count()), "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    alone = all_sets.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
