@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.pieces import PieceCache, vocabulary
 
-PAIRS = 500_000                      # pair checks a process remembers
+PAIRS = 300_000                      # pair checks a process remembers
 
 
 class PrefixBpe:
@@ -152,22 +153,20 @@ _MADE: dict[str, tuple[PrefixBpe, PieceCache]] = {}
 
 
 def encoder(name: str = "byte_bpe_50k.tiktoken") -> tuple[PrefixBpe, PieceCache]:
-    """This process's encoder of a rank file and its cache of piece -> ids."""
+    """This process's encoder of a rank file and its cache of piece -> ids, as unsigned ints' bytes."""
     if name not in _MADE:
         with open(vocabulary(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = PrefixBpe(ranks)
-        _MADE[name] = bpe, PieceCache(lambda ps: [bpe.encode_piece(p.encode("utf-8", "surrogatepass")) for p in ps])
+        _MADE[name] = bpe, PieceCache(lambda ps: [array("I", bpe.encode_piece(p.encode("utf-8", "surrogatepass"))).tobytes()
+                                                  for p in ps], 300_000)
     return _MADE[name]
 
 
 def encode_text(text: str, name: str = "byte_bpe_50k.tiktoken") -> list[int]:
     """Ids of a whole text."""
     _, cache = encoder(name)
-    ids: list[int] = []
-    for got in cache.values(cache.split.findall(text)):
-        ids += got
-    return ids
+    return array("I", b"".join(cache.values(cache.split.findall(text)))).tolist()
 
 
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:

@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 
-KEEP = 1_000_000
+KEEP = 700_000
 LONG_PIECE = 256                     # longer pieces are encoded and not kept
 
 
@@ -70,8 +70,8 @@ def splitter() -> Splitter:
 class PieceCache:
     """piece -> value, filled by ``encode`` for many new pieces at a time."""
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.known, self.split = encode, {}, splitter()
+    def __init__(self, encode: Callable[[list[str]], list], keep: int = KEEP):
+        self.encode, self.known, self.split, self.keep = encode, {}, splitter(), keep
 
     def values(self, pieces: list[str]) -> list:
         get = self.known.get
@@ -79,7 +79,7 @@ class PieceCache:
         if None in got:
             new = list({p for p, v in zip(pieces, got) if v is None})
             fresh = dict(zip(new, self.encode(new)))
-            if len(self.known) + len(new) > KEEP:
+            if len(self.known) + len(new) > self.keep:
                 self.known = {}
             self.known.update((p, v) for p, v in fresh.items() if len(p) <= LONG_PIECE)
             got = [fresh[p] if v is None else v for p, v in zip(pieces, got)]
