@@ -140,11 +140,8 @@ def dedup_documents(docs: DataFrame, n_batches: int = 4) -> DataFrame:
     """``docs`` with its text cleaned and n_chars counted anew, all other columns as they were."""
     index = index_lines(docs, n_batches)
     kept = index.clean(docs).select("_id", "_th", "kept_text").dropDuplicates(["_id", "_th"])
-    cols = docs.columns
-    rest = docs.drop("text").columns
-    joined = (docs.select(*rest, ordered_id().alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")
+    joined = (docs.select(rest, ordered_id().alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
                   .join(kept, ["_id", "_th"], "left"))
-    out = joined.withColumn("text", F.col("kept_text"))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.char_length("text").cast("bigint"))
-    return out.select(*cols)
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
+    return joined.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
