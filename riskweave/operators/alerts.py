@@ -30,13 +30,13 @@ def policy_cut(df: DataFrame, policy: str = "native", native_col: str = "native_
         thr = trained_threshold
         if thr is None:
             thr = exact_quantile(df, native_col, 1.0 - float(contamination))
-        return thr, f"Native threshold = {float(thr):.6g}" if thr is not None else "Native threshold = n/a"
+        return thr, f"Native threshold from training: {float(thr):.6g}" if thr is not None else "Native threshold from training: none"
     if policy == "manual":
         mc = 0.0 if manual_cutoff is None else float(manual_cutoff)
-        return mc, f"Manual cutoff = {mc:.6g}"
+        return mc, f"score cut set by hand: {mc:.6g}"
     if policy == "topk":
         cut = exact_quantile(df, native_col, 1.0 - float(topk_pct) / 100.0)
-        return cut, f"Top-k% policy = top {float(topk_pct):.1f}% (cut={float(cut):.6g})" if cut is not None else "Top-k% policy"
+        return cut, f"scores in the top {float(topk_pct):.1f}%, from {float(cut):.6g}" if cut is not None else "highest scores: no rows"
     raise ValueError(f"unknown policy: {policy}")
 
 
@@ -171,32 +171,44 @@ def top_suspicious(df: DataFrame, n: int = 5, score_col: str = "aml_score") -> D
 
 def reason_catalog(cfg: RiskConfig = DEFAULT_CONFIG) -> list[tuple[str, str, str]]:
     """(flag column, stable reason code, English text) in the fixed display order."""
-    thr = f"{float(cfg.reporting_threshold):,.0f}"
-    pct = f"{float(cfg.high_amount_percentile) * 100:.0f}"
+    limit = f"{float(cfg.reporting_threshold):,.0f}"
+    top = f"{100 * (1 - float(cfg.high_amount_percentile)):.4g}"
+
+    def weighed(text: str, weight: float) -> str:
+        return f"{text} [+{weight}]"
+
     return [
-        ("high_risk_sender", "high_risk_sender", f"High-Risk Sender Country (Weight: {cfg.weight_high_risk_sender})"),
-        ("high_risk_receiver", "high_risk_receiver", f"High-Risk Receiver Country (Weight: {cfg.weight_high_risk_receiver})"),
-        ("is_high_risk_drug_country_receiver", "drug_country", f"Drug Trafficking Country (Weight: {cfg.weight_drug_country})"),
-        ("near_threshold", "near_threshold", f"Near Threshold {thr} (Weight: {cfg.weight_near_threshold})"),
-        ("structuring_flag", "structuring", f"Structuring Pattern - {cfg.structuring_min_count}+ small transactions (Weight: {cfg.weight_structuring})"),
-        ("midnight_transaction", "midnight", f"Midnight Transaction {cfg.midnight_start_hour}-{cfg.midnight_end_hour} AM (Weight: {cfg.weight_midnight})"),
-        ("high_cashflow_flag_acct_total", "high_cashflow", f"High Cashflow - Top {pct}% (Weight: {cfg.weight_high_cashflow})"),
-        ("multiple_high_risk_transfers", "multiple_high_risk", f"Multiple High-Risk Transfers (Weight: {cfg.weight_multiple_high_risk})"),
-        ("rare_bank_combo_flag", "rare_bank", f"Rare Bank Combination (Weight: {cfg.weight_rare_bank})"),
-        ("definite_fraud_flag", "definite_fraud", "DEFINITE FRAUD FLAG (Multiple conditions met)"),
+        ("high_risk_sender", "high_risk_sender", weighed("sender in a risk country", cfg.weight_high_risk_sender)),
+        ("high_risk_receiver", "high_risk_receiver", weighed("receiver in a risk country", cfg.weight_high_risk_receiver)),
+        ("is_high_risk_drug_country_receiver", "drug_country",
+         weighed("receiver in a drug-route country", cfg.weight_drug_country)),
+        ("near_threshold", "near_threshold", weighed(f"amount just under {limit}", cfg.weight_near_threshold)),
+        ("structuring_flag", "structuring",
+         weighed(f"{cfg.structuring_min_count} or more small payments on one day", cfg.weight_structuring)),
+        ("midnight_transaction", "midnight",
+         weighed(f"made between hours {cfg.midnight_start_hour} and {cfg.midnight_end_hour}", cfg.weight_midnight)),
+        ("high_cashflow_flag_acct_total", "high_cashflow", weighed(f"amount in the top {top} %", cfg.weight_high_cashflow)),
+        ("multiple_high_risk_transfers", "multiple_high_risk",
+         weighed("repeated payments to risk countries", cfg.weight_multiple_high_risk)),
+        ("rare_bank_combo_flag", "rare_bank", weighed("banks that seldom pay each other", cfg.weight_rare_bank)),
+        ("definite_fraud_flag", "definite_fraud", "several strong signs at once"),
     ]
 
 
-def explain_flags(df: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG, only_flagged: bool = True) -> DataFrame:
-    """Fired indicators per row, as an array of reason codes and a text
-    (for every flagged row, not just the top five)."""
+def with_reasons(df: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG) -> DataFrame:
+    """The rows with reason_codes, reasons and n_reasons: fired indicators, as a projection."""
     cat = [c for c in reason_catalog(cfg) if c[0] in df.columns]
     codes = F.array_compact(F.array(*[F.when(F.col(col) == 1, F.lit(code)) for col, code, _ in cat]))
     texts = F.array_compact(F.array(*[F.when(F.col(col) == 1, F.lit(txt)) for col, _, txt in cat]))
+    return df.select("*", codes.alias("reason_codes"), F.concat_ws("; ", texts).alias("reasons"),
+                     F.size(codes).alias("n_reasons"))
+
+
+def explain_flags(df: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG, only_flagged: bool = True) -> DataFrame:
+    """Fired indicators per row, as an array of reason codes and a text
+    (for every flagged row, not just the top five)."""
     src = df.where(F.col("is_flagged") == 1) if only_flagged and "is_flagged" in df.columns else df
-    return src.select("transaction_id", codes.alias("reason_codes"),
-                      F.concat_ws("; ", texts).alias("reasons"),
-                      F.size(codes).alias("n_reasons"))
+    return with_reasons(src, cfg).select("transaction_id", "reason_codes", "reasons", "n_reasons")
 
 
 def reason_counts(df: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG) -> DataFrame:

@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from riskweave.config import FILL_DEFAULTS
 
 
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF](inity|INITY)?)\s*$"
+# Tried in turn where a text is no ISO timestamp; a month first where both readings are possible.
+DATE_FORMS = ("dd.MM.yyyy[ HH:mm[:ss]]", "MM/dd/yyyy[ HH:mm[:ss]]", "dd/MM/yyyy[ HH:mm[:ss]]", "yyyy/MM/dd[ HH:mm[:ss]]",
+              "yyyyMMdd[ HHmmss]", "dd-MMM-yyyy[ HH:mm[:ss]]", "dd-MM-yyyy[ HH:mm[:ss]]")
+
+
 def clean_amount(df: DataFrame) -> DataFrame:
     """Amount to double (bad -> null), keep amount > 0 (drops null and NaN)."""
     if "amount" not in df.columns:
         return df
     amt = F.col("amount")
-    typed = amt if dict(df.dtypes)["amount"] == "double" else F.expr("try_cast(amount AS double)")
+    if dict(df.dtypes)["amount"] == "double":
+        typed = amt
+    else:                                           # a cast alone would take '1d' and '2.5f' for numbers
+        typed = F.when(amt.cast("string").rlike(NUMBER), F.expr("try_cast(amount AS double)"))
     out = df.withColumn("amount", typed)
     return out.where((F.col("amount") > 0) & ~F.isnan("amount"))
 
@@ -24,7 +33,8 @@ def clean_timestamp(df: DataFrame) -> DataFrame:
         return df
     if dict(df.dtypes)["timestamp"] == "timestamp_ntz":
         return df
-    return df.withColumn("timestamp", F.expr("try_cast(`timestamp` AS timestamp_ntz)"))
+    forms = [F.expr(f"CAST(try_to_timestamp(trim(CAST(`timestamp` AS string)), '{f}') AS timestamp_ntz)") for f in DATE_FORMS]
+    return df.withColumn("timestamp", F.coalesce(F.expr("try_cast(`timestamp` AS timestamp_ntz)"), *forms))
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:

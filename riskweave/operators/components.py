@@ -51,27 +51,24 @@ def _small_star(e: DataFrame, small: bool) -> DataFrame:
     return _canon(to_min.unionByName(m.select(F.col("u").alias("a"), F.col("m").alias("b"))))
 
 
-LAST_ROUNDS = [0]
+def _mark(e: DataFrame) -> tuple:
+    """Row count and two order-free checksums of an edge set."""
+    h = F.xxhash64("u", "v")
+    return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(h), F.bit_xor(F.xxhash64(h, F.lit(1)))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """(node, component) with component = smallest node of its weak component."""
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component) with component = smallest node of its weak component.
+    Rounds go on until the edge set stays the same."""
     nodes = (edges.select(F.col(src).alias("node"))
                   .unionByName(edges.select(F.col(dst).alias("node"))).distinct())
     e = cut_lineage(_canon(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))))
     limit = int(edges.sparkSession.conf.get("riskweave.join.broadcastKeys", str(BROADCAST_KEYS)))
     small = e.select("u").unionByName(e.select(F.col("v").alias("u"))).distinct().count() <= limit
-    rounds = 0
-    for _ in range(max_rounds):
-        rounds += 1
-        nxt = cut_lineage(_small_star(_large_star(e, small), small))
-        # edge sets equal <=> no edge on only one side (one job, both sides are sets)
-        diff = (nxt.withColumn("_n", F.lit(1)).join(e.withColumn("_o", F.lit(1)), ["u", "v"], "full_outer")
-                   .where(F.col("_n").isNull() | F.col("_o").isNull()).isEmpty())
-        e = nxt
-        if diff:
-            break
-    LAST_ROUNDS[0] = rounds
+    mark, last = _mark(e), None
+    while mark != last:
+        e = cut_lineage(_small_star(_large_star(e, small), small))
+        mark, last = _mark(e), mark
     adj = _both(e)
     label = adj.groupBy("u").agg(F.min("v").alias("mv")).select(F.col("u").alias("node"),
                                                                   F.least("u", "mv").alias("component"))

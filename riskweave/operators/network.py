@@ -92,7 +92,7 @@ def select_for_network(df: DataFrame, score_col: str | None, threshold: float, l
                            .limit(remaining).drop("_amt_num"))
         ctx_ids = [r[0] for r in context.select(id_col).collect()]   # <= limit ids
         still = remaining - len(ctx_ids)
-        filler = (normal.where(~F.col(id_col).isin(ctx_ids)).orderBy(*by_score).limit(still)
+        filler = (normal.where(F.coalesce(~F.col(id_col).isin(ctx_ids), F.lit(True))).orderBy(*by_score).limit(still)
                   if still > 0 else empty)
     parts = [flagged.withColumn("_part", F.lit("flagged")), context.withColumn("_part", F.lit("context")),
              filler.withColumn("_part", F.lit("filler"))]

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every operator assumes: UTC session zone, ANSI on (Spark 4 default),
@@ -23,10 +24,12 @@ BASE_CONF = {
 
 def get_spark(app: str = "riskweave", cpus: int | str = "*", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
-    b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
+    b = SparkSession.builder.appName(app)
+    if not SparkConf().get("spark.master", None):          # a master that spark-submit names stays
+        b = b.master(f"local[{cpus}]")
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or (os.cpu_count() if cpus == "*" else cpus))
-    conf.setdefault("spark.driver.memory", "16g")
+    conf.setdefault("spark.driver.memory", "8g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

@@ -26,12 +26,15 @@ def detect_format(path: str) -> str:
     raise ValueError(f"Unsupported file format: {path}")   # S3
 
 
-def read_transactions(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Dispatch on extension (or ``fmt``); CSV header row, text columns."""
+def read_transactions(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Dispatch on extension (or ``fmt``); CSV header row, text columns, quotes
+    doubled inside quoted fields. ``multi_line`` reads line breaks inside quotes,
+    for which a file can't be split."""
     fmt = fmt or detect_format(path)
     if fmt == "csv":
         return (spark.read.option("header", True).option("mode", "PERMISSIVE")
-                .option("inferSchema", False).csv(path))
+                .option("inferSchema", False)
+                .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path))
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "xlsx":

@@ -30,6 +30,6 @@ def export(df: DataFrame, path: str, mode: str = "all", fmt: str = "csv", partit
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     else:
         w.parquet(path)

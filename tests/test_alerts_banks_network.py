@@ -38,7 +38,7 @@ def test_explain_reasons(spark):
                                "midnight_transaction int, is_flagged int")
     r = A.explain_flags(df).collect()
     assert len(r) == 1 and r[0]["reason_codes"] == ["high_risk_sender", "midnight"]
-    assert r[0]["reasons"].startswith("High-Risk Sender Country (Weight: 3.0); Midnight Transaction 0-6 AM")
+    assert r[0]["reasons"].startswith("sender in a risk country [+3.0]; made between hours 0 and 6")
 
 
 SCORED = ("transaction_id long, amount double, sender_bank string, receiver_bank string, "
