@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.pieces import PieceCache, vocabulary
 
-PAIRS = 300_000                      # pair checks a process remembers
+CHUNK = 1 << 19                      # ids in one Arrow batch of results
+PAIRS = 200_000                      # pair checks a process remembers
 
 
 class PrefixBpe:
@@ -159,7 +161,7 @@ def encoder(name: str = "byte_bpe_50k.tiktoken") -> tuple[PrefixBpe, PieceCache]
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = PrefixBpe(ranks)
         _MADE[name] = bpe, PieceCache(lambda ps: [array("I", bpe.encode_piece(p.encode("utf-8", "surrogatepass"))).tobytes()
-                                                  for p in ps], 300_000)
+                                                  for p in ps], 200_000)
     return _MADE[name]
 
 
@@ -179,17 +181,35 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFr
 
 
 def encode_checked(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """(doc_id, source, n_tokens, ids, exact): ``exact`` tells whether the ids decode to the text's bytes."""
-    @F.pandas_udf("n_tokens bigint, ids array<int>, exact boolean")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """(doc_id, source, n_tokens, ids, exact): ``exact`` tells whether the ids decode to
+    the text's bytes. A task holds about CHUNK ids at a time, one text's at least."""
+    names = ["doc_id", "source", "n_tokens", "ids", "exact"]
+
+    def table(out) -> pa.RecordBatch:
+        ids = np.concatenate([o[2] for o in out])
+        ends = np.concatenate([[0], np.cumsum([len(o[2]) for o in out])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, type=pa.int32()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([o[0] for o in out], type=pa.int64()), pa.array([o[1] for o in out], type=pa.string()),
+             pa.array(np.diff(ends), type=pa.int64()), lists, pa.array([o[3] for o in out], type=pa.bool_())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = encoder(vocabulary)
-        for batch in texts:
-            out = []
-            for t in batch:
-                ids = encode_text(t or "", vocabulary)
-                out.append((len(ids), np.array(ids, dtype=np.int32), bpe.decode(ids) == (t or "").encode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(out, columns=["n_tokens", "ids", "exact"])
-    return docs.select("doc_id", "source", run("text").alias("r")).select("doc_id", "source", "r.*")
+        out, size = [], 0
+        for b in batches:
+            for i, text, source in zip(*b.columns):
+                text = text.as_py() or ""
+                ids = encode_text(text, vocabulary)
+                exact = bpe.decode(ids) == text.encode("utf-8", "surrogatepass")
+                out.append((i.as_py(), source.as_py(), np.array(ids, dtype=np.int32), exact))
+                size += len(ids)
+                if size >= CHUNK:
+                    yield table(out)
+                    out, size = [], 0
+        if out:
+            yield table(out)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
+    return rows.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, ids array<int>, exact boolean")
 
 
 def decode(rows: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
