@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.config import (DEFAULT_CONFIG, ENHANCED_SCORE_CUT, HIGH_WEIGHT_INDICATORS,
                               HIGH_WEIGHT_MIN_COUNT, RiskConfig)
+from riskweave.functions.keys import with_row_key
 from riskweave.functions.quantile import exact_quantile
 from riskweave.functions.rank import percentile_rank
 
@@ -18,8 +19,8 @@ def _flag(cond: Column) -> Column:
 # --- A1-A4: model score -> policy flag ---------------------------------------
 def percentile_score(df: DataFrame, native_col: str = "native_score", tie_col: str = "transaction_id",
                      out_col: str = "aml_score") -> DataFrame:
-    """A1: ordinal rank of the native score / (n - 1), ties by ``tie_col``."""
-    return percentile_rank(df, native_col, tie_col, out_col)
+    """A1: ordinal rank of the native score / (n - 1), ties by ``tie_col`` (a row key where absent)."""
+    return percentile_rank(with_row_key(df, tie_col), native_col, tie_col, out_col)
 
 
 def policy_cut(df: DataFrame, policy: str = "native", native_col: str = "native_score",
@@ -84,6 +85,7 @@ def attach_scores(df: DataFrame, native: Column, cut: float | None = None, conta
     The percentile rank checkpoints the table once; the policy cut (data
     quantile when no trained threshold is given) is read from that copy.
     """
+    df = with_row_key(df, tie_col)
     out = df.withColumn("native_score", native.cast("double"))
     out = percentile_score(out, "native_score", tie_col, "aml_score")
     if cut is None:
@@ -165,6 +167,7 @@ TOP_COLUMNS = ("transaction_id", "amount", "sender_country", "receiver_country",
 
 def top_suspicious(df: DataFrame, n: int = 5, score_col: str = "aml_score") -> DataFrame:
     """Highest score first (top-k plan, no full sort), ties by id."""
+    df = with_row_key(df)
     cols = [c for c in TOP_COLUMNS if c in df.columns]
     return df.orderBy(F.col(score_col).desc(), F.col("transaction_id").asc()).limit(n).select(*cols)
 
@@ -207,6 +210,7 @@ def with_reasons(df: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG) -> DataFrame:
 def explain_flags(df: DataFrame, cfg: RiskConfig = DEFAULT_CONFIG, only_flagged: bool = True) -> DataFrame:
     """Fired indicators per row, as an array of reason codes and a text
     (for every flagged row, not just the top five)."""
+    df = with_row_key(df)
     src = df.where(F.col("is_flagged") == 1) if only_flagged and "is_flagged" in df.columns else df
     return with_reasons(src, cfg).select("transaction_id", "reason_codes", "reasons", "n_reasons")
 

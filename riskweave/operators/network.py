@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.keys import row_key, with_row_key
 from riskweave.functions.rank import global_rank
 from riskweave.functions.topk import top_k_per_group
 from riskweave.operators.components import connected_components
+from riskweave.session import cut_lineage
 
 # Direct column names tried first, then keyword tokens.
 SCORE_NAMES = ("enhanced_aml_score", "anomaly_score", "aml_score", "score")
@@ -32,15 +34,25 @@ MAX_TX_PER_EDGE = 6
 
 
 def guess_column(columns: list[str], direct, keywords=()) -> str | None:
-    """First exact name, else first column with a keyword as a whole token."""
+    """First exact name, else first column that holds a keyword: of up to four
+    letters as a whole token, longer ones at a token's beginning, several tokens
+    anywhere in the name."""
+    def holds(name: str, word: str) -> bool:
+        tokens = name.split("_")
+        if "_" in word:
+            return word in name
+        return word in tokens or (len(word) > 4 and any(t.startswith(word) for t in tokens))
+
     for c in direct:
         if c in columns:
             return c
-    for c in columns:
-        tokens = str(c).lower().split("_")
-        if any(k in tokens for k in keywords):
-            return c
-    return None
+    return next((c for c in columns if any(holds(str(c).lower(), k) for k in keywords)), None)
+
+
+def account_column(columns: list[str], direct, keywords) -> str | None:
+    """N1 for an account: banks and places of the same party are no account."""
+    other = ("bank", "banka", "country", "lokacioni", "shteti", "details", "risk")
+    return guess_column([c for c in columns if not set(str(c).lower().split("_")) & set(other)], direct, keywords)
 
 
 def _score(df: DataFrame, score_col: str | None):
@@ -60,57 +72,49 @@ class Selection:
 
 def select_for_network(df: DataFrame, score_col: str | None, threshold: float, limit: int,
                        id_col: str = "transaction_id") -> Selection:
-    """Flagged rows first (top by score if they fill the limit), then
-    context rows sharing an account with a flagged row (score desc, amount
-    desc), then top normal rows. All three parts are bounded by ``limit``, so
-    the account set used for the semi-join is bounded too."""
-    spark = df.sparkSession
-    sc, amt_col = _score(df, score_col), guess_column(df.columns, AMOUNT_NAMES, ("amount", "shuma", "amt", "value"))
-    snd = guess_column(df.columns, SENDER_NAMES, SENDER_KEYWORDS)
-    rcv = guess_column(df.columns, RECEIVER_NAMES, RECEIVER_KEYWORDS)
-    t = df.withColumn("_score_num", sc)
-    flagged_all = t.where(F.col("_score_num") >= threshold)
-    normal = t.where(F.col("_score_num") < threshold)
-    n_total, n_flag = t.agg(F.count(F.lit(1)), F.count(F.when(F.col("_score_num") >= threshold, 1))).first()
-    by_score = [F.col("_score_num").desc(), F.col(id_col).asc()]
-    empty = t.limit(0)
-    if limit <= 0:
-        flagged, context, filler = empty, empty, empty
-    elif n_flag >= limit:
-        flagged, context, filler = flagged_all.orderBy(*by_score).limit(limit), empty, empty
-    else:
-        flagged, remaining = flagged_all, limit - n_flag
-        context = empty
-        if snd and rcv and n_flag > 0:
-            accts = flagged_all.select(F.col(snd).cast("string").alias("a")).unionByName(
-                flagged_all.select(F.col(rcv).cast("string").alias("a"))).distinct()
-            ids = [r["a"] for r in accts.collect()]          # < 2 * limit accounts
-            amt = F.coalesce(F.expr(f"try_cast(`{amt_col}` AS double)"), F.lit(0.0)) if amt_col else F.lit(0.0)
-            cand = normal.where(F.col(snd).cast("string").isin(ids) | F.col(rcv).cast("string").isin(ids))
-            context = (cand.withColumn("_amt_num", amt)
-                           .orderBy(F.col("_score_num").desc(), F.col("_amt_num").desc(), F.col(id_col).asc())
-                           .limit(remaining).drop("_amt_num"))
-        ctx_ids = [r[0] for r in context.select(id_col).collect()]   # <= limit ids
-        still = remaining - len(ctx_ids)
-        filler = (normal.where(F.coalesce(~F.col(id_col).isin(ctx_ids), F.lit(True))).orderBy(*by_score).limit(still)
-                  if still > 0 else empty)
-    parts = [flagged.withColumn("_part", F.lit("flagged")), context.withColumn("_part", F.lit("context")),
-             filler.withColumn("_part", F.lit("filler"))]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Flagged rows first (by score), then context rows, which share an
+    account with a flagged row (by score, then amount), then the others by score;
+    ties by id, ``limit`` rows in all.
+
+    One top-k over a rank of the three kinds, written once. The flagged rows'
+    accounts are only needed when fewer than ``limit`` rows are flagged, so at
+    most 2 * ``limit`` accounts are broadcast."""
+    df = with_row_key(df, id_col)
+    snd, rcv = (account_column(df.columns, names, words) for names, words in
+                ((SENDER_NAMES, SENDER_KEYWORDS), (RECEIVER_NAMES, RECEIVER_KEYWORDS)))
+    amt_col = guess_column(df.columns, AMOUNT_NAMES, ("amount", "shuma", "amt", "value"))
+    amount = F.coalesce(F.expr(f"try_cast(`{amt_col}` AS double)"), F.lit(0.0)) if amt_col else F.lit(0.0)
+    t = df.withColumn("_score_num", _score(df, score_col))
+    is_flagged = F.col("_score_num") >= threshold
+    n_total, n_flag = t.agg(F.count(F.lit(1)), F.count(F.when(is_flagged, 1))).first()
+    shares = F.lit(False)
+    if snd and rcv and 0 < n_flag < limit:
+        both = F.explode(F.array(F.col(snd).cast("string"), F.col(rcv).cast("string"))).alias("_account")
+        accounts = t.where(is_flagged).select(both).where("_account IS NOT NULL").distinct()
+        for side, col in (("_s", snd), ("_r", rcv)):
+            known = accounts.select(F.col("_account").alias(side))
+            t = t.join(F.broadcast(known), F.col(col).cast("string") == F.col(side), "left")
+        shares = F.col("_s").isNotNull() | F.col("_r").isNotNull()
+    part = F.when(is_flagged, "flagged").when(shares, "context").otherwise("filler")
+    rank = F.when(is_flagged, 0).when(shares, 1).otherwise(2)
+    rows = (t.withColumn("_part", part)
+             .orderBy(rank, F.col("_score_num").desc(), F.when(F.col("_part") == "context", amount).desc(),
+                      F.col(id_col).asc())
+             .limit(max(limit, 0)).select(*df.columns, "_part"))
+    rows = cut_lineage(rows)
     counts = rows.agg(F.count(F.lit(1)).alias("selected_total"),
                       F.count(F.when(F.col("_part") == "flagged", 1)).alias("selected_fraud"),
                       F.count(F.when(F.col("_part") != "flagged", 1)).alias("selected_context")) \
                  .select("*", F.lit(int(n_total)).cast("bigint").alias("total_transactions_in_df"),
                          F.lit(int(n_flag)).cast("bigint").alias("flagged_transactions_in_df"))
-    drop = ["_score_num", "_part"]
-    return Selection(rows.drop(*drop), flagged.drop("_score_num"), context.drop("_score_num"),
-                     filler.drop("_score_num"), counts)
+    kinds = [rows.where(F.col("_part") == k).drop("_part") for k in ("flagged", "context", "filler")]
+    return Selection(rows.drop("_part"), *kinds, counts)
 
 
 # --- N6-N11: edges and nodes --------------------------------------------------
 def _first_present(df: DataFrame, names) -> list[str]:
     lower = {c.lower(): c for c in df.columns}
-    return [lower[n.lower()] for n in names if n.lower() in lower]
+    return [lower[n.lower()] for n in names if n and n.lower() in lower]
 
 
 def _text_coalesce(df: DataFrame, names):
@@ -120,16 +124,21 @@ def _text_coalesce(df: DataFrame, names):
 
 def resolve_endpoints(df: DataFrame, score_col: str | None = None, id_col: str = "transaction_id") -> DataFrame:
     """Per payment: src, dst (S_/R_ + id when blank), amount (bad -> 0),
-    banks ('Unknown' when blank), score (null -> 0)."""
+    banks ('Unknown' when blank), score (null -> 0). Accounts are found by keyword
+    where no known name is there; a payment without an id has a row key."""
     score_col = score_col or guess_column(df.columns, SCORE_NAMES)
-    tid = _text_coalesce(df, TXID_NAMES)
     amt_cols = _first_present(df, AMOUNT_NAMES)
-    amount = F.coalesce(*[F.expr(f"try_cast(`{c}` AS double)") for c in amt_cols], F.lit(0.0)) if amt_cols else F.lit(0.0)
+    amount = F.coalesce(F.expr(f"try_cast(`{amt_cols[0]}` AS double)"), F.lit(0.0)) if amt_cols else F.lit(0.0)
+    senders, receivers = ([account_column(df.columns, (), words)] if not _first_present(df, names) else names
+                          for names, words in ((SENDER_NAMES, SENDER_KEYWORDS), (RECEIVER_NAMES, RECEIVER_KEYWORDS)))
     ts_cols = _first_present(df, TS_NAMES)
+    read = [c for names in (senders, receivers, SENDER_BANK_NAMES, RECEIVER_BANK_NAMES) for c in _first_present(df, names)]
+    read = list(dict.fromkeys(read + amt_cols[:1] + ts_cols[:1]))
+    tid = F.coalesce(_text_coalesce(df, TXID_NAMES), row_key(df.select(*[f"`{c}`" for c in read])))
     return df.select(
         tid.alias("transaction_id"),
-        F.coalesce(_text_coalesce(df, SENDER_NAMES), F.concat(F.lit("S_"), tid)).alias("src"),
-        F.coalesce(_text_coalesce(df, RECEIVER_NAMES), F.concat(F.lit("R_"), tid)).alias("dst"),
+        F.coalesce(_text_coalesce(df, senders), F.concat(F.lit("S_"), tid)).alias("src"),
+        F.coalesce(_text_coalesce(df, receivers), F.concat(F.lit("R_"), tid)).alias("dst"),
         amount.alias("amount"),
         F.coalesce(_text_coalesce(df, SENDER_BANK_NAMES), F.lit("Unknown")).alias("sender_bank"),
         F.coalesce(_text_coalesce(df, RECEIVER_BANK_NAMES), F.lit("Unknown")).alias("receiver_bank"),

@@ -114,11 +114,25 @@ def q_c7(spark, sf_dir):
     return _typed_out(C.clean(_mapped_raw(spark, sf_dir)))
 
 
+#: Headers of a second, untidily written feed.
+FEED_HEADERS = {"tx_id": "Transaction ID", "shuma_e_transaksionit": "AMOUNT", "id_i_llogarise_se_derguesit": "Sender ID",
+                "id_i_llogarise_se_perfituesit": "Receiver ID", "banka_derguese": "Sender Bank",
+                "lokacioni_i_derguesit": "sender country", "lokacioni_i_perfituesit": "Receiver Country ",
+                "data_transaksionit": "Timestamp", "tx_type": "Transaction Type"}
+
+
 @register("q_s13_load_and_map", _raw_sql("SELECT count(*) AS n_rows, count(DISTINCT transaction_id) AS n_ids, "
                                          "CAST(sum(amount) AS DOUBLE) AS total_amount FROM cl"))
 def q_s13(spark, sf_dir):
-    """Mapped + cleaned upload summarised (one feed; many feeds union by name)."""
-    d = C.clean(_mapped_raw(spark, sf_dir))
+    """The upload as two CSV feeds with different headers, read and mapped to one
+    table, cleaned and summarised. A row's id decides its feed; both are read whole."""
+    from riskweave.sources.mapping import load_and_map
+    raw, path = fixtures.txn_raw(spark, sf_dir), scratch_dir(spark)
+    first = F.crc32(F.col("tx_id")) % 2 == 0
+    feeds = {"a.csv": raw.where(first), "b.csv": raw.where(~first).withColumnsRenamed(FEED_HEADERS)}
+    for name, feed in feeds.items():
+        feed.write.option("header", True).csv(f"{path}/{name}")
+    d = C.clean(load_and_map(spark, [f"{path}/{name}" for name in feeds], "csv")[0])
     return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("transaction_id").alias("n_ids"),
                  F.sum("amount").alias("total_amount"))
 
@@ -483,22 +497,23 @@ def q_b12(spark, sf_dir):
 # ---------------------------------------------------------------- network
 NET_SCORE, NET_THR, NET_LIMIT = "aml_score", 0.99, 400
 
-_SEL_CTES = f"""fl AS (SELECT * FROM scored WHERE aml_score >= {NET_THR}),
+def _sel_ctes(threshold: float, limit: int) -> str:
+    return f"""fl AS (SELECT * FROM scored WHERE aml_score >= {threshold}),
 nf AS (SELECT count(*) AS c FROM fl),
-nm AS (SELECT * FROM scored WHERE aml_score < {NET_THR}),
-sel_f AS (SELECT * FROM fl WHERE (SELECT c FROM nf) < {NET_LIMIT}
+nm AS (SELECT * FROM scored WHERE aml_score < {threshold}),
+sel_f AS (SELECT * FROM fl WHERE (SELECT c FROM nf) < {limit}
           UNION ALL
           SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (ORDER BY aml_score DESC, transaction_id) AS rn FROM fl) z
-          WHERE (SELECT c FROM nf) >= {NET_LIMIT} AND rn <= {NET_LIMIT}),
+          WHERE (SELECT c FROM nf) >= {limit} AND rn <= {limit}),
 acc AS (SELECT CAST(sender_id AS VARCHAR) AS a FROM fl UNION SELECT CAST(receiver_id AS VARCHAR) FROM fl),
 ctx AS (SELECT * FROM (
           SELECT *, row_number() OVER (ORDER BY aml_score DESC, amount DESC, transaction_id) AS rn FROM nm
           WHERE CAST(sender_id AS VARCHAR) IN (SELECT a FROM acc) OR CAST(receiver_id AS VARCHAR) IN (SELECT a FROM acc)) z
-        WHERE (SELECT c FROM nf) < {NET_LIMIT} AND rn <= {NET_LIMIT} - (SELECT c FROM nf)),
+        WHERE (SELECT c FROM nf) < {limit} AND rn <= {limit} - (SELECT c FROM nf)),
 fil AS (SELECT * FROM (
           SELECT *, row_number() OVER (ORDER BY aml_score DESC, transaction_id) AS rn FROM nm
           WHERE transaction_id NOT IN (SELECT transaction_id FROM ctx)) z
-        WHERE (SELECT c FROM nf) < {NET_LIMIT} AND rn <= {NET_LIMIT} - (SELECT c FROM nf) - (SELECT count(*) FROM ctx)),
+        WHERE (SELECT c FROM nf) < {limit} AND rn <= {limit} - (SELECT c FROM nf) - (SELECT count(*) FROM ctx)),
 sel AS (SELECT transaction_id, sender_id, receiver_id, amount, sender_bank, receiver_bank, aml_score, "timestamp" FROM sel_f
         UNION ALL SELECT transaction_id, sender_id, receiver_id, amount, sender_bank, receiver_bank, aml_score, "timestamp" FROM ctx
         UNION ALL SELECT transaction_id, sender_id, receiver_id, amount, sender_bank, receiver_bank, aml_score, "timestamp" FROM fil)"""
@@ -511,7 +526,8 @@ reach(node, lbl) AS (SELECT a, a FROM ue
 comp AS (SELECT node, min(lbl) AS component FROM reach GROUP BY node)"""
 
 
-def _net_sql(body: str, source: str = "scored", components: bool = False) -> str:
+def _net_sql(body: str, source: str = "scored", components: bool = False, threshold: float = NET_THR,
+             limit: int = NET_LIMIT) -> str:
     """Scored fixture -> selection -> endpoints (from ``source``) -> edges ->
     edge ends -> degrees; with ``components`` also the recursive label CTEs."""
     ep = f"""ep AS (SELECT CAST(transaction_id AS VARCHAR) AS transaction_id,
@@ -529,7 +545,7 @@ ends AS (SELECT src AS account, 0 AS in_degree, 1 AS out_degree, 0.0 AS amount_i
 deg AS (SELECT account, CAST(sum(in_degree) AS BIGINT) AS in_degree, CAST(sum(out_degree) AS BIGINT) AS out_degree,
                CAST(sum(in_degree) + sum(out_degree) AS BIGINT) AS degree FROM ends GROUP BY account)"""
     ctes = [O.txn_cte(), O.clean_ctes("txn", O.TXN_COLUMNS), O.feature_ctes(),
-            O.scored_ctes(DEFAULT_CONFIG.contamination), _SEL_CTES, ep]
+            O.scored_ctes(DEFAULT_CONFIG.contamination), _sel_ctes(threshold, limit), ep]
     if components:
         ctes.append(_COMP_CTE)
     sql = O.with_chain(*ctes, body=body)
@@ -550,9 +566,25 @@ def q_n3(spark, sf_dir):
     return _sel(spark, sf_dir).context.select("transaction_id", "aml_score")
 
 
-@register("q_n4_select_filler", _net_sql("SELECT transaction_id, aml_score FROM fil"))
+#: A threshold and a limit that leave room for filler rows.
+FILLER_THR, FILLER_LIMIT = 0.9995, 2000
+
+
+@register("q_n4_select_filler", _net_sql("SELECT transaction_id, aml_score FROM fil",
+                                           threshold=FILLER_THR, limit=FILLER_LIMIT))
 def q_n4(spark, sf_dir):
-    return _sel(spark, sf_dir).filler.select("transaction_id", "aml_score")
+    sel = N.select_for_network(scored_table(spark, sf_dir), NET_SCORE, FILLER_THR, FILLER_LIMIT)
+    return sel.filler.select("transaction_id", "aml_score")
+
+
+FULL_LIMIT = 5
+
+
+@register("q_n2_select_flagged_full", _net_sql("SELECT transaction_id, aml_score FROM sel_f", limit=FULL_LIMIT))
+def q_n2_full(spark, sf_dir):
+    """More flagged rows than the selection holds."""
+    sel = N.select_for_network(scored_table(spark, sf_dir), NET_SCORE, NET_THR, FULL_LIMIT)
+    return sel.flagged.select("transaction_id", "aml_score")
 
 
 @register("q_n5_selection_counts", _net_sql(
@@ -829,7 +861,8 @@ def _train(spark, sf_dir, types=("isolation_forest", "pca")):
     return feat, d, paths
 
 
-@register("q_m12_save_load_model")
+@register("q_m12_save_load_model", O.features_query(
+    "SELECT count(*) AS n_rows, CAST(0 AS DOUBLE) AS max_abs_diff FROM feat"))
 def q_m12(spark, sf_dir):
     """Scores of the saved-and-reloaded forest equal the in-memory ones."""
     from riskweave.operators.models.artifacts import load_model, model_metadata, save_model
@@ -845,14 +878,18 @@ def q_m12(spark, sf_dir):
                                            F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"))
 
 
-@register("q_m14_train_models")
+@register("q_m14_train_models", O.features_query(" UNION ALL ".join(
+    f"SELECT '{kind}' AS model_type, CAST({len(MODEL_FEATURES)} AS INTEGER) AS n_features, count(*) AS n_samples, "
+    f"CAST(0.01 AS DOUBLE) AS contamination FROM feat" for kind in ("IsolationForest", "PCA"))))
 def q_m14(spark, sf_dir):
     from riskweave.operators.models.artifacts import model_registry
     _, d, _ = _train(spark, sf_dir)
     return model_registry(spark, d).select("model_type", "n_features", "n_samples", "contamination")
 
 
-@register("q_m15_retrain")
+@register("q_m15_retrain", O.features_query(
+    f"SELECT 'IsolationForest' AS model_type, CAST({len(MODEL_FEATURES) - 1} AS INTEGER) AS n_features, "
+    "count(*) AS n_samples, CAST(100 AS INTEGER) AS n_estimators FROM feat"))
 def q_m15(spark, sf_dir):
     from riskweave.operators.models.artifacts import load_metadata
     from riskweave.operators.models.training import retrain
@@ -899,8 +936,11 @@ def _export_sql(where: str = "", drop=()) -> str:
 
 
 def _export(spark, sf_dir, mode):
-    from riskweave.sources.sinks import export_frame
-    out = export_frame(scored_table(spark, sf_dir), mode)
+    """Written by the sink and read back."""
+    from riskweave.sources.sinks import export
+    path = scratch_dir(spark) + "/export"
+    export(scored_table(spark, sf_dir), path, mode, "parquet")
+    out = spark.read.parquet(path)
     return out.select(*[c for c in out.columns if c != "timestamp"], ts_text())
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.config import DEFAULT_CONFIG, RiskConfig
+from riskweave.functions.keys import with_row_key
 from riskweave.operators.alerts import attach_scores
 from riskweave.operators.clean import clean
 from riskweave.operators.features import engineer_features
@@ -42,14 +43,16 @@ def score_transactions(spark: SparkSession, model_path: str, df: DataFrame, poli
                        contamination: float = 0.01) -> tuple[DataFrame, str]:
     """Model native score + percentile score + policy + rule flags.
 
-    One narrow map (the model UDF over Arrow batches) plus the range shuffle
-    of the percentile rank; the model kind comes from the artifact metadata.
+    The model UDF runs once over the rows: the scored rows are written, and the
+    quantile and the percentile rank read that table. The model kind comes from
+    the artifact metadata; a feed without ``transaction_id`` gets row keys.
     Returns (scored table, policy description)."""
     from riskweave.operators import alerts as A
     from riskweave.operators.models.artifacts import load_model
     from riskweave.operators.models.training import native_scores
     model, scaler, md = load_model(spark, model_path)
-    with_native = native_scores(model, scaler, df, keep=df.columns).drop("x")
+    df = with_row_key(df)
+    with_native = cut_lineage(native_scores(model, scaler, df, keep=df.columns).drop("x"))
     ranked = A.percentile_score(with_native, "native_score", "transaction_id", "aml_score")
     cut, text = A.policy_cut(ranked, policy, "native_score", md.get("threshold"), manual_cutoff, topk_pct,
                              contamination)
