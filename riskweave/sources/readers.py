@@ -7,6 +7,7 @@ becomes null instead of failing the job.
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import xml.etree.ElementTree as ET
@@ -14,6 +15,7 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SUPPORTED = (".csv", ".parquet", ".xlsx")
 
@@ -56,6 +58,45 @@ def _col_index(letters: str) -> int:
     return n - 1
 
 
+#: Number formats of the file format that show a date or a time.
+_DATE_FORMATS = frozenset([*range(14, 23), *range(45, 48)])
+_LITERAL = re.compile(r'"[^"]*"|\\.|\[(?!h+\]|m+\]|s+\])[^\]]*\]|_.', re.I)      # quoted, escaped, [Red], padding
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a date or a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    dates = set(_DATE_FORMATS)
+    for f in root.findall("m:numFmts/m:numFmt", _NS):
+        if re.search("[dmyhs]", _LITERAL.sub("", f.get("formatCode") or ""), re.I):
+            dates.add(int(f.get("numFmtId")))
+    return {i for i, xf in enumerate(root.findall("m:cellXfs/m:xf", _NS)) if int(xf.get("numFmtId") or 0) in dates}
+
+
+def _date_text(serial: str, from_1904: bool) -> str:
+    """A day number as ISO text (as it is, if it is none)."""
+    try:
+        days = float(serial)
+        # day 60 of the 1900 calendar is a 29 February that never was
+        start = dt.datetime(1904, 1, 1) if from_1904 else dt.datetime(1899, 12, 30 if days >= 60 else 31)
+        return (start + dt.timedelta(seconds=round(days * 86400))).isoformat(" ")
+    except (ValueError, OverflowError):
+        return serial
+
+
+def _header(row: list[str | None]) -> list[str]:
+    """Column names of a header row; a name met again gets .1, .2, ..."""
+    seen: dict[str, int] = {}
+    out = []
+    for h in ("" if v is None else str(v) for v in row):
+        n = seen.get(h, 0)
+        seen[h] = n + 1
+        out.append(f"{h}.{n}" if h and n else h)
+    return out
+
+
 def _first_sheet_rows(data: bytes, max_rows: int | None = None) -> list[list[str | None]]:
     """Rows of the first sheet as text (first row = header)."""
     z = zipfile.ZipFile(io.BytesIO(data))
@@ -70,6 +111,9 @@ def _first_sheet_rows(data: bytes, max_rows: int | None = None) -> list[list[str
     if "xl/sharedStrings.xml" in z.namelist():
         for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
             shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+    dates = _date_styles(z)
+    properties = wb.find("m:workbookPr", _NS)
+    from_1904 = properties is not None and properties.get("date1904") in ("1", "true")
     rows: list[list[str | None]] = []
     for row in ET.fromstring(z.read(target)).iter(f"{{{_NS['m']}}}row"):
         cells: dict[int, str | None] = {}
@@ -85,6 +129,8 @@ def _first_sheet_rows(data: bytes, max_rows: int | None = None) -> list[list[str
                     val = shared[int(val)]
                 elif val is not None and t == "b":
                     val = "True" if val == "1" else "False"
+                elif val is not None and t in (None, "n") and int(c.get("s") or 0) in dates:
+                    val = _date_text(val, from_1904)
             cells[idx] = val
         width = max(cells) + 1 if cells else 0
         rows.append([cells.get(i) for i in range(width)])
@@ -103,14 +149,12 @@ def read_workbooks(spark: SparkSession, glob: str) -> DataFrame:
         for pdf in it:
             for path, content in zip(pdf["path"], pdf["content"]):
                 head = _first_sheet_rows(content, max_rows=1)
-                for h in (head[0] if head else []):
-                    yield pd.DataFrame({"h": pd.Series([str(h) if h is not None else ""], dtype=object)})
-
-    names: list[str] = []
-    for r in files.mapInPandas(headers, "h string").distinct().collect():   # header names only
-        if r["h"] and r["h"] not in names:
-            names.append(r["h"])
-    names.sort()
+                names = [h for h in _header(head[0] if head else []) if h]
+                yield pd.DataFrame({"h": pd.Series(names, dtype=object), "at": range(len(names))})
+
+    # header names only, in the order of the sheets that hold them furthest left
+    found = files.mapInPandas(headers, "h string, at int").groupBy("h").agg(F.min("at").alias("at"))
+    names = [r["h"] for r in found.orderBy("at", "h").collect()]
     schema = ", ".join(f"`{n}` string" for n in names) or "_empty string"
 
     def body(it):
@@ -119,7 +163,7 @@ def read_workbooks(spark: SparkSession, glob: str) -> DataFrame:
                 rows = _first_sheet_rows(content)
                 if not rows:
                     continue
-                head = [str(h) if h is not None else "" for h in rows[0]]
+                head = _header(rows[0])
                 recs = [{h: (r[i] if i < len(r) else None) for i, h in enumerate(head) if h} for r in rows[1:]]
                 yield pd.DataFrame(recs, columns=names).astype(object)
 

@@ -71,8 +71,10 @@ def test_read_csv_as_text(spark):
 
 
 def _xlsx(rows) -> bytes:
-    """A minimal workbook (inline strings and numbers) for the reader test."""
+    """A minimal workbook (inline strings, numbers, (number, style) pairs) for the reader test."""
     def cell(ref, v):
+        if isinstance(v, tuple):
+            return f'<c r="{ref}" s="{v[1]}"><v>{v[0]}</v></c>'
         if isinstance(v, (int, float)):
             return f'<c r="{ref}"><v>{v}</v></c>'
         return f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
@@ -87,6 +89,9 @@ def _xlsx(rows) -> bytes:
                    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
                    '<Relationship Id="rId1" Target="worksheets/sheet1.xml" '
                    'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="dd\\.mm\\.yyyy"/>'
+                   '<numFmt numFmtId="171" formatCode="[Red]0.00&quot; days&quot;"/></numFmts>'
+                   '<cellXfs><xf numFmtId="0"/><xf numFmtId="22"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>')
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
     return buf.getvalue()
 
@@ -102,6 +107,16 @@ def test_read_workbooks(spark):
     assert rows == [("1", "10.5", None), ("2", None, None), ("3", "7", "EUR")]
 
 
+def test_workbook_dates_and_repeated_headers(spark):
+    d = tempfile.mkdtemp(prefix="rw-xlsx-")
+    with open(os.path.join(d, "a.xlsx"), "wb") as f:
+        f.write(_xlsx([["when", "amount", "amount"], [(45366.125, 1), (45366, 2), (1.5, 3)], [(45366.125, 0), None, "x"]]))
+    df = read_workbooks(spark, d + "/*.xlsx")
+    assert df.columns == ["when", "amount", "amount.1"]
+    assert sorted(map(tuple, df.collect()), key=str) == [
+        ("2024-03-15 03:00:00", "2024-03-15 00:00:00", "1.5"), ("45366.125", None, "x")]
+
+
 def test_export_modes(spark):
     df = spark.createDataFrame([(1, 0.9, 1, 1, 3.0, "x"), (2, 0.1, 0, 0, 0.0, "y")],
                                "transaction_id long, aml_score double, anomaly_label int, is_flagged int, "
