@@ -160,15 +160,15 @@ def encoder(name: str = "byte_bpe_50k.tiktoken") -> tuple[PrefixBpe, PieceCache]
         with open(vocabulary(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = PrefixBpe(ranks)
-        _MADE[name] = bpe, PieceCache(lambda ps: [array("I", bpe.encode_piece(p.encode("utf-8", "surrogatepass"))).tobytes()
-                                                  for p in ps], 200_000)
+        _MADE[name] = bpe, PieceCache(
+            lambda p: array("I", bpe.encode_piece(p.encode("utf-8", "surrogatepass"))).tobytes(), 200_000)
     return _MADE[name]
 
 
 def encode_text(text: str, name: str = "byte_bpe_50k.tiktoken") -> list[int]:
     """Ids of a whole text."""
     _, cache = encoder(name)
-    return array("I", b"".join(cache.values(cache.split.findall(text)))).tolist()
+    return array("I", b"".join(cache.each(cache.split.findall(text)))).tolist()
 
 
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:

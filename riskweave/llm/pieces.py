@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 from itertools import chain
 
@@ -67,23 +68,24 @@ def splitter() -> Splitter:
     return _SPLITTER[0]
 
 
-class PieceCache:
-    """piece -> value, filled by ``encode`` for many new pieces at a time."""
+class PieceCache(dict):
+    """piece -> value, which ``encode`` gives where the piece is new."""
 
-    def __init__(self, encode: Callable[[list[str]], list], keep: int = KEEP):
-        self.encode, self.known, self.split, self.keep = encode, {}, splitter(), keep
+    def __init__(self, encode: Callable[[str], object], keep: int = KEEP):
+        super().__init__()
+        self.encode, self.split, self.keep = encode, splitter(), keep
 
-    def values(self, pieces: list[str]) -> list:
-        get = self.known.get
-        got = [get(p) for p in pieces]
-        if None in got:
-            new = list({p for p, v in zip(pieces, got) if v is None})
-            fresh = dict(zip(new, self.encode(new)))
-            if len(self.known) + len(new) > self.keep:
-                self.known = {}
-            self.known.update((p, v) for p, v in fresh.items() if len(p) <= LONG_PIECE)
-            got = [fresh[p] if v is None else v for p, v in zip(pieces, got)]
-        return got
+    def __missing__(self, piece: str):
+        value = self.encode(piece)
+        if len(piece) <= LONG_PIECE:
+            if len(self) >= self.keep:
+                self.clear()
+            self[piece] = value
+        return value
+
+    def each(self, pieces: list[str]) -> list:
+        """The pieces' values, in turn."""
+        return list(map(self.__getitem__, pieces))
 
 
 def library_tokenizer(path: str):
@@ -98,13 +100,32 @@ def library_tokenizer(path: str):
 _MADE: dict = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte -> the letter that byte-level vocabularies write for it, where it isn't the byte's own."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
 def library_ids(name: str) -> PieceCache:
-    """Cache of piece -> ids as little-endian uint32 bytes, from the tokenizers library."""
+    """Cache of piece -> ids as little-endian uint32 bytes, from the tokenizers library.
+
+    A piece goes to the library's model, past its splitting of texts; pieces with
+    characters from U+0250 on, which Unicode versions may class unlike, take the whole way."""
     key = ("ids", name)
     if key not in _MADE:
         t = library_tokenizer(vocabulary(name))
-        _MADE[key] = PieceCache(lambda ps: [np.array(e.ids, dtype="<u4").tobytes()
-                                            for e in t.encode_batch_fast(ps, add_special_tokens=False)])
+        model, letters = t.model, _byte_letters()
+        blank = letters[ord(" ")]
+
+        def encode(piece: str) -> bytes:
+            if piece.isascii() and piece.isprintable():
+                ids = [x.id for x in model.tokenize(piece.replace(" ", blank))]
+            elif max(piece) < "\u0250":
+                ids = [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+            else:
+                ids = t.encode(piece, add_special_tokens=False).ids
+            return array("I", ids).tobytes()
+        _MADE[key] = PieceCache(encode)
     return _MADE[key]
 
 
@@ -114,11 +135,8 @@ def library_spans(name: str) -> PieceCache:
     if key not in _MADE:
         t = library_tokenizer(vocabulary(name))
 
-        def encode(ps):
-            out = []
-            for e in t.encode_batch(ps, add_special_tokens=False):
-                o = np.array(e.offsets, dtype="<i4").reshape(-1, 2)
-                out.append((o[:, 0].tobytes(), o[:, 1].tobytes()))
-            return out
+        def encode(piece):
+            o = np.array(t.encode(piece, add_special_tokens=False).offsets, dtype="<i4").reshape(-1, 2)
+            return o[:, 0].tobytes(), o[:, 1].tobytes()
         _MADE[key] = PieceCache(encode)
     return _MADE[key]

@@ -37,7 +37,7 @@ def token_spans(text: str, cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
     pieces = cache.split.findall(text)
     if not pieces:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    got = cache.values(pieces)
+    got = cache.each(pieces)
     counts = np.fromiter((len(s) for s, _ in got), dtype=np.int64, count=len(got)) // 4
     lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
     base = np.repeat(np.cumsum(lengths) - lengths, counts)

@@ -53,7 +53,7 @@ def encode_sorted(rows: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
             for i, text, p in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 if p != part:
                     part, offset = p, 0
-                ids = b"".join(cache.values(cache.split.findall(text.as_py() or ""))) + end
+                ids = b"".join(cache.each(cache.split.findall(text.as_py() or ""))) + end
                 held.append((i, p, offset, len(ids) // 4, ids))
                 offset += len(ids) // 4
                 size += len(ids) // 4

@@ -437,3 +437,14 @@ def test_toxicity_finds_the_sentence(spark):
     got_ = {r.doc_id: r.score for r in toxicity.score(odd, weights).collect()}
     assert got_[1] == got_[2] == 0.0 and got_[3] >= 0.5 and all(0 <= x <= 1 for x in got_.values())
     assert toxicity.train(toxicity.sampled(docs, docs.where("toxic = 0"))) == {}
+
+
+def test_pieces_go_to_the_model_as_the_library_has_them(library, monkeypatch):
+    texts = ["naïve ÿ­x \x00\x7f\x85   \t\r\n <|endoftext|> it's 12½", "日本 ɑ \U0001f600 ٣", "a" * 1000, "é" * 300,
+             "".join(chr(i) + " " + chr(i) for i in range(0x300))]
+    cache = pieces.library_ids("byte_bpe_50k.json")
+    monkeypatch.setattr(cache, "keep", 3)                                # starts over all the time
+    for text in texts * 2:
+        ids = np.frombuffer(b"".join(cache.each(cache.split.findall(text))), dtype="<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+    assert len(cache) <= 3
