@@ -48,7 +48,8 @@ def word_hashes(data: bytes, fold: bool = True) -> np.ndarray:
     with np.errstate(over="ignore"):
         v = _BYTE[b] * _PLACE[place & (_SPAN - 1)]
         if len(b) > _SPAN:                           # a word may be longer than the factor table
-            v = v * (mix64(place >> 16) | _U(1))
+            far = np.flatnonzero(place >= _SPAN)
+            v[far] *= mix64(place[far] >> 16) | _U(1)
         v[~ink] = 0
         return mix64(np.add.reduceat(v, starts))
 

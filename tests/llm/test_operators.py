@@ -353,6 +353,26 @@ def test_components(spark, docs, n, num, scheme, monkeypatch):
         assert len(out) == docs.count()
 
 
+def test_components_of_near_copies_around_64_kib(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(5_000)]
+    base, size = [], 0
+    while size < 65_500:
+        base.append(rng.choice(vocab))
+        size += len(base[-1]) + 1
+    short, long = " ".join(base), " ".join(base + base[:30])
+    assert len(short) <= 65_536 < len(long)
+    assert shingles.word_hashes(b"word") == shingles.word_hashes(b"word" + b" " * 70_000)
+    assert (shingles.word_hashes(short.encode()) == shingles.word_hashes(long.encode())[:len(base)]).all()
+    x = "x" * 70_000                                                     # words longer than the factor table stay apart
+    assert len(np.unique(shingles.word_hashes(f"{x} {x}y {x[:65_536]} {x[:-1]}y".encode()))) == 4
+    rows = [(1, short), (2, long), (3, " ".join(base[:20_000])), (4, short + " " * 70_000), (5, x + " " + short), (6, x)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = component_brute(rows, 3, 90, 100)
+    assert want[2][1] == want[4][1] == want[5][1] == 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(df).collect()} == want
+
+
 def test_components_of_no_rows(spark):
     assert ngram_join.components(empty(spark)).count() == 0
     assert ngram_join.first_of_each(empty(spark)).columns == SCHEMA.replace(",", "").split()[::2]
