@@ -3,6 +3,9 @@
 ``public_tokenizers.PATTERN`` cuts a text into pieces and the vocabulary's
 merges never cross them, so the ids of a text are its pieces' ids in turn. A
 process keeps at most ``KEEP`` pieces and starts over beyond that.
+
+A vocabulary file's added tokens (``<|endoftext|>``) are cut out first, as the
+library does: each is a piece of its own, and what lies between is split alone.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from itertools import chain
 
 import numpy as np
@@ -66,12 +69,29 @@ def splitter() -> Splitter:
     return _SPLITTER[0]
 
 
+class AddedTokens:
+    """Cuts out a vocabulary's added tokens, the longest where several begin, and splits the rest."""
+
+    def __init__(self, added: Iterable[str], split: Splitter):
+        self.added, self.split = sorted(added, key=len, reverse=True), split
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
+
+    def findall(self, text: str) -> list[str]:
+        if not any(a in text for a in self.added):
+            return self.split.findall(text)
+        out = []
+        for j, part in enumerate(self.cut.split(text)):          # every other part is an added token
+            out += [part] if j % 2 else self.split.findall(part)
+        return out
+
+
 class PieceCache(dict):
     """piece -> value, which ``encode`` gives where the piece is new."""
 
-    def __init__(self, encode: Callable[[str], object], keep: int = KEEP):
+    def __init__(self, encode: Callable[[str], object], keep: int = KEEP, added: Iterable[str] = ()):
         super().__init__()
-        self.encode, self.split, self.keep = encode, splitter(), keep
+        self.encode, self.keep = encode, keep
+        self.split = AddedTokens(added, splitter()) if added else splitter()
 
     def __missing__(self, piece: str):
         value = self.encode(piece)
@@ -87,12 +107,19 @@ class PieceCache(dict):
 
 
 def library_tokenizer(path: str):
-    """The tokenizers library's encoder; special tokens' strings are ordinary text."""
+    """The tokenizers library's encoder, as the file has it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+def added_tokens(t) -> dict[str, int]:
+    """Added token -> id. Those that take blanks around them or want whole words can't be cut out as strings."""
+    every = t.get_added_tokens_decoder()
+    for a in every.values():
+        if a.lstrip or a.rstrip or a.single_word:
+            raise ValueError(f"added token {a.content!r} isn't matched as a plain string")
+    return {a.content: i for i, a in every.items()}
 
 
 _MADE: dict = {}
@@ -112,18 +139,20 @@ def library_ids(name: str) -> PieceCache:
     key = ("ids", name)
     if key not in _MADE:
         t = library_tokenizer(vocabulary(name))
-        model, letters = t.model, _byte_letters()
+        model, letters, added = t.model, _byte_letters(), added_tokens(t)
         blank = letters[ord(" ")]
 
         def encode(piece: str) -> bytes:
-            if piece.isascii() and piece.isprintable():
+            if piece in added:
+                ids = [added[piece]]
+            elif piece.isascii() and piece.isprintable():
                 ids = [x.id for x in model.tokenize(piece.replace(" ", blank))]
             elif max(piece) < "\u0250":
                 ids = [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
             else:
                 ids = t.encode(piece, add_special_tokens=False).ids
             return array("I", ids).tobytes()
-        _MADE[key] = PieceCache(encode)
+        _MADE[key] = PieceCache(encode, added=added)
     return _MADE[key]
 
 
@@ -136,5 +165,5 @@ def library_spans(name: str) -> PieceCache:
         def encode(piece):
             o = np.array(t.encode(piece, add_special_tokens=False).offsets, dtype="<i4").reshape(-1, 2)
             return o[:, 0].tobytes(), o[:, 1].tobytes()
-        _MADE[key] = PieceCache(encode)
+        _MADE[key] = PieceCache(encode, added=added_tokens(t))
     return _MADE[key]

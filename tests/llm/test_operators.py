@@ -468,3 +468,21 @@ def test_pieces_go_to_the_model_as_the_library_has_them(library, monkeypatch):
         ids = np.frombuffer(b"".join(cache.each(cache.split.findall(text))), dtype="<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
     assert len(cache) <= 3
+
+
+def test_added_tokens_are_the_stock_librarys(spark):
+    from tokenizers import Tokenizer
+    stock = Tokenizer.from_file(pieces.vocabulary("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    texts = [f"a{e}b", e, e + e, f"x  {e}  y", f" \n{e}\n\nit's 日本 {e}🙂", f"<{e}>", e[:-1], f"{e[:5]}{e}{e[3:]}", f"é{e}é\n{e}z"]
+    assert stock.encode(texts[0], add_special_tokens=False).tokens == ["a", e, "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = scratch_path(spark, "test_tokens")
+    token_files.write_tokens(docs, path)
+    files = {r.doc_id: r.ids for r in token_files.read_tokens(spark, path).collect()}
+    counts = {r.doc_id: r.n_doc_tokens for r in token_counts.section_counts(docs).collect()}
+    cache = pieces.library_spans("byte_bpe_50k.json")
+    for i, t in enumerate(texts):
+        want = stock.encode(t, add_special_tokens=False)
+        assert files[i] == [*want.ids, token_files.END_ID] and counts[i] == len(want.ids)
+        assert list(zip(*map(np.ndarray.tolist, token_counts.token_spans(t, cache)))) == want.offsets
