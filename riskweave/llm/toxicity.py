@@ -6,10 +6,13 @@ sentences: 1 - prod(1 - p). Weights are trained from document labels alone,
 so the model learns which sentences carry a label; scoring gives both the
 document's probability and the sentences that offend.
 
-Training is a classifier fit on a bounded sample: at most ``per_class``
-documents of each label, those of smallest id hash. Words are features if at
-least ``least_docs`` of them hold the word; a sentence without any weighted
-word has probability 0, so length alone raises no score.
+Training is a classifier fit on a bounded sample: at most ``per_class`` ids of
+each label, those of smallest id hash, and of these at most ``max_chars``
+characters of text: in hash order, an id whose text does not fit in what is left
+is skipped, and only it. Where none fits, the shortest one is taken, so a label
+with a document is always learned from. Words are features if at least
+``least_docs`` documents hold the word; a sentence without any weighted word
+has probability 0, so length alone raises no score.
 
 Defined results: a null or empty text has no sentence and score 0; a null
 label is not learned from; with only one label present every score is 0;
@@ -27,8 +30,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.llm.common import written
+
 PER_CLASS = 2_000                    # labelled ids of each label in the fit, at most
-MAX_CHARS = 12_000_000               # characters of sample text of each label, at most: whole documents up to it
+MAX_CHARS = 12_000_000               # characters of sample text of each label, at most, unless one document is longer
 LEAST_DOCS = 5
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"\w+")
@@ -87,14 +92,35 @@ def fit(bags: list[list[tuple[str, ...]]], labels: np.ndarray, least_docs: int =
     return out
 
 
-def sampled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``per_class`` labelled ids of each label, by id hash."""
+def fitting(sizes: list[int], most: int) -> list[int]:
+    """Places of those of ``sizes``, in turn, that fit in what is left of ``most``; the first smallest if none does."""
+    out, left = [], most
+    for i, n in enumerate(sizes):
+        if n <= left:
+            out.append(i)
+            left -= n
+    return out or [min(range(len(sizes)), key=sizes.__getitem__)]
+
+
+def sampled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(doc_id, text, toxic) of at most ``per_class`` labelled ids of each label, by id hash,
+    and at most ``max_chars`` characters of each label (``fitting``)."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     ids = None
     for y in (0, 1):
         part = rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")      # 2 x per_class ids
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))      # 2 x per_class ids
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "doc_id"], kind="stable")
+        return pdf.iloc[fitting(pdf["n"].tolist(), max_chars)][["doc_id", "toxic"]]
+
+    # one row per id and label: at most per_class in a group
+    sizes = sample.groupBy("toxic", "doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"),
+                                                  F.xxhash64("doc_id").alias("h"))
+    fit_ids = sizes.groupBy("toxic").applyInPandas(pick, sizes.select("doc_id", "toxic").schema)
+    return sample.join(F.broadcast(fit_ids), ["doc_id", "toxic"], "left_semi").select("doc_id", "text", "toxic")
 
 
 def train(sample: DataFrame, **settings) -> dict[str, float]:
@@ -102,7 +128,6 @@ def train(sample: DataFrame, **settings) -> dict[str, float]:
     is one weight per word, "" being the bias."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["toxic", "doc_id", "text"], kind="stable")
-        pdf = pdf[pdf["text"].str.len().fillna(0).groupby(pdf["toxic"]).cumsum() <= MAX_CHARS]
         if pdf["toxic"].nunique() < 2:
             return pd.DataFrame(columns=["word", "weight"])
         same: dict[str, str] = {}                                     # one object per word

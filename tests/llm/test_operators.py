@@ -459,6 +459,24 @@ def test_toxicity_finds_the_sentence(spark):
     assert toxicity.train(toxicity.sampled(docs, docs.where("toxic = 0"))) == {}
 
 
+def test_toxicity_sample_skips_only_what_does_not_fit(spark):
+    rows = [(i, ("vile " if i % 2 else "calm ") * 4, i % 2) for i in range(2, 42)]
+    rows += [(0, "calm " * 500, 0), (1, "vile " * 500, 1)]               # the smallest ids are the long ones
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fits = toxicity.sampled(docs, docs, max_chars=1_000)
+    assert {r.doc_id for r in fits.collect()} == set(range(2, 42))
+    assert toxicity.train(fits)["vile"] > 0
+    some = toxicity.sampled(docs, docs, max_chars=100)                   # five of each label, by id hash
+    order = [r.doc_id for r in docs.where("doc_id > 1").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    assert {r.doc_id for r in some.collect()} == {i for y in (0, 1) for i in [j for j in order if j % 2 == y][:5]}
+    none = toxicity.sampled(docs.where("doc_id in (0, 1, 2)"), docs, max_chars=19)
+    assert sorted(r.doc_id for r in none.collect()) == [1, 2]            # a label never goes empty
+    assert toxicity.sampled(empty(spark), docs).count() == 0
+    long = spark.createDataFrame([(0, "x" * 12_000_001, 1)], "doc_id long, text string, toxic int")
+    whole = toxicity.sampled(docs.where("doc_id > 1").unionByName(long), docs)
+    assert toxicity.train(whole)["vile"] > 0
+
+
 def test_pieces_go_to_the_model_as_the_library_has_them(library, monkeypatch):
     texts = ["naïve ÿ­x \x00\x7f\x85   \t\r\n <|endoftext|> it's 12½", "日本 ɑ \U0001f600 ٣", "a" * 1000, "é" * 300,
              "".join(chr(i) + " " + chr(i) for i in range(0x300))]
