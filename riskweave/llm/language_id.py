@@ -303,8 +303,11 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     return docs.select(*keep_cols, run("text").alias("_r")).select(*keep_cols, "_r.*")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that get no language (``und``) or one below ``least``."""
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:
+    """``docs`` without the rows that get no language (``und``) or, if asked for, one below
+    ``least``; all of them where there was nothing to learn from."""
+    if model is None:
+        return docs
     cols = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "text")
     return predict(row, model, "_row").where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")

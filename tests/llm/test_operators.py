@@ -435,6 +435,15 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(odd, None).collect()} == {"und"}
 
 
+def test_keep_identified_drops_only_texts_without_a_language(spark):
+    rows = [(i, "same words here", g) for i, g in enumerate(["en", "fr", "it", "en", "fr", "it"])]
+    docs = spark.createDataFrame([*rows, (6, "12 ??", None), (7, None, None)], "doc_id long, text string, lang string")
+    model = language_id.train(language_id.sampled(docs))
+    assert all(r.score < 0.5 for r in language_id.predict(docs, model).collect())
+    assert sorted(r.doc_id for r in language_id.keep_identified(docs, model).collect()) == [0, 1, 2, 3, 4, 5]
+    assert language_id.keep_identified(docs, None).count() == 8
+
+
 # ---- toxicity
 def test_toxicity_finds_the_sentence(spark):
     rng = random.Random(2)
