@@ -125,7 +125,7 @@ def added_tokens(t) -> dict[str, int]:
 _MADE: dict = {}
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Byte -> the letter that byte-level vocabularies write for it, where it isn't the byte's own."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
@@ -139,7 +139,7 @@ def library_ids(name: str) -> PieceCache:
     key = ("ids", name)
     if key not in _MADE:
         t = library_tokenizer(vocabulary(name))
-        model, letters, added = t.model, _byte_letters(), added_tokens(t)
+        model, letters, added = t.model, byte_letters(), added_tokens(t)
         blank = letters[ord(" ")]
 
         def encode(piece: str) -> bytes:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import (bpe, language_id, line_dedup, mixing, ngram_join, quality_rules, token_counts, token_files,
-                           toxicity, winnowing)
+from riskweave.llm import (bpe, fill_middle, language_id, line_dedup, mixing, ngram_join, packing, periodic,
+                           quality_rules, token_counts, token_files, toxicity, winnowing)
 from riskweave.llm.common import held_out, scratch_path, written
 from riskweave.session import read_table
 
@@ -143,6 +143,52 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.r AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.id = d.doc_id"""
 
 
+@query
+def op11_periodic_runs(spark, sf_dir):
+    found = periodic.periodic_runs(documents(spark, sf_dir), words=periodic.with_periodic_tail)
+    # the longest run, ties by start, then period: the smallest of (-length, start, period)
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("_b", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("_b.s").alias("start"),
+        (-F.col("_b.l")).alias("length"), F.col("_b.p").alias("period"),
+        F.expr("(1000 * -_b.l) div _b.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_best_fit_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir)).select(
+        "doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    cut = fill_middle.fill_in_middle(documents(spark, sf_dir))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored().cast("binary"), 256).alias("restored_sha256"))
+
+
+ORACLE["op13_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, ('0x' || substr(h, 1, 8))::BIGINT AS h1,
+        ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+             WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(w[1:a], '') AS x, array_to_string(w[a + 1:b], '') AS y, array_to_string(w[b + 1:], '') AS z FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y
+                        ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
