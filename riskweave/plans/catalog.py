@@ -72,6 +72,43 @@ def q_c2(spark, sf_dir):
     return C.clean_timestamp(_mapped_raw(spark, sf_dir)).select("transaction_id", ts_text())
 
 
+# Three feeds that write the same dates month first, day first and with dots; some texts are no dates.
+_DATE_FEEDS = (("us", "M/d/yyyy h:mm:ss a", "%-m/%-d/%Y %-I:%M:%S %p"), ("eu", "dd/MM/yyyy HH:mm", "%d/%m/%Y %H:%M"),
+               ("dots", "M.d.yyyy H:mm:ss", "%-m.%-d.%Y %-H:%M:%S"), ("iso", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"))
+
+
+def _date_order_sql() -> str:
+    text = " ".join(f"WHEN {k} THEN strftime(ts, '{sql}')" for k, (_, _, sql) in enumerate(_DATE_FEEDS))
+    names = " ".join(f"WHEN {k} THEN '{name}'" for k, (name, _, _) in enumerate(_DATE_FEEDS))
+    looks = {"/": ("month", ("%m/%d/%Y %H:%M", "%m/%d/%Y %I:%M:%S %p"), ("%d/%m/%Y %H:%M", "%d/%m/%Y %I:%M:%S %p")),
+             ".": ("day", ("%m.%d.%Y %H:%M:%S",), ("%d.%m.%Y %H:%M:%S",))}
+    reads, wins = [], []
+    for k, (sep, (tie, month, day)) in enumerate(looks.items()):
+        for name, forms in (("m", month), ("d", day)):
+            reads.append(f"CASE WHEN contains(t, '{sep}') THEN try_strptime(t, [{', '.join(map(repr, forms))}]) END AS {name}{k}")
+        better = f"count(d{k}) > count(m{k})" if tie == "month" else f"count(d{k}) >= count(m{k})"
+        wins.append(f"{better} AS w{k}")
+    read = ", ".join(f"CASE WHEN w{k} THEN d{k} ELSE m{k} END" for k in range(len(looks)))
+    return f"""WITH t AS (SELECT event_id AS transaction_id, CASE event_id % 4 {names} END AS feed,
+  CASE WHEN event_id % 103 = 0 THEN 'bad-date' ELSE CASE event_id % 4 {text} END END AS t FROM events),
+r AS (SELECT *, {', '.join(reads)} FROM t),
+w AS (SELECT feed, {', '.join(wins)} FROM r GROUP BY feed),
+o AS (SELECT transaction_id, r.feed, coalesce(TRY_CAST(t AS TIMESTAMP), {read}) AS "timestamp" FROM r JOIN w ON r.feed = w.feed)
+SELECT transaction_id, feed, {TS_SQL} FROM o"""
+
+
+@register("q_c2_date_order", _date_order_sql())
+def q_c2_order(spark, sf_dir):
+    """Each feed's dates are read the way that reads most of them."""
+    ev, k = read_table(spark, sf_dir, "events"), F.col("event_id") % len(_DATE_FEEDS)
+    text, feed = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n, (name, form, _) in enumerate(_DATE_FEEDS):
+        text, feed = F.when(k == n, F.date_format("ts", form)).otherwise(text), F.when(k == n, name).otherwise(feed)
+    rows = ev.select(F.col("event_id").alias("transaction_id"), feed.alias("feed"),
+                     F.when(F.col("event_id") % 103 == 0, "bad-date").otherwise(text).alias("timestamp"))
+    return C.clean_timestamp(rows, "feed").select("transaction_id", "feed", ts_text())
+
+
 _TYPED_OUT = ", ".join(f'"{c}"' for c in O.RAW_MAPPED_COLUMNS if c != "timestamp") + ", " + TS_SQL
 
 

@@ -1,0 +1,75 @@
+"""One date convention per feed and look, elected by what reads most values."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskweave.operators.clean import DateForms, clean, clean_timestamp, date_order, normalize_country
+
+SCHEMA = "k int, feed string, timestamp string"
+
+
+def read(spark, rows, *args, **kw):
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], SCHEMA)
+    out = {r["k"]: r["timestamp"] for r in clean_timestamp(df, *args, **kw).collect()}
+    return [out[k] for k in range(len(rows))]
+
+
+def test_feeds_of_opposite_order(spark):
+    got = read(spark, [("a", "13/04/2024"), ("a", "05/04/2024"), ("a", "5/4/2024 9:30"),
+                       ("b", "04/13/2024 10:00:05"), ("b", "05/04/2024"), ("b", None),
+                       (None, "5/14/2024 9:30 PM"), (None, "1/2/2024 12:05 am")], "feed")
+    assert got == [dt.datetime(2024, 4, 13), dt.datetime(2024, 4, 5), dt.datetime(2024, 4, 5, 9, 30),
+                   dt.datetime(2024, 4, 13, 10, 0, 5), dt.datetime(2024, 5, 4), None,
+                   dt.datetime(2024, 5, 14, 21, 30), dt.datetime(2024, 1, 2, 0, 5)]
+
+
+def test_one_table_reads_one_way(spark):
+    """Without feeds the whole table elects; what the winner can't read is bad, not read the other way."""
+    got = read(spark, [("a", "13/04/2024"), ("a", "25/12/2023"), ("b", "05/04/2024"), ("b", "04/13/2024")])
+    assert got == [dt.datetime(2024, 4, 13), dt.datetime(2023, 12, 25), dt.datetime(2024, 4, 5), None]
+
+
+@pytest.mark.parametrize("prefer, day, month", [(None, 5, 4), ("month", 5, 4), ("day", 4, 5)])
+def test_tie_is_an_argument(spark, prefer, day, month):
+    assert read(spark, [("a", "4/5/2024")], "feed", prefer=prefer) == [dt.datetime(2024, month, day)]
+
+
+def test_ties_by_separator_and_bad_preference(spark):
+    assert read(spark, [("a", "03-04-2024"), ("a", "03.04.2024 7:08")]) == [dt.datetime(2024, 4, 3), dt.datetime(2024, 4, 3, 7, 8)]
+    with pytest.raises(ValueError):
+        DateForms().ordered("year")
+
+
+def test_looks_vote_apart_and_single_readings_stay(spark):
+    got = read(spark, [("a", "13/04/2024"), ("a", "04.13.2024"), ("a", "05.06.2024"), ("a", "2024-01-02 03:04:05"),
+                       ("a", "20240203"), ("a", "2024/02/03 04:05"), ("a", "04-Mar-2024"), ("a", "n/a"), ("a", " 06/07/2024 ")])
+    assert got == [dt.datetime(2024, 4, 13), dt.datetime(2024, 4, 13), dt.datetime(2024, 5, 6),
+                   dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 2, 3), dt.datetime(2024, 2, 3, 4, 5),
+                   dt.datetime(2024, 3, 4), None, dt.datetime(2024, 7, 6)]
+
+
+def test_own_forms(spark):
+    forms = DateForms(plain=("yyyy|MM|dd",), two_ways=(("M_d_yyyy", "d_M_yyyy"),))
+    assert read(spark, [("a", "2024|02|03"), ("a", "30_1_2024"), ("a", "1/2/2024")], forms=forms) == [
+        dt.datetime(2024, 2, 3), dt.datetime(2024, 1, 30), None]
+
+
+def test_votes_and_no_job_before_an_action(spark):
+    df = spark.createDataFrame([(0, "a", "13/04/2024"), (1, "a", "1/2/2024"), (2, "b", None)], SCHEMA)
+    votes = {r["_feed"]: (r["first0"], r["second0"], r["swap0"]) for r in date_order(df, "feed").collect()}
+    assert votes == {"a": (1, 2, True), "b": (0, 0, False)}
+    spark.sparkContext.setJobGroup("dates", "planning")
+    try:
+        planned = clean(df.withColumn("amount", F.lit("5")), "feed")
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("dates")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert planned.columns == ["k", "feed", "timestamp", "amount"]
+    assert clean_timestamp(df.limit(0), "feed").collect() == [] == clean_timestamp(df.limit(0)).collect()
+
+
+def test_country_is_stripped_of_all_white_space(spark):
+    df = spark.createDataFrame([("\t de\n",), (" fr ",), ("",), (None,)], "sender_country string")
+    assert [r[0] for r in normalize_country(df).collect()] == ["DE", "FR", "", None]
