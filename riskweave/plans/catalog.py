@@ -814,22 +814,43 @@ def _txn_matrix(spark, sf_dir):
     return cut_lineage(sc.transform(feat, keep=["transaction_id"])), sc
 
 
-@register("q_m4_iforest_fit")
+TREES = 1000                # as the trainer has it
+NATIVE_TREES = 100          # the walk without Python costs about 50 times the CPU
+
+
+@register("q_m4_iforest_fit", O.forest_query(
+    "SELECT CAST(tree AS INTEGER) AS tree, count(*) AS n_nodes, count(*) FILTER (WHERE f IS NULL) AS n_leaves, "
+    "CAST(max(depth) AS INTEGER) AS max_depth, CAST(max(n) AS INTEGER) AS root_size, "
+    "CAST(sum(pos) AS BIGINT) AS sum_pos, CAST(sum(f - 1) AS BIGINT) AS sum_feature FROM nodes GROUP BY tree", MODEL_FEATURES, TREES))
 def q_m4(spark, sf_dir):
-    """Tree shapes of a 100-tree forest on the transaction features."""
+    """Tree shapes and splits of a forest on the transaction features."""
     x, _ = _txn_matrix(spark, sf_dir)
-    m = IF.fit_isolation_forest(x, "transaction_id", n_trees=100)
+    m = IF.fit_isolation_forest(x, "transaction_id", n_trees=TREES)
     nodes = spark.createDataFrame(m.nodes, IF.NODE_SCHEMA)
-    return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"),
-                                     F.count(F.when(F.col("feature") < 0, 1)).alias("n_leaves"),
-                                     F.max("depth").alias("max_depth"), F.max("size").alias("root_size"))
+    split = F.col("feature") >= 0
+    return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"), F.count(F.when(~split, 1)).alias("n_leaves"),
+                                     F.max("depth").alias("max_depth"), F.max("size").alias("root_size"),
+                                     F.sum("node").alias("sum_pos"), F.sum(F.when(split, F.col("feature"))).alias("sum_feature"))
 
 
-@register("q_m5_iforest_score")
-def q_m5(spark, sf_dir):
+def _forest_scores(spark, sf_dir, n_trees, method):
     x, _ = _txn_matrix(spark, sf_dir)
-    m = IF.fit_isolation_forest(x, "transaction_id", n_trees=100)
-    return IF.score_isolation_forest(m, x).select("transaction_id", F.round("native_score", 9).alias("native_score"))
+    m = IF.fit_isolation_forest(x, "transaction_id", n_trees=n_trees)
+    scored = IF.score_isolation_forest(m, x, method=method)
+    return scored.select("transaction_id", F.round("native_score", 9).alias("native_score"))
+
+
+_WALKED = "SELECT transaction_id, round(native_score, 9) AS native_score FROM walked"
+
+
+@register("q_m5_iforest_score", O.forest_query(_WALKED, MODEL_FEATURES, TREES))
+def q_m5(spark, sf_dir):
+    return _forest_scores(spark, sf_dir, TREES, "arrow")
+
+
+@register("q_m5_iforest_score_native", O.forest_query(_WALKED, MODEL_FEATURES, NATIVE_TREES))
+def q_m5_native(spark, sf_dir):
+    return _forest_scores(spark, sf_dir, NATIVE_TREES, "native")
 
 
 @register("q_m6_contamination_threshold", _sc(
@@ -894,7 +915,7 @@ def _train(spark, sf_dir, types=("isolation_forest", "pca")):
     feat = _features_once(spark, sf_dir)
     d = scratch_dir(spark)
     paths = train_models(feat, list(types), d, 0.01, features=MODEL_FEATURES,
-                         hyper={"isolation_forest": {"n_estimators": 100}, "pca": {"k": 8}})
+                         hyper={"pca": {"k": 8}})
     return feat, d, paths
 
 
@@ -904,7 +925,7 @@ def q_m12(spark, sf_dir):
     """Scores of the saved-and-reloaded forest equal the in-memory ones."""
     from riskweave.operators.models.artifacts import load_model, model_metadata, save_model
     x, sc = _txn_matrix(spark, sf_dir)
-    m = IF.fit_isolation_forest(x, "transaction_id", n_trees=50)
+    m = IF.fit_isolation_forest(x, "transaction_id", n_trees=TREES)
     path = scratch_dir(spark) + "/model_isolation_forest"
     save_model(spark, path, m, sc, model_metadata("IsolationForest", sc, None, 0, m.params, 0.01))
     m2, sc2, md = load_model(spark, path)
@@ -926,7 +947,7 @@ def q_m14(spark, sf_dir):
 
 @register("q_m15_retrain", O.features_query(
     f"SELECT 'IsolationForest' AS model_type, CAST({len(MODEL_FEATURES) - 1} AS INTEGER) AS n_features, "
-    "count(*) AS n_samples, CAST(100 AS INTEGER) AS n_estimators FROM feat"))
+    f"count(*) AS n_samples, CAST({TREES} AS INTEGER) AS n_estimators FROM feat"))
 def q_m15(spark, sf_dir):
     from riskweave.operators.models.artifacts import load_metadata
     from riskweave.operators.models.training import retrain
@@ -937,7 +958,9 @@ def q_m15(spark, sf_dir):
                                  "model_type string, n_features int, n_samples bigint, n_estimators int")
 
 
-@register("q_a8_score_transactions")
+@register("q_a8_score_transactions", O.forest_query(
+    "SELECT transaction_id, round(native_score, 9) AS native_score, round(aml_score, 9) AS aml_score, "
+    + ", ".join(A.SCORE_COLUMNS[2:]) + " FROM scored", MODEL_FEATURES, TREES, scored=True))
 def q_a8(spark, sf_dir):
     from riskweave.plans.scoring import score_transactions
     feat, _, paths = _train(spark, sf_dir, ("isolation_forest",))

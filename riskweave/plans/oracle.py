@@ -178,9 +178,11 @@ feat AS (
   FROM f2)"""
 
 
-def scored_ctes(contamination: float = 0.01) -> str:
-    """Surrogate native score, percentile score, policy label and final flags."""
-    return f"""s0 AS (SELECT feat.*, amount / (1 + amount) AS native_score FROM feat),
+def scored_ctes(contamination: float = 0.01, native: str | None = None) -> str:
+    """Native score (the surrogate, or table ``native`` of feat's rows with a native_score), percentile score,
+    policy label and final flags."""
+    source = f"SELECT * FROM {native}" if native else "SELECT feat.*, amount / (1 + amount) AS native_score FROM feat"
+    return f"""s0 AS ({source}),
 s1 AS (SELECT s0.*, CASE WHEN count(*) OVER () <= 1 THEN 0.0
               ELSE CAST(row_number() OVER (ORDER BY native_score, transaction_id) - 1 AS DOUBLE)
                    / (count(*) OVER () - 1) END AS aml_score FROM s0),
@@ -196,6 +198,52 @@ scored AS (SELECT s2.*, anomaly_label AS flagged_by_model,
            FROM s2)"""
 
 
+def _draw(*key: str) -> str:
+    """The hash draw of the forest: 52 bits of the md5 of the key, in [0, 1)."""
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(key)})), 1, 13))::BIGINT / 4503599627370496::DOUBLE"
+
+
+def forest_ctes(features, n_trees: int, psi: int = 256, seed: int = 42) -> str:
+    """An isolation forest grown over ``feat`` level by level: ``nodes`` (tree, pos, f, thr, n, depth; f null in leaves),
+    and ``walked`` (transaction_id, native_score). Unscaled features: centre and scale move no row to the other side."""
+    x = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0)" for c in features)
+    lo = ", ".join(f"min(x[{k}])" for k in range(1, len(features) + 1))
+    hi = lo.replace("min(", "max(")
+    height = max(psi - 1, 1).bit_length()
+    out = [f"""mx AS (SELECT transaction_id AS id, [{x}] AS x FROM feat),
+pr AS (SELECT n, least({psi}, n) AS psi, greatest(1, least({n_trees}, n // least({psi}, n))) AS per FROM (SELECT count(*) AS n FROM mx)),
+od AS (SELECT unnest(range(CAST(ceil({n_trees}::DOUBLE / per) AS BIGINT))) AS o FROM pr),
+rk AS (SELECT o, id, x, row_number() OVER (PARTITION BY o ORDER BY md5(concat_ws(':', '{seed}', o, id)), id) - 1 AS r FROM mx CROSS JOIN od),
+fl0 AS (SELECT o * per + r // psi AS tree, 0::BIGINT AS pos, x FROM rk CROSS JOIN pr WHERE r < per * psi AND o * per + r // psi < {n_trees})"""]
+    for d in range(height + 1):
+        out.append(f"""fg{d} AS (SELECT tree, pos, count(*) AS n, [{lo}] AS lo, [{hi}] AS hi FROM fl{d} GROUP BY tree, pos),
+fv{d} AS (SELECT *, CASE WHEN n > 1 AND {d} < {height} THEN list_filter(range(1, {len(features) + 1}), lambda k: hi[k] > lo[k]) ELSE [] END AS vary FROM fg{d}),
+fs{d} AS (SELECT *, vary[1 + CAST(floor({_draw(f"'{seed}'", "'f'", "tree", "pos")} * len(vary)) AS BIGINT)] AS f FROM fv{d}),
+fn{d} AS (SELECT tree, pos, f, lo[f] + {_draw(f"'{seed}'", "'t'", "tree", "pos")} * (hi[f] - lo[f]) AS thr, n, {d} AS depth FROM fs{d})""")
+        if d < height:
+            out.append(f"fl{d + 1} AS (SELECT l.tree, 2 * l.pos + 1 + CAST(x[f] > thr AS BIGINT) AS pos, x "
+                       f"FROM fl{d} l JOIN fn{d} USING (tree, pos) WHERE f IS NOT NULL)")
+    out.append("nodes AS (" + " UNION ALL ".join(f"SELECT * FROM fn{d}" for d in range(height + 1)) + ")")
+    out.append("leaf AS (SELECT tree, pos, round((depth + CASE WHEN n < 2 THEN 0 WHEN n = 2 THEN 1 ELSE 2 * (ln(n - 1) + 0.5772156649) "
+               "- 2 * (n - 1) / n::DOUBLE END) * 4294967296) / 4294967296 AS h FROM nodes WHERE f IS NULL)")
+    # from the root down: a row stands in a split until it reaches a leaf, which then stays
+    step = f"SELECT id, x, t.tree, 0::BIGINT AS pos FROM mx CROSS JOIN (SELECT unnest(range({n_trees})) AS tree) t"
+    for d in range(height):
+        step = (f"SELECT id, x, w.tree, CASE WHEN n.f IS NULL THEN w.pos ELSE 2 * w.pos + 1 + CAST(x[n.f] > n.thr AS BIGINT) END AS pos "
+                f"FROM ({step}) w LEFT JOIN fn{d} n ON n.tree = w.tree AND n.pos = w.pos")
+    out.append(f"""ends AS (SELECT id, tree, pos FROM ({step})),
+cp AS (SELECT CASE WHEN psi < 2 THEN 1 WHEN psi = 2 THEN 1 ELSE 2 * (ln(psi - 1) + 0.5772156649) - 2 * (psi - 1) / psi::DOUBLE END AS c FROM pr),
+walked AS (SELECT id AS transaction_id, pow(2.0::DOUBLE, -(sum(h) / {float(n_trees)!r}::DOUBLE) / max(c)) AS native_score
+           FROM ends JOIN leaf USING (tree, pos) CROSS JOIN cp GROUP BY id)""")
+    return ",\n".join(out)
+
+
+def forest_query(body: str, features, n_trees: int, scored: bool = False, cfg: RiskConfig = DEFAULT_CONFIG) -> str:
+    more = ["nat AS (SELECT feat.*, walked.native_score FROM feat JOIN walked USING (transaction_id))",
+            scored_ctes(cfg.contamination, "nat")] if scored else []
+    return with_chain(txn_cte(), clean_ctes("txn", TXN_COLUMNS), feature_ctes(cfg), forest_ctes(features, n_trees), *more, body=body)
+
+
 def with_chain(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
