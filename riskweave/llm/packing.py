@@ -43,6 +43,7 @@ ROUNDS = 60                      # of prices, for each solution of the linear pr
 PER_ROUND = 2048                 # configurations taken at one set of prices: one for each length
 SOLUTIONS = 3                    # of the linear program, each over what rounding left
 SHARE = 0.5                      # of a length's need that one configuration takes
+RISE = 0.05                       # of a length's need that one set of prices may cover
 ETA = 3.0                        # how fast a covered length's price falls
 FILLED = 0.9995                  # of a sequence: emptier configurations are left to the next solution
 
@@ -188,15 +189,16 @@ def relaxed(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = RO
         value, last = knapsack(sizes[open_], prices[open_], capacity)
         last_list = last.tolist()
         sizes_open = [size_list[j] for j in open_]
-        worth = (left * sizes)[open_]
+        worth, allowed = (left * sizes)[open_], np.minimum(left, RISE * whole)
         for f in np.argsort(-worth, kind="stable")[:per_round].tolist():
             held = _config(f, sizes_open, last_list, capacity)
             at = open_[list(held)]
             many = np.fromiter(held.values(), dtype=float)
-            amount = min(SHARE * left[open_[f]] / held[f] + 1, (left[at] / many).min())
+            amount = min(SHARE * left[open_[f]] / held[f], (allowed[at] / many).min())
             if amount <= 1e-9:
                 continue
             left[at] -= amount * many
+            allowed[at] -= amount * many
             key = tuple(sorted(((size_list[j], int(n)) for j, n in zip(at, many)), reverse=True))
             taken[key] = taken.get(key, 0.0) + amount
     return taken, bound
