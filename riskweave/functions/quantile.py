@@ -1,13 +1,17 @@
-"""Exact quantiles with linear interpolation, without funnelling a column
-into one task.
+"""Exact quantiles with linear interpolation, all ranks of all columns at once.
 
-* Low-cardinality columns (flags, hours, counts): ``percentile`` is exact and its
-  buffer is a value->count map, so its size is bounded by the distinct count,
-  which is checked first with a HyperLogLog sketch.
-* Other columns: ``percentile_approx`` brackets each target rank (rank error
-  <= n/accuracy), one pass counts the rows below/inside each bracket, and only
-  the bracket is sorted (top-k, bounded). Brackets still too large are refined
-  recursively on the bracket rows.
+1. One pass takes a mergeable sketch (KLL) of every column and the counts. With
+   many partitions the sketches are merged in two levels, so no task takes one
+   from every partition. The sketch gives a bracket of values for each rank.
+2. One pass counts the rows below each bracket and adds up equal values inside
+   it, map side first, so a value that a third of the rows share is one row.
+3. The values inside are few (the brackets' width is a share of the rows that
+   the sketch bounds): they come to the driver where their bound is at most
+   ``gather``. Where it isn't, they are written, range-partitioned by bracket
+   and value, and only the partition that holds a rank is summed up.
+
+The counts show whether a bracket holds its rank; a sketch's error bound holds
+in all but about one case in a million, and the bracket is widened then.
 
 Interpolation follows Spark's ``percentile``: position = q*(n-1), value =
 (hi-pos)*v[lo] + (pos-lo)*v[hi].
@@ -16,75 +20,125 @@ Interpolation follows Spark's ``percentile``: position = q*(n-1), value =
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-EXACT_DISTINCT_LIMIT = 200_000   # distinct values allowed in one percentile buffer
-BRACKET_LIMIT = 200_000          # rows allowed in one final bracket sort
-ACCURACY = 10_000
+from riskweave.functions.sizes import partitions_for
+from riskweave.session import cut_lineage
+
+SKETCH_K = 4096                  # KLL size: a rank error of about 0.1 % of the rows
+RANK_ERROR = 0.0025              # more than the sketch errs in all but rare cases
+BRACKET_LIMIT = 200_000          # values brought to the driver
+FAN_IN = 64                      # partitions whose sketches one task merges at once
+RANGE_ROWS = 500_000             # values in a partition of the ranked table
 
 
-def _valid(c: str):
+def _valid(c: str) -> Column:
     col = F.col(c).cast("double")
     return F.when(col.isNotNull() & ~F.isnan(col), col)
 
 
 def _interp(pos: float, v_lo: float, v_hi: float) -> float:
     lo, hi = math.floor(pos), math.ceil(pos)
-    if lo == hi:
+    if lo == hi or v_lo == v_hi:
         return float(v_lo)
     return (hi - pos) * float(v_lo) + (pos - lo) * float(v_hi)
 
 
-def _order_stats(pop: DataFrame, ranks: list[int], n: int, accuracy: int = ACCURACY,
-                 bracket_limit: int = BRACKET_LIMIT) -> dict[int, float]:
-    """Values at 0-based ``ranks`` among the n rows of ``pop`` (one column ``_x``)."""
-    if n <= bracket_limit:
-        k = max(ranks) + 1          # top-k sort: at most bracket_limit values
-        vals = [r[0] for r in pop.orderBy("_x").limit(k).collect()]
-        return {r: vals[r] for r in ranks}
-    eps = 3.0 / accuracy
-    probes = []
-    for r in ranks:
-        q = r / max(n - 1, 1)
-        probes += [max(q - eps, 0.0), min(q + eps, 1.0)]
-    approx = pop.agg(F.percentile_approx("_x", probes, accuracy).alias("p"),
-                     F.min("_x").alias("mn"), F.max("_x").alias("mx")).first()
-    mn, mx = approx["mn"], approx["mx"]
-    if mn == mx:
-        return {r: mn for r in ranks}
-    brackets = []
-    for i in range(len(ranks)):
-        lo = mn if probes[2 * i] == 0.0 else approx["p"][2 * i]
-        hi = mx if probes[2 * i + 1] == 1.0 else approx["p"][2 * i + 1]
-        brackets.append((lo, hi))
-    aggs = []
-    for i, (lo, hi) in enumerate(brackets):
-        aggs += [F.count(F.when(F.col("_x") < lo, 1)).alias(f"b{i}"),
-                 F.count(F.when(F.col("_x").between(lo, hi), 1)).alias(f"i{i}")]
-    cnt = pop.agg(*aggs).first()
-    out: dict[int, float] = {}
-    for i, r in enumerate(ranks):
-        lo, hi = brackets[i]
-        below, inside = cnt[f"b{i}"], cnt[f"i{i}"]
-        if not (below <= r < below + inside):   # sketch bound not met: whole range
-            lo, hi, below, inside = mn, mx, 0, n
-        if lo == hi:                             # every row in the bracket is equal
-            out[r] = lo
-            continue
-        finer = accuracy * 10 if inside >= n else accuracy
-        sub = _order_stats(pop.where(F.col("_x").between(lo, hi)), [r - below], inside,
-                           finer, bracket_limit)
-        out[r] = sub[r - below]
+@dataclass
+class Bracket:
+    """Values ``low`` <= v <= ``high`` of a column, among which the ranks (0-based) lie."""
+    column: int
+    ranks: tuple[int, ...]
+    low: float
+    high: float
+    below: int = 0
+
+    def holds(self, x: Column) -> Column:
+        return x.between(F.lit(self.low), F.lit(self.high))
+
+
+def _sketches(df: DataFrame, m: int) -> DataFrame:
+    """One row: _rows, and n<j> and s<j> (count and sketch) of each column _0 ... _m-1."""
+    count = [F.count(F.lit(1)).alias("_rows"), *[F.count(f"_{j}").alias(f"n{j}") for j in range(m)]]
+    sketch = [F.kll_sketch_agg_double(f"_{j}", F.lit(SKETCH_K)).alias(f"s{j}") for j in range(m)]
+    parts = partitions_for(df)
+    if parts <= FAN_IN:
+        return df.agg(*count, *sketch)
+    level = df.groupBy((F.spark_partition_id() % max(FAN_IN, math.isqrt(parts))).alias("_g")).agg(*count, *sketch)
+    return level.agg(F.sum("_rows").alias("_rows"), *[F.sum(f"n{j}").alias(f"n{j}") for j in range(m)],
+                     *[F.kll_merge_agg_double(F.when(F.col(f"n{j}") > 0, F.col(f"s{j}"))).alias(f"s{j}") for j in range(m)])
+
+
+def _counted(df: DataFrame, brackets: list[Bracket], n_rows: int, direct: bool) -> list | DataFrame:
+    """Rows (k, v, n): how often each value inside bracket k occurs; sets the brackets' ``below``.
+    Collected where ``direct``, else a written table."""
+    sums = [F.count(F.when(F.col(f"_{b.column}") < F.lit(b.low), 1)).alias(f"b{k}") for k, b in enumerate(brackets)]
+    seen = Observation()
+    inside = [F.when(b.holds(F.col(f"_{b.column}")), F.struct(F.lit(k).alias("k"), F.col(f"_{b.column}").alias("v")))
+              for k, b in enumerate(brackets)]
+    rows = df.observe(seen, F.count(F.lit(1)).alias("n"), *sums)
+    rows = rows.select(F.explode(F.array_compact(F.array(*inside))).alias("_x")).select("_x.k", "_x.v")
+    rows = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    out = rows.collect() if direct else cut_lineage(rows)
+    empty = not out if direct else out.isEmpty()
+    # a plan without result rows drops what was observed; tasks that ran again after a loss are observed twice
+    below = seen.get if not empty else {}
+    if below.get("n") != n_rows:
+        below = df.agg(*sums).first().asDict()
+    for k, b in enumerate(brackets):
+        b.below = below[f"b{k}"]
+    return out
+
+
+def _pick(rows: list[tuple[float, int]], want: list[int]) -> dict[int, float]:
+    """Values at the places ``want`` (ascending) of the multiset ``rows`` (value, how often); missing if beyond it."""
+    out, upto, i = {}, 0, 0
+    for v, n in sorted(rows):
+        upto += n
+        while i < len(want) and want[i] < upto:
+            if want[i] >= 0:                       # a place before the bracket is none of its values
+                out[want[i]] = v
+            i += 1
     return out
 
 
-def exact_quantiles(df: DataFrame, cols, qs, *, exact_distinct_limit: int = EXACT_DISTINCT_LIMIT,
-                    bracket_limit: int = BRACKET_LIMIT, counts: dict | None = None) -> dict[str, list[float | None]]:
+def _ranked(table: DataFrame, brackets: list[Bracket]) -> list[dict[int, float]]:
+    """As ``_pick`` for each bracket, without bringing its values to the driver."""
+    parts = max(1, -(-table.count() // RANGE_ROWS))
+    ranged = cut_lineage(table.repartitionByRange(parts, "k", "v").withColumn("_p", F.spark_partition_id()))
+    sums = ranged.groupBy("k", "_p").agg(F.sum("n").alias("n")).collect()      # at most partitions + brackets rows
+    asked = []                                                                 # (bracket, partition, place in it, place)
+    for k, b in enumerate(brackets):
+        upto = 0
+        for r in sorted((r for r in sums if r["k"] == k), key=lambda r: r["_p"]):
+            asked += [(k, r["_p"], w - b.below - upto, w) for w in b.ranks if upto <= w - b.below < upto + r["n"]]
+            upto += r["n"]
+    out: list[dict[int, float]] = [{} for _ in brackets]
+    if not asked:
+        return out
+    at = F.lit(False)
+    for k, p in {a[:2] for a in asked}:
+        at = at | ((F.col("k") == k) & (F.col("_p") == p))
+    order = Window.partitionBy("k", "_p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = ranged.where(at).withColumn("_end", F.sum("n").over(order))
+    hit = F.lit(False)
+    for k, p, place, _ in asked:
+        hit = hit | ((F.col("k") == k) & (F.col("_p") == p) & (F.col("_end") > place) & (F.col("_end") - F.col("n") <= place))
+    for r in found.where(hit).collect():                                       # a row per rank at most
+        for k, p, place, w in asked:
+            if (k, p) == (r["k"], r["_p"]) and r["_end"] - r["n"] <= place < r["_end"]:
+                out[k][w - brackets[k].below] = r["v"]
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols, qs, *, bracket_limit: int = BRACKET_LIMIT, counts: dict | None = None,
+                    error: float = RANK_ERROR) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles ``qs`` of each column in ``cols``.
 
-    Returns {column: [value per q]} with None for a column without values.
+    Returns {column: [value per q]} with None for a column without values (null and NaN are none).
     ``counts``, when given, receives {column: number of valid values} and
     ``"__rows__"``: the number of rows (same pass, no extra job).
     """
@@ -92,32 +146,56 @@ def exact_quantiles(df: DataFrame, cols, qs, *, exact_distinct_limit: int = EXAC
     qs = [float(q) for q in ([qs] if isinstance(qs, (int, float)) else qs)]
     if not cols:
         return {}
-    stats = df.agg(F.count(F.lit(1)).alias("_rows"),
-                   *[F.count(_valid(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[F.approx_count_distinct(_valid(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    narrow = df.select(*[_valid(c).alias(f"_{j}") for j, c in enumerate(cols)])
+    probes = sorted({p for q in qs for p in (max(q - error, 0.0), min(q + error, 1.0))})
+    ask = F.array(*[F.lit(p) for p in probes])
+    sk = _sketches(narrow, len(cols))
+    sk = sk.select("_rows", *[f"n{j}" for j in range(len(cols))], *[
+        F.when(F.col(f"n{j}") > 0, F.kll_sketch_get_quantile_double(F.col(f"s{j}"), ask)).alias(f"p{j}") for j in range(len(cols))])
+    stats = sk.first()
     if counts is not None:                       # valid values per column, and all rows
-        counts.update({c: stats[f"n{i}"] for i, c in enumerate(cols)})
+        counts.update({c: stats[f"n{j}"] for j, c in enumerate(cols)})
         counts["__rows__"] = stats["_rows"]
-    result: dict[str, list[float | None]] = {}
-    small = [c for i, c in enumerate(cols)
-             if stats[f"n{i}"] > 0 and stats[f"d{i}"] * 1.25 <= exact_distinct_limit]
-    if small:
-        row = df.agg(*[F.percentile(_valid(c), qs).alias(f"p{j}") for j, c in enumerate(small)]).first()
-        for j, c in enumerate(small):
-            result[c] = [float(v) if v is not None else None for v in row[f"p{j}"]]
-    for i, c in enumerate(cols):
-        if c in result:
-            continue
-        n = stats[f"n{i}"]
-        if n == 0:
-            result[c] = [None] * len(qs)
-            continue
-        positions = [q * (n - 1) for q in qs]
-        ranks = sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
-        pop = df.select(_valid(c).alias("_x")).where(F.col("_x").isNotNull())
-        vals = _order_stats(pop, ranks, n, bracket_limit=bracket_limit)
-        result[c] = [_interp(p, vals[math.floor(p)], vals[math.ceil(p)]) for p in positions]
-    return result
+
+    brackets: list[Bracket] = []
+    values: dict[tuple[int, int], float] = {}
+    for j in range(len(cols)):
+        n = stats[f"n{j}"]
+        at = dict(zip(probes, stats[f"p{j}"] or []))
+        few = n * error < 2                       # the margin is under two rows: all values are looked at
+        for q in qs if n else []:
+            pos = q * (n - 1)
+            # the outer brackets are open, whatever the sketch kept
+            low = -math.inf if few or q <= error else at[q - error]
+            high = math.inf if few or q >= 1 - error else at[q + error]
+            brackets.append(Bracket(j, tuple(sorted({math.floor(pos), math.ceil(pos)})), low, high))
+    bound = sum(4 * error * stats[f"n{b.column}"] + 8 for b in brackets)
+    tries = 0
+    while brackets:
+        direct = bound <= bracket_limit
+        rows = _counted(narrow, brackets, stats["_rows"], direct)
+        if direct:
+            held: list[list[tuple[float, int]]] = [[] for _ in brackets]
+            for r in rows:
+                held[r["k"]].append((r["v"], r["n"]))
+            picked = [_pick(h, [w - b.below for w in b.ranks]) for h, b in zip(held, brackets)]
+        else:
+            picked = _ranked(rows, brackets)
+        wider: list[Bracket] = []
+        for b, got in zip(brackets, picked):
+            for w in b.ranks:
+                if w - b.below in got:
+                    values[b.column, w] = got[w - b.below]
+            if any((b.column, w) not in values for w in b.ranks):
+                wider.append(Bracket(b.column, b.ranks, -math.inf if tries or b.below > min(b.ranks) else b.low,
+                                     math.inf if tries or b.below <= min(b.ranks) else b.high))
+        brackets, tries, bound = wider, tries + 1, math.inf
+    out: dict[str, list[float | None]] = {}
+    for j, c in enumerate(cols):
+        n = stats[f"n{j}"]
+        out[c] = [_interp(q * (n - 1), values[j, math.floor(q * (n - 1))], values[j, math.ceil(q * (n - 1))]) if n else None
+                  for q in qs]
+    return out
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, **kw) -> float | None:

@@ -795,6 +795,34 @@ def q_m2(spark, sf_dir):
     return _scaler_frame(spark, fit_robust(_features_once(spark, sf_dir), MODEL_FEATURES))
 
 
+_X1_COLUMNS = ("amount", "hour", "near_threshold", "small_txn_count_per_day", "enhanced_aml_score")
+_X1_RANKS = (0.0, 0.001, 0.25, 0.5, 0.99, 1.0)
+
+
+def _x1_sql() -> str:
+    return O.features_query(" UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({q!r} AS DOUBLE) AS rank, round(quantile_cont(CAST({c} AS DOUBLE), {q!r}), 9) AS value FROM feat"
+        for c in _X1_COLUMNS for q in _X1_RANKS))
+
+
+def _x1(spark, sf_dir, **kw):
+    from riskweave.functions.quantile import exact_quantiles
+    got = exact_quantiles(_features_once(spark, sf_dir), list(_X1_COLUMNS), list(_X1_RANKS), **kw)
+    return spark.createDataFrame([(c, q, round(v, 9)) for c, vs in got.items() for q, v in zip(_X1_RANKS, vs)],
+                                 "feature string, rank double, value double")
+
+
+@register("q_x1_exact_quantiles", _x1_sql())
+def q_x1(spark, sf_dir):
+    return _x1(spark, sf_dir)
+
+
+@register("q_x1_exact_quantiles_ranked", _x1_sql())
+def q_x1_ranked(spark, sf_dir):
+    """No value comes to the driver but those asked for: brackets are written and ranked in Spark."""
+    return _x1(spark, sf_dir, bracket_limit=0)
+
+
 @register("q_m3_standard_scale", _scaler_sql("standard"))
 def q_m3(spark, sf_dir):
     return _scaler_frame(spark, fit_standard(_features_once(spark, sf_dir), MODEL_FEATURES))

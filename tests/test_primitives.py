@@ -18,7 +18,7 @@ def test_quantile_bracket_path_equals_exact(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(7)
     qs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 0.999, 1.0]
     exact = df.agg(F.percentile("v", qs).alias("p")).first()["p"]
-    forced = exact_quantiles(df, ["v"], qs, exact_distinct_limit=0, bracket_limit=50)["v"]
+    forced = exact_quantiles(df, ["v"], qs, bracket_limit=50)["v"]
     assert np.allclose(forced, exact, rtol=0, atol=1e-12)
     direct = exact_quantiles(df, "v", qs)["v"]
     assert np.allclose(direct, exact, rtol=0, atol=1e-12)
