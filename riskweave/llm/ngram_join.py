@@ -3,22 +3,26 @@
 1. Every text becomes its set of word-shingle hashes; equal sets are merged
    first, so copies cost one signature set however many there are.
 2. Sets that share a PartEnum signature are candidates (partenum.py: no linked
-   pair is lost). A signature's sets are compared with the smallest doc_id
-   among them, and links become components.
-3. What that leaves open: pairs of different components under a signature of
-   at most ``FEW`` sets are compared one by one; the sets under a larger one
-   are joined on a prefix of their rarest shingles instead (linked sets must
-   share one) and then compared. Nothing is capped, so no link between
-   different components is lost.
-
-Before any comparison a pair must pass two exact bounds, on set sizes and on
-512 odd bits of each set; only sets of pairs that pass are read again, and
-compared by their shingle hashes.
+   pair is lost). The smallest set id under a signature is its hub. Each set is
+   compared with the hub that it shares most signatures with, then with the hubs
+   that this left in other components; links become components each time.
+3. What that leaves open are signatures that hold several components. Under one
+   of at most ``FEW`` sets, pairs of different components are compared one by
+   one; the sets under a larger one are joined on a prefix of their rarest
+   shingles instead (linked sets must share one) and then compared. Nothing is
+   capped, so no link between different components is lost.
+
+So a group of near copies costs a comparison a set and not one a pair: its
+pairs are never made once hubs have joined them. Before any comparison a pair
+must pass two exact bounds, on set sizes and on 512 odd bits of each set; only
+sets of pairs that pass are read again, and compared by their shingle hashes.
 
 Defined results: A-Z are lower-cased; a text of fewer words than a shingle has
 is one shingle; a text without words (or null) has an empty set, links with
 nothing and is its own component; a null doc_id is never linked and has a null
-component; repeated rows give repeated results; other columns are not read.
+component; repeated rows give repeated results; rows that share a doc_id and
+differ in text are sets of their own; ties go to the smaller doc_id; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,15 +60,16 @@ def odd_bits(s: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, words: int, scheme: PartEnum) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, p0..p7, sigs): set size, 128-bit digest, odd bits and PartEnum signatures."""
-    names = ["doc_id", "n_shingles", "d1", "d2", *ODD, "sigs"]
+    """(doc_id, t, n_shingles, d1, d2, p0..p7, sigs): hash of the text as it is, set size, 128-bit digest, odd
+    bits and PartEnum signatures."""
+    names = ["doc_id", "t", "n_shingles", "d1", "d2", *ODD, "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out, size = b.column(0).to_pylist(), [], 0
-            for i, text in zip(ids, b.column(1)):
+            out, size = [], 0
+            for i, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 s = shingle_set((text.as_py() or "").encode("utf-8", "surrogatepass"), words)
-                out.append((i, len(s), *set_digest(s), *odd_bits(s).tolist(), scheme.signatures(s)))
+                out.append((i, t, len(s), *set_digest(s), *odd_bits(s).tolist(), scheme.signatures(s)))
                 size += len(out[-1][-1])
                 if size >= 500_000:
                     yield table(out)
@@ -78,18 +83,19 @@ def sets(docs: DataFrame, words: int, scheme: PartEnum) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array([o[j] for o in out], type=pa.int64()) for j in range(len(names) - 1)] + [lists], names=names)
     schema = ", ".join(f"{c} bigint" for c in names[:-1]) + ", sigs array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, schema)
 
 
 def hashes(docs: DataFrame, words: int) -> DataFrame:
-    """(id, s): the sorted shingle hashes of each text."""
+    """(id, d1, s): the sorted shingle hashes of each text and half of their digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text in zip(b.column(0), b.column(1)):
                 s = shingle_set((text.as_py() or "").encode("utf-8", "surrogatepass"), words).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array([0, len(s)], type=pa.int32()), pa.array(s))
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], type=pa.int64()), lists], names=["id", "s"])
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(run, "id bigint, s array<bigint>")
+                d1 = pa.array([set_digest(s.view(np.uint64))[0]], type=pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], type=pa.int64()), d1, lists], names=["id", "d1", "s"])
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(run, "id bigint, d1 bigint, s array<bigint>")
 
 
 def possible(x: str, y: str, num: int, den: int) -> Column:
@@ -100,87 +106,139 @@ def possible(x: str, y: str, num: int, den: int) -> Column:
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (differ * (den + num) <= (n + m) * (den - num))
 
 
-def linked(pairs: DataFrame, s: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b), a written table, whose sets reach the threshold, compared exactly."""
-    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    s = s.join(_small(ids, ids.count()), "id", "left_semi")            # only sets that are compared are shuffled
-    at = (pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-               .join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-    at = at.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).cast("bigint").alias("n"))
-    return at.where(F.col("i") * den >= (F.col("n") - F.col("i")) * num).select("a", "b")
-
-
-def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **scheme) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+class Texts:
+    """Shingle sets by id, made from the texts when they are first compared."""
+
+    def __init__(self, docs: DataFrame, words: int, apart: bool):
+        self.docs, self.words, self.apart, self.paths, self.held = docs, words, apart, [], None
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, s) of the written, distinct ``ids``."""
+        new = ids if self.held is None else written(ids.join(self.held.select("id"), "id", "left_anti"))
+        n = new.count()
+        if n or self.held is None:
+            numbers = new.select(F.col("id.rep").alias("doc_id")).distinct() if self.apart else new.select(F.col("id").alias("doc_id"))
+            texts = self.docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(_small(numbers, n), "doc_id", "left_semi")
+            made = hashes(texts, self.words)
+            if self.apart:
+                made = made.withColumn("id", F.struct(F.col("id").alias("rep"), "d1")).join(_small(new, n), "id", "left_semi")
+            made = made.groupBy("id").agg(F.first("s").alias("s"))          # a repeated row once
+            self.paths.append(scratch_path(self.docs.sparkSession))
+            made = written(made, self.paths[-1])
+            self.held = made if self.held is None else self.held.unionByName(made)
+        return self.held.join(_small(ids, ids.count()), "id", "left_semi")
+
+    def linked(self, pairs: DataFrame, num: int, den: int) -> DataFrame:
+        """Those of ``pairs`` (a, b, ...), a written table, whose sets reach the threshold, compared exactly."""
+        s = self.sets(written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
+        at = (pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+                   .join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
+        both = F.size(F.array_intersect("sa", "sb")).cast("bigint")
+        at = at.withColumn("_i", both).withColumn("_n", (F.size("sa") + F.size("sb")).cast("bigint"))
+        return at.where(F.col("_i") * den >= (F.col("_n") - F.col("_i")) * num).select(*pairs.columns)
+
+    def drop(self):
+        for path in self.paths:
+            discard(self.docs.sparkSession, path)
+
+
+def _components_of(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """``rows`` (id, ...) with ``c``: the component, which is the id itself where nothing is linked."""
+    at = rows.join(comp.withColumnRenamed("node", "id"), "id", "left")
+    return at.withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, with them as ca and cb."""
+    for side in "ab":
+        pairs = _components_of(pairs.withColumnRenamed(side, "id"), comp).withColumnsRenamed({"id": side, "c": f"c{side}"})
+    return pairs.where("ca <> cb").select("a", "b", "ca", "cb")
+
+
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) once the components that ``links`` (ca, cb) join are one."""
+    over = written(connected_components(written(links.select("ca", "cb").distinct()), "ca", "cb"))
+    nodes = over.join(comp, "node", "left_anti").select("node", F.col("node").alias("component")).unionByName(comp)
+    top = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return written(nodes.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
+def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **scheme) -> DataFrame:
+    """(doc_id, t, n_shingles, component_id, top, first) of every row: ``t`` is a hash of the text, ``top`` tells
+    components apart (null: no words or no id), ``first`` marks the rows whose set a component is named by."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
+    tables: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        tables.append(scratch_path(spark))
+        return written(df, tables[-1])
+
     full = scratch_path(spark)
     all_sets = written(sets(docs, words, PartEnum(num, den, **scheme)), full)
     known = all_sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    copied = written(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_rows"))
-                          .where("_rows > 1"))
+    copied = kept(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_rows"))
+                       .where("_rows > 1"))
     stats = copied.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("_rows"), F.lit(0)).alias("n"),
                        F.coalesce(F.max("_rows"), F.lit(0)).alias("m")).first()
     stats = AggStats(stats["k"], stats["n"], stats["m"])
-    rows = join_back(known, copied, ["d1", "d2"], stats, broadcast_keys=BROADCAST_ROWS)
-    rows = rows.withColumn("rep", F.coalesce("rep", "doc_id"))
-    firsts = rows.where("doc_id = rep").withColumnsRenamed({"doc_id": "id", "n_shingles": "n"})
+    # ids of unlike texts may collide: then a set's id is (smallest doc_id, digest)
+    apart = known.groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").limit(1).count() > 0
+    node = F.struct(F.col("rep"), F.col("d1")) if apart else F.col("rep")
+    rows = join_back(known, copied.withColumn("many", F.col("_rows")), ["d1", "d2"], stats, broadcast_keys=BROADCAST_ROWS)
+    rows = rows.withColumn("rep", F.coalesce("rep", "doc_id")).withColumn("id", node)
+    firsts = rows.where("doc_id = rep").select("id", "many", F.col("n_shingles").alias("n"), *ODD, "sigs")
+    firsts = firsts.where("many is null").unionByName(firsts.where("many > 1").dropDuplicates(["id"])).drop("many")
 
     sigs = firsts.select("id", F.explode("sigs").alias("sig"))
-    shared = written(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
-    members = written(sigs.join(_small(shared, shared.count()), "sig").distinct())
-    bits = firsts.select("id", "n", *ODD)
-    under = written(members.select("id").distinct())
-    bits = written(bits.join(_small(under, under.count()), "id", "left_semi").dropDuplicates(["id"]))
-
+    shared = kept(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("hub")).where("many > 1"))
+    members = kept(sigs.join(_small(shared, shared.count()), "sig"))
+    under = kept(members.select("id").distinct())
+    bits = kept(firsts.select("id", "n", *ODD).join(_small(under, under.count()), "id", "left_semi"))
     # from here on nothing reads the signatures of single sets again: their table goes
-    rows = written(rows.select("doc_id", "n_shingles", F.col("rep").alias("node")))
+    rows = written(rows.select("doc_id", "t", "n_shingles", F.col("id").alias("node"), "rep"))
     alone = written(all_sets.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        "doc_id", "t", "n_shingles", F.col("doc_id").alias("component_id"),
+        F.lit(None).cast("struct<rep: bigint, d1: bigint>" if apart else "bigint").alias("top"), F.lit(True).alias("first")))
     discard(spark, full)
-
-    hub = members.groupBy("sig").agg(F.min("id").alias("b"))
-    pairs = members.join(hub, "sig").where("id > b").select(F.col("id").alias("a"), "b").distinct()
-    x, y = bits.alias("x"), bits.alias("y")
-    stars = written(pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
-                         .where(possible("x", "y", num, den)).select("a", "b"))
-    few = members.where(f"many > 2 and many <= {FEW}").join(bits, "id")
+    texts = Texts(docs, words, apart)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        x, y = bits.alias("x"), bits.alias("y")
+        return (pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+                     .where(possible("x", "y", num, den)).select(*pairs.columns))
+
+    hubs = kept(members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("k")))
+    most = hubs.groupBy(F.col("id").alias("a")).agg(F.min(F.struct(-F.col("k"), "hub")).alias("m")).select("a", F.col("m.hub").alias("b"))
+    links = kept(texts.linked(kept(near(most)), num, den))
+    comp = kept(connected_components(links, "a", "b"))
+    others = _across(hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")), comp)
+    comp = _merged(comp, texts.linked(kept(near(others)), num, den))
+
+    at = _components_of(members, comp)
+    still = kept(at.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig"))
+    opened = kept(at.join(_small(still, still.count()), "sig", "left_semi"))
+    few = opened.where(f"many > 2 and many <= {FEW}").join(bits, "id")
     x, y = few.alias("x"), few.alias("y")
-    close = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") > F.col("y.id")) & possible("x", "y", num, den)
-    direct = written(x.join(y, close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-                      .join(stars, ["a", "b"], "left_anti"))
-    large = members.where(f"many > {FEW}").select("sig", "id")
-
-    ids = large.select("id")
-    for p in (stars, direct):
-        ids = ids.unionByName(p.select(F.col("a").alias("id"))).unionByName(p.select(F.col("b").alias("id")))
-    ids = written(ids.distinct())
-    wanted = docs.withColumn("id", F.col("doc_id").cast("bigint")).join(_small(ids, ids.count()), "id", "left_semi")
-    s = written(hashes(wanted.select("doc_id", "text"), words))
-    comp = written(connected_components(written(linked(stars, s, num, den)), "a", "b"))
-
-    def across(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, ca, cb) whose components differ."""
-        ca = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        cb = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        at = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        at = at.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        return at.where("ca <> cb")
-
-    at = large.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    still = at.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
-    crowd = written(at.join(still, "sig", "left_semi").select("id", "c").distinct())
-    left = across(direct).select("a", "b").unionByName(rare_pairs(crowd.join(bits, "id"), s, num, den)).distinct()
-    more = across(linked(written(left), s, num, den)).select("ca", "cb").distinct()
-    over = written(connected_components(written(more), "ca", "cb"))         # components of components
-    comp = comp.unionByName(over.join(comp, "node", "left_anti")).select("node", "component")
-    comp = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left") \
-               .select("node", F.coalesce("top", "component").alias("component"))
-    comp = written(comp)
-    out = rows.join(_small(comp, comp.count()), "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return out.unionByName(alone)
+    # pairs with the hub were compared above
+    open_pair = ((F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") > F.col("y.id"))
+                 & (F.col("y.id") != F.col("y.hub")) & possible("x", "y", num, den))
+    direct = x.join(y, open_pair).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    crowd = kept(opened.where(f"many > {FEW}").select("id", "c").distinct())
+    rare = rare_pairs(crowd.join(bits, "id"), texts.sets(kept(crowd.select("id").distinct())), num, den)
+    left = kept(_across(direct.unionByName(rare).distinct(), comp))
+    comp = _merged(comp, texts.linked(left, num, den))
+    for path in tables:
+        discard(spark, path)
+    texts.drop()
+    out = rows.join(_small(comp, comp.count()), "node", "left").withColumn("top", F.coalesce("component", "node"))
+    return out.select("doc_id", "t", "n_shingles", (F.col("top.rep") if apart else F.col("top")).alias("component_id"), "top",
+                      ((F.col("top") == F.col("node")) & (F.col("doc_id") == F.col("rep"))).alias("first")).unionByName(alone)
+
+
+def components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **scheme) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    return classes(docs, words, num, den, **scheme).select("doc_id", "n_shingles", "component_id")
 
 
 def rare_pairs(crowd: DataFrame, s: DataFrame, num: int, den: int) -> DataFrame:
@@ -207,8 +265,21 @@ def rare_pairs(crowd: DataFrame, s: DataFrame, num: int, den: int) -> DataFrame:
 
 def first_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each component; its columns are
-    unchanged. Rows without a doc_id stay."""
-    keep = components(docs, words, num, den, n2=2, width=1, slack=1.25).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    stay = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    unchanged. Rows without a doc_id or without words stay. Of a component's rows that
+    share that doc_id one text stays, and of rows equal in doc_id and text one row.
+    Texts are only shuffled where too many go to broadcast their ids."""
+    at = written(classes(docs, words, num, den, n2=2, width=1, slack=1.25).where("doc_id is not null and n_shingles > 0"))
+    firsts = at.where("first").groupBy("top", "doc_id").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("n"))
+    several = written(firsts.where("n > 1").select("top", "doc_id", "t"))       # of one text or of equal sets
+    unlike = at.where("first").alias("x").join(several.alias("y"), "top").where("x.t <> y.t").select("x.doc_id", "x.t")
+    gone = written(at.where(~F.col("first")).select("doc_id", "t").unionByName(unlike).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.col("doc_id").cast("bigint").alias("i"), F.xxhash64("text").alias("t"))
+
+    def among(rows: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+        pairs = _small(pairs.select(F.col("doc_id").alias("i"), "t"), pairs.count())
+        return rows.join(pairs, ["i", "t"], how)
+    stay = among(rows, gone, "left_anti")
+    if several.count():
+        stay = among(stay, several, "left_anti").unionByName(among(stay, several, "left_semi").dropDuplicates(["i", "t"]))
+    return stay.select("row.*")

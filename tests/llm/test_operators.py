@@ -373,6 +373,44 @@ def test_components_of_near_copies_around_64_kib(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(df).collect()} == want
 
 
+@pytest.mark.parametrize("words, num", [(3, 90), (5, 80)])
+def test_components_of_texts_with_one_id(spark, words, num):
+    """Rows that share a doc_id and differ in text are sets of their own; components are named by the smallest doc_id."""
+    rng = random.Random(3)
+    a, b, c = (" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(80)) for _ in range(3))
+    near = b + " end"
+    rows = [(1, a), (1, b), (2, b), (3, near), (1, near), (1, b), (4, c), (4, " " + c.upper()), (None, a), (5, ""), (5, None), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.classes(df, words, num, 100).toPandas()
+    assert got["component_id"].fillna(-1).astype(int).tolist().count(1) == 7 and len(got) == len(rows)
+    assert set(got[got["component_id"] == 1].dropna(subset="top")["top"].map(str)) == set(
+        got[got["doc_id"] == 1]["top"].map(str)) and got["top"].dropna().map(str).nunique() == 3
+    out = ngram_join.first_of_each(df, words, num, 100).toPandas()
+    kept = [(None if i != i else int(i), t) for i, t in out.itertuples(index=False)]
+    assert kept.count((1, a)) == 1 and kept.count((None, a)) == 1 and kept.count((5, "")) == 1 and kept.count((5, None)) == 1
+    assert sum(i == 1 and t in (b, near) for i, t in kept) == 1 and sum(i == 4 for i, _ in kept) == 1 and len(kept) == 6
+
+
+def test_many_near_copies_make_few_pairs(spark, monkeypatch):
+    """A group of g near copies is joined through hubs: far fewer comparisons than pairs."""
+    rng = random.Random(9)
+    base = [rng.choice(["red", "blue", "green", "old", "new", "big"]) + str(rng.randrange(50)) for _ in range(400)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(400)] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    compared = []
+    plain = ngram_join.Texts.linked
+
+    def counted(self, pairs, num, den):
+        compared.append(pairs.count())
+        return plain(self, pairs, num, den)
+    monkeypatch.setattr(ngram_join.Texts, "linked", counted)
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(compared) < 3 * 300
+
+
 def test_components_of_no_rows(spark):
     assert ngram_join.components(empty(spark)).count() == 0
     assert ngram_join.first_of_each(empty(spark)).columns == SCHEMA.replace(",", "").split()[::2]
