@@ -4,22 +4,24 @@ The pieces of a fixed public vocabulary have one probability per language. A
 word's likelihood in a language is the sum over all its segmentations into
 pieces of the product of their probabilities (forward algorithm); a text's is
 the product over its words. The prediction is the language of largest
-posterior, its score that posterior.
+posterior, its score that posterior. Runs of letters are scored whole, however
+long: the forward column is rescaled as it goes.
 
 Learning is one expectation step per round: each word's expected piece counts
 over all segmentations (forward-backward under the current model; at first all
 pieces are alike) are added up per language where the documents lie, and only
-(language, piece) sums leave a task. The fit reads at most ``max_docs``
-labelled documents, those of smallest id hash. The model holds languages x
-pieces numbers.
+(language, piece) sums leave a task. The fit reads at most ``per_language``
+labelled documents of each language, those of smallest id hash. The model holds
+languages x pieces numbers.
 
 Words of one length go through the lattice together as columns of numbers.
 
 Defined results: a null text, or one without a letter, is ``und`` with score
 0; ties go to the smallest language name; a character outside the vocabulary
 is a piece that no language knows; with nothing to learn from, every text is
-``und``; languages are learned from non-null ``lang`` only, and no column but
-text is read to predict.
+``und``; an empty table gives an empty result; repeated rows are predicted alike;
+languages are learned from non-null ``lang`` only, and no column but text is read
+to predict.
 """
 
 from __future__ import annotations
@@ -31,16 +33,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm.pieces import vocabulary
 
-MAX_DOCS = 20_000                     # labelled documents in the fit, at most
+PER_LANGUAGE = 5_000                  # labelled documents of a language in the fit, at most
 MARK = "▁"                            # the vocabulary's word start
 KEEP_TOKENS = 200_000                 # tokens whose scores a process keeps
-LONGEST = 24                          # a longer run of letters is scored in stretches of this length
-AT_ONCE = 20_000                      # words in the lattice at a time
+RESCALE = 8                           # letters between two rescalings of a forward column
+AT_ONCE = 250_000                     # letters in the lattice at a time, one word at least
 CHUNK = 1 << 20                       # characters of text scored at a time, one text at least
 UNSEEN = 0.5                          # added to every piece's count
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -56,17 +58,10 @@ def load_pieces(name: str) -> list[str]:
 
 
 def letter_runs(token: str) -> list[str]:
-    """Runs of letters, lower-cased, each marked as a word start and cut to stretches."""
+    """Runs of letters, lower-cased, each marked as a word start."""
     if token.isalpha():
-        runs = [token.lower()]
-    else:
-        runs = "".join(c if c.isalpha() else " " for c in token).lower().split(" ")
-    out = []
-    for r in runs:
-        if r:
-            out.append(MARK + r[:LONGEST])
-            out += [r[i:i + LONGEST] for i in range(LONGEST, len(r), LONGEST)]
-    return out
+        return [MARK + token.lower()]
+    return [MARK + r for r in "".join(c if c.isalpha() else " " for c in token).lower().split(" ") if r]
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -89,33 +84,51 @@ class Lattice:
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
 
-    def arcs(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def arcs(self, codes: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(begin, end, rows, pieces) for each span, begins ascending: the words (rows) with a piece there."""
         m, n = codes.shape
-        for b in range(n):
-            h = np.zeros(m, dtype=np.uint64)
-            for e in range(b + 1, min(n, b + self.longest) + 1):
-                with np.errstate(over="ignore"):
-                    h = h * _B + (codes[:, e - 1].astype(np.uint64) + np.uint64(1))
-                at = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
-                found = self.sorted[at] == h
-                if e == b + 1:
-                    yield b, e, np.arange(m), np.where(found, self.order[at], self.n)
-                else:
-                    rows = np.flatnonzero(found)
-                    if len(rows):
-                        yield b, e, rows, self.order[at[rows]]
+        h = np.zeros((m, n), dtype=np.uint64)
+        spans: list[list[tuple[int, int, np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
+        for size in range(1, min(n, self.longest) + 1):
+            with np.errstate(over="ignore"):
+                h = h[:, :n - size + 1] * _B + (codes[:, size - 1:].astype(np.uint64) + np.uint64(1))
+            at = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
+            found = self.sorted[at] == h
+            if size == 1:
+                piece = np.where(found, self.order[at], self.n)
+                every = np.arange(m)
+                for b in range(n):
+                    spans[b].append((b, b + 1, every, piece[:, b]))
+            else:
+                for b in np.flatnonzero(found.any(axis=0)).tolist():
+                    rows = np.flatnonzero(found[:, b])
+                    spans[b].append((b, b + size, rows, self.order[at[rows, b]]))
+        return [span for at_begin in spans for span in at_begin]
+
+    def _forward(self, arcs: list, n: int, shape: tuple[int, ...], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, logs): the sum over all segmentations of each prefix is ``sums * exp(logs)``."""
+        sums, logs = np.zeros((n + 1, *shape)), np.zeros((n + 1, *shape))
+        sums[0] = 1
+        scale, done = np.zeros(shape), 0
+        for b, e, at, piece in arcs:
+            while done < b:                                       # places that no later arc ends at
+                done += 1
+                if done % RESCALE == 0:
+                    by = np.where(sums[done] > 0, sums[done], 1.0)
+                    sums[done:done + self.longest] /= by
+                    scale = scale + np.log(by)
+                logs[done] = scale
+            sums[e][at] += sums[b][at] * p[piece]
+        logs[done + 1:] = scale
+        return sums, logs
 
     def log_likelihood(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """log of the sum over all segmentations, per word and column of ``probs``
         (piece x language; the last row is the unknown character's)."""
         out = np.empty((len(words), probs.shape[1]))
         for rows, codes in _by_length(words):
-            fwd = np.zeros((codes.shape[1] + 1, len(rows), probs.shape[1]))
-            fwd[0] = 1
-            for b, e, at, piece in self.arcs(codes):
-                fwd[e][at] += fwd[b][at] * probs[piece]
-            out[rows] = np.log(np.maximum(fwd[-1], 1e-300))
+            sums, logs = self._forward(self.arcs(codes), codes.shape[1], (len(rows), probs.shape[1]), probs)
+            out[rows] = np.log(np.maximum(sums[-1], 1e-300)) + logs[-1]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -123,16 +136,15 @@ class Lattice:
         total = np.zeros(self.n + 1)
         for rows, codes in _by_length(words):
             n = codes.shape[1]
-            fwd, bwd = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
-            fwd[0], bwd[n] = 1, 1
-            arcs = list(self.arcs(codes))
-            for b, e, at, piece in arcs:
-                fwd[e][at] += fwd[b][at] * p[piece]
-            scale = counts[rows] / np.maximum(fwd[n], 1e-300)
-            for b, e, at, piece in reversed(arcs):           # ends descend within a begin, begins descend
-                bwd[b][at] += bwd[e][at] * p[piece]
+            arcs = self.arcs(codes)
+            fwd, up = self._forward(arcs, n, (len(rows),), p)
+            # the same from the end: places are counted backwards
+            back = sorted(((n - e, n - b, at, piece) for b, e, at, piece in arcs), key=lambda a: a[0])
+            bwd, down = self._forward(back, n, (len(rows),), p)
+            whole = np.log(np.maximum(fwd[n], 1e-300)) + up[n]
             for b, e, at, piece in arcs:
-                total += np.bincount(piece, weights=fwd[b][at] * p[piece] * bwd[e][at] * scale[at], minlength=self.n + 1)
+                share = fwd[b][at] * p[piece] * bwd[n - e][at] * np.exp(up[b][at] + down[n - e][at] - whole[at])
+                total += np.bincount(piece, weights=share * counts[rows[at]], minlength=self.n + 1)
         return total[:-1]
 
 
@@ -140,9 +152,9 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(numbers of the words, their code points) for groups of words of one length."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     for n in np.unique(lengths).tolist():
-        rows = np.flatnonzero(lengths == n)
-        for i in range(0, len(rows), AT_ONCE):
-            some = rows[i:i + AT_ONCE]
+        rows, some_rows = np.flatnonzero(lengths == n), max(1, AT_ONCE // n)
+        for i in range(0, len(rows), some_rows):
+            some = rows[i:i + some_rows]
             yield some, _codes([words[j] for j in some.tolist()])
 
 
@@ -201,17 +213,29 @@ def _expected_counts(labelled: DataFrame, name: str, model: Model | None) -> Dat
                     .groupBy("lang", "piece").agg(F.sum("n").alias("n")))
 
 
-def sampled(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(text, lang) of at most ``max_docs`` labelled documents, those of smallest id hash."""
-    ids = docs.select("doc_id").where("doc_id is not null and lang is not null") \
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct()
-    return docs.where("lang is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("text", "lang")
+def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(text, lang, n_docs) of at most ``per_language`` labelled documents of each language, those of smallest id
+    hash; ``n_docs`` is how many the language has. Of rows that share an id and a language one text is read.
+
+    A language's count gives a hash bound that keeps little more than it needs, so
+    that no language is sorted as a whole, however many documents it has."""
+    ids = docs.select("doc_id", "lang").where("doc_id is not null and lang is not null").distinct()
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    near = ids.join(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs")), "lang")
+    near = near.where(place * F.col("n_docs") < per_language + 8 * per_language ** 0.5 + 16)
+    first = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ids = near.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= per_language).drop("_k")
+    rows = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"])
+    return rows.groupBy("doc_id", "lang", "n_docs").agg(F.min("text").alias("text")).select("text", "lang", "n_docs")
 
 
 def train(labelled: DataFrame, vocabulary: str = "piece_bpe_32k.model", rounds: int = 1) -> Model | None:
-    """Learn from rows (text, lang). The sums that come back are at most languages x
-    pieces. None if no row has a language."""
-    labelled = labelled.select("text", "lang").where(F.col("lang").isNotNull())
+    """Learn from rows (text, lang); the prior is by ``n_docs`` (documents of the language) where the rows have it,
+    else by the rows. The sums that come back are at most languages x pieces. None if no row has a language."""
+    labelled = labelled.where(F.col("lang").isNotNull())
+    of = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.max("n_docs").alias("n")).collect()} \
+        if "n_docs" in labelled.columns else None
+    labelled = labelled.select("text", "lang")
     model, lat = None, lattice(vocabulary)
     for _ in range(rounds):
         got = _expected_counts(labelled, vocabulary, model).collect()
@@ -227,6 +251,8 @@ def train(labelled: DataFrame, vocabulary: str = "piece_bpe_32k.model", rounds:
                 counts[r["piece"], at[r["lang"]]] += r["n"]
         probs = np.float32((counts + UNSEEN) / (counts + UNSEEN).sum(axis=0)).astype(float)   # sums may come in any order
         probs[-1] *= 1e-2
+        if of:
+            docs = np.array([of[g] for g in languages], dtype=float)
         model = Model(vocabulary, languages, probs, np.log(docs / docs.sum()))
     return model
 

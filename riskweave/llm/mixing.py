@@ -7,12 +7,15 @@ smallest key until their sizes add up to the rest.
 
 Prefix sums never sort a source in one task: keys are cut into buckets whose
 number follows the table's size, bucket sums are added up per source, and only
-the one bucket in which a source's budget ends is sorted.
+the one bucket in which a source's budget ends is sorted, with equal rows added
+up before. Where the budget ends among equal rows, they are counted off
+partition by partition.
 
 Defined results: null text has size 0 and takes nothing; a null source is a
 source of its own, sorted last; a null doc_id has the key of the empty id;
-repeated rows count as documents of their own; an empty table gives an empty
-result; other columns are not read.
+repeated rows count as documents of their own, and as many of them are taken as
+the budget has room for; an empty table gives an empty result; other columns are
+not read. ``mix_documents`` leaves out texts without words, which add nothing.
 """
 
 from __future__ import annotations
@@ -95,36 +98,61 @@ def cuts(narrow: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     run = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     upto = sums.withColumn("_end", F.sum("_s").over(run)).alias("s").join(
         per.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
-    # the bucket in which the budget ends: the only one whose rows are sorted
+    # the bucket in which the budget ends: the only one whose rows are sorted, equal rows as one
     last = (upto.where((F.col("_end") > F.col("_budget")) & (F.col("_end") - F.col("_s") <= F.col("_budget")) & (F.col("_s") > 0))
                 .select(F.col("s.source").alias("source"), "_b", (F.col("_end") - F.col("_s")).alias("_from"), "_budget"))
     rows = (narrow.select("doc_id", "source", "size", "key", bucket).alias("n")
                   .join(written(last).alias("l"), F.col("n.source").eqNullSafe(F.col("l.source")) & (F.col("n._b") == F.col("l._b"))))
-    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
-    within = rows.select(F.col("n.source").alias("source"), "doc_id", "size", "key", F.col("n._b").alias("_b"), "_from", "_budget") \
-        .withColumn("_end", F.col("_from") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy(F.col("n.source").alias("source"), "key", _id().alias("id"), "size", F.col("n._b").alias("_b"),
+                        "_from", "_budget").agg(F.count(F.lit(1)).alias("_rows"))
+    order = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.withColumn("_start", F.col("_from") + F.sum(F.col("size") * F.col("_rows")).over(order) - F.col("size") * F.col("_rows"))
     # a document is taken when at least half of it lies under the budget: no source misses by more than half a document
-    took = within.where(F.col("_end") - F.col("size") / 2 <= F.col("_budget")).groupBy("source").agg(
-        F.max(F.struct("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"))).alias("_t"))
+    room = F.when(F.col("size") > 0, F.floor((F.col("_budget") - F.col("_start")) / F.col("size") + 0.5)).otherwise(F.col("_rows"))
+    within = within.withColumn("_taken", F.greatest(F.lit(0), F.least(F.col("_rows"), room)).cast("bigint"))
+    took = within.where("_taken > 0").groupBy("source").agg(
+        F.max(F.struct("key", "id", "size", "_taken", "_rows")).alias("_t"))
     edge = within.groupBy("source").agg(F.max("_b").alias("_b"))
     out = (per.alias("p").join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
               .join(took.alias("k"), F.col("p.source").eqNullSafe(F.col("k.source")), "left"))
     return out.select("p.source", "source_size", "target", "epochs", "_budget", F.col("e._b").alias("_b"),
-                      F.col("k._t.key").alias("_key"), F.col("k._t.id").alias("_last"), F.lit(b).alias("_buckets"))
+                      F.struct("k._t.key", "k._t.id", "k._t.size").alias("_last"), F.col("k._t._taken").alias("_taken"),
+                      F.col("k._t._rows").alias("_rows"), F.lit(b).alias("_buckets"))
 
 
-def _copies(at: DataFrame) -> Column:
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
+
+
+def _with_copies(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """``rows`` with their source's cuts (``per``, a written table) and ``copies``."""
+    at = _with_cuts(rows, per)
     bucket = F.floor(F.col("key") / (1 + F.col("key")) * F.col("_buckets"))
-    in_edge = (F.col("key") < F.col("_key")) | (
-        (F.col("key") == F.col("_key")) & (F.coalesce("doc_id", F.lit((1 << 63) - 1)) <= F.col("_last")))
+    here = F.struct(F.col("key").alias("key"), _id().alias("id"), F.col("size").alias("size"))
+    ends = (bucket == F.col("_b")) & F.coalesce(here == F.col("_last"), F.lit(False)) & (F.col("_taken") < F.col("_rows"))
     part = F.when(F.col("_b").isNull(), F.col("_budget") > 0).otherwise(
-        (bucket < F.col("_b")) | ((bucket == F.col("_b")) & F.coalesce(in_edge, F.lit(False))))
-    return F.least(F.lit(MAX_EPOCHS), F.col("epochs") + F.when(part & (F.col("_budget") > 0), 1).otherwise(0))
+        (bucket < F.col("_b")) | ((bucket == F.col("_b")) & F.coalesce(here <= F.col("_last"), F.lit(False))))
+
+    def copies(taken: Column) -> Column:
+        more = F.when(taken & (F.col("_budget") > 0), 1).otherwise(0)
+        return F.least(F.lit(MAX_EPOCHS), F.col("epochs") + more).cast("bigint")
+    if per.where("_taken < _rows and _budget > 0").isEmpty():
+        return at.withColumn("copies", copies(part))
+    plain = at.withColumn("_ends", ends & (F.col("_budget") > 0))
+    out = plain.where(~F.col("_ends")).withColumn("copies", copies(part))
+    # equal rows among which a budget ends: numbered where they are written, then counted off by partition
+    equal = written(plain.where("_ends").withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()))
+    counts = written(equal.groupBy("source", "_p").agg(F.count(F.lit(1)).alias("_c")))
+    run = Window.partitionBy("source").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("source").alias("_s"), F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_before"))
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy("source", "_p").orderBy("_n"))
+    equal = equal.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q")))
+    equal = equal.withColumn("_nth", nth).withColumn("copies", copies(F.col("_nth") <= F.col("_taken")))
+    return out.unionByName(equal.select(*out.columns))
 
 
 def _with_cuts(rows: DataFrame, per: DataFrame) -> DataFrame:
     """Join per-source rows on; broadcast only under a counted number of sources."""
-    per = written(per)
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
     return rows.alias("r").join(per.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source"))).drop(F.col("c.source"))
@@ -133,8 +161,7 @@ def _with_cuts(rows: DataFrame, per: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """(doc_id, source, size, weight, key, source_size, target, copies, taken) of every row."""
     narrow = written(sizes(docs, seed))
-    at = _with_cuts(narrow, cuts(narrow, weights))
-    at = at.withColumn("copies", _copies(at).cast("bigint"))
+    at = _with_copies(narrow, written(cuts(narrow, weights)))
     return at.select("doc_id", "source", "size", "weight", "key", "source_size", "target", "copies",
                      (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -146,8 +173,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: i
     cols = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "doc_id", "source", "text")
     keyed = _keyed(keyed.select("_row", "doc_id", "source", _words()), seed, "_row")
-    at = _with_cuts(keyed.select("_row", "doc_id", "source", "size", "key"), per)
-    at = at.withColumn("copies", _copies(at))
+    at = _with_copies(keyed.select("_row", "doc_id", "source", "size", "key"), per)
     return (at.where((F.col("copies") > 0) & (F.col("size") > 0))       # a text without words adds nothing to a mix
               .select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
               .select("_row.*"))

@@ -180,6 +180,26 @@ def test_mixed_documents(docs):
     assert collections.Counter(r.doc_id for r in out.collect()) == +n
 
 
+@pytest.mark.parametrize("null_id", [False, True])
+def test_mix_of_equal_rows(spark, null_id):
+    """A budget that ends among equal rows takes as many of them as it has room for, whatever partition they are in."""
+    text = "ten words that are the same in all of them"
+    rows = [(None if null_id else 5, text, "a", k) for k in range(100)] + [(k, "w " * 10, "b", 0) for k in range(1000, 1020)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(7)
+    for weights in ((1, 2), (1, 9), (7, 1)):
+        mixed = mixing.mix(df, weights)
+        got_rows = mixed.collect()
+        assert len(got_rows) == 120
+        for source in "ab":
+            own = [r for r in got_rows if r["source"] == source]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5
+            assert max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
+        want = collections.Counter({s: sum(r["copies"] for r in got_rows if r["source"] == s) for s in "ab"})
+        out = mixing.mix_documents(df, weights).collect()
+        assert collections.Counter(r["source"] for r in out) == want
+        assert out and set(out[0].asDict()) == {"doc_id", "text", "source", "size"}
+
+
 # ---- winnowing
 def fingerprint_brute(t, k, w):
     grams = winnowing.gram_hashes(t, k).tolist() or winnowing.gram_hashes(t, len(t)).tolist()
@@ -457,6 +477,94 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(lat.expected(words, np.full(len(words), 2.0), p), want)
 
 
+def test_long_runs_are_scored_whole():
+    """41 letters and more: exact sums over all segmentations, by fractions; nothing is cut, nothing underflows."""
+    from fractions import Fraction
+    names = ["a", "b", "ab", "ba", "aba", "bbaab", "▁", "▁a"]
+    lat = language_id.Lattice(names)
+    p = np.array([[.1, .3], [.2, .01], [.3, .05], [.05, .2], [.15, .1], [.1, .2], [.06, .1], [.04, .04], [1e-9, 1e-7]])
+    rng = random.Random(2)
+    words = ["▁" + "".join(rng.choice("ab") for _ in range(n)) for n in (40, 41, 41, 64, 300)] + ["▁" + "ab" * 15 + "ü" * 60 + "ba" * 20]
+
+    def exact(w, j):
+        at = [Fraction(1)] + [Fraction(0)] * len(w)
+        for e in range(1, len(w) + 1):
+            for n in range(1, min(5, e) + 1):
+                q = w[e - n:e]
+                if q in names or n == 1:
+                    at[e] += at[e - n] * Fraction(float(p[names.index(q) if q in names else len(names), j]))
+        return math.log(at[-1].numerator) - math.log(at[-1].denominator)
+    got_logs = lat.log_likelihood(words, p)
+    for i, w in enumerate(words):
+        for j in range(2):
+            assert got_logs[i, j] == pytest.approx(exact(w, j), rel=1e-9)
+    # expected counts: each letter of a word is covered once by the pieces that are counted
+    lengths = np.array([len(n) for n in names])
+    for w in words[:5]:
+        assert (lat.expected([w], np.array([3.0]), p[:, 0]) * lengths).sum() == pytest.approx(3 * len(w), rel=1e-9)
+    assert language_id.letter_runs("x" * 41) == ["▁" + "x" * 41]
+
+
+def test_sample_is_bounded_per_language(spark):
+    """A rare language is learned however small its share; the bound holds for each; equal rows count once."""
+    rows = [(i, f"the thing {i}", "en") for i in range(400)] + [(1000, "que leaux", "fr"), (1001, "leaux que", "fr")]
+    rows += [(7, "the thing 7", "en")] * 300 + [(None, "x", "en"), (8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    some = language_id.sampled(docs, 40).toPandas()
+    assert some.groupby("lang").size().to_dict() == {"en": 40, "fr": 2}
+    assert some.groupby("lang")["n_docs"].first().to_dict() == {"en": 400, "fr": 2}
+    again = language_id.sampled(docs.repartition(9), 40).toPandas()
+    assert sorted(some["text"]) == sorted(again["text"])
+    model = language_id.train(language_id.sampled(docs, 40))
+    assert model.languages == ["en", "fr"] and np.allclose(np.exp(model.prior), [400 / 402, 2 / 402])
+
+
+def plain_predict(text, model, names):
+    """Posterior by a plain sum over segmentations, word by word in Python."""
+    import re
+    words = ["▁" + r.lower() for r in re.findall(r"[^\W\d_]+", text or "")]
+    if not words:
+        return "und", 0.0
+    total = model.prior.copy()
+    for w in words:
+        logs = []
+        for j in range(len(model.languages)):
+            at = [1.0] + [0.0] * len(w)
+            for e in range(1, len(w) + 1):
+                for b in range(e):
+                    q = names.get(w[b:e], len(names) if e - b == 1 else None)
+                    if q is not None:
+                        at[e] += at[b] * model.probs[q, j]
+            logs.append(math.log(at[-1]))
+        total = total + np.array(logs)
+    post = np.exp(total - total.max())
+    return model.languages[int(total.argmax())], float(post.max() / post.sum())
+
+
+def test_predict_equals_the_plain_version(spark):
+    rng = random.Random(7)
+    make = {"en": ["the", "and", "thing", "with", "wonder"], "fr": ["été", "que", "leaux", "ç", "monde"], "it": ["che", "gli", "mondo"]}
+    rows = [(i, " ".join(rng.choice(make[g]) for _ in range(12)), g, g, 1) for i in range(25) for g in make]
+    schema = "doc_id long, text string, lang string, lang_pred string, score int"       # names that clash with the results
+    docs = spark.createDataFrame(rows, schema)
+    model = language_id.train(language_id.sampled(docs, 20))
+    names = {q: i for i, q in enumerate(language_id.load_pieces(model.name))}
+    odd = [(1, None), (2, ""), (3, "12 ?? \n"), (4, "the thing"), (5, "che monde"), (6, "mondo, mondo! x2y"), (6, "mondo, mondo! x2y"),
+           (7, "thé"), (8, "日本 the"), (9, "que" * 9), (None, "gli"), (10, "le"), (11, "Été QUE")]
+    table_ = spark.createDataFrame([(i, t, "zz", "zz", 0) for i, t in odd], schema)
+    got_rows = language_id.predict(table_.select("doc_id", "text"), model).collect()
+    assert len(got_rows) == len(odd)
+    key = lambda r: (r[0] is None, r[0] or 0)                            # noqa: E731
+    for r, (i, t) in zip(sorted(got_rows, key=key), sorted(odd, key=key)):
+        lang, score = plain_predict(t, model, names)
+        assert (r.doc_id, r.lang_pred) == (i, lang) and r.score == pytest.approx(score, abs=1e-9)
+    assert language_id.predict(table_.select("doc_id", "text").limit(0), model).collect() == []
+    kept = language_id.keep_identified(table_, model)
+    assert kept.columns == table_.columns and kept.count() == len(odd) - 3
+    tie = language_id.Model(model.name, ["en", "fr"], np.ones((len(names) + 1, 2)) / 9, np.log([.5, .5]))
+    assert language_id.predict(table_.where("doc_id = 4").select("doc_id", "text"), tie).first()[1:] == ("en", 0.5)
+
+
 def test_language_id(spark):
     rng = random.Random(1)
     make = {"en": ["the", "and", "thing", "with"], "fr": ["été", "que", "leaux", "ç"]}
