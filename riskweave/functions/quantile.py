@@ -68,7 +68,9 @@ def _sketches(df: DataFrame, m: int) -> DataFrame:
     if parts <= FAN_IN:
         return df.agg(*count, *sketch)
     level = df.groupBy((F.spark_partition_id() % max(FAN_IN, math.isqrt(parts))).alias("_g")).agg(*count, *sketch)
-    return level.agg(F.sum("_rows").alias("_rows"), *[F.sum(f"n{j}").alias(f"n{j}") for j in range(m)],
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return level.agg(total("_rows"), *[total(f"n{j}") for j in range(m)],
                      *[F.kll_merge_agg_double(F.when(F.col(f"n{j}") > 0, F.col(f"s{j}"))).alias(f"s{j}") for j in range(m)])
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.sizes import partitions_for
 from riskweave.session import cut_lineage
 
 _LOW33 = (1 << 33) - 1
@@ -23,7 +24,8 @@ def global_rank(df: DataFrame, order_cols: list, rank_col: str = "rank",
     With ``with_total`` returns (DataFrame, row count); the count is the sum of
     the per-partition counts, so it costs no extra job."""
     spark = df.sparkSession
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # an explicit count is not changed by AQE, so it follows the input's size
+    p = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(10_000, partitions_for(df)))
     ranged = (df.repartitionByRange(p, *order_cols)
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_pid", F.spark_partition_id())

@@ -8,10 +8,16 @@ PARTITION_BYTES = 128 << 20
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate. Without file or cache statistics it is very large, never too small by much."""
+    """The optimiser's bound on the result's size: of a scan its files, of a join the product of its sides."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def partitions_for(df: DataFrame, least: int = 1, most: int = 100_000, bytes_each: int = PARTITION_BYTES) -> int:
-    """Partitions of about ``bytes_each`` for ``df``."""
-    return max(least, min(most, -(-plan_bytes(df) // bytes_each)))
+def input_bytes(df: DataFrame) -> int:
+    """The sizes of all tables that ``df`` reads, added up."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+
+
+def partitions_for(df: DataFrame, most: int = 100_000, bytes_each: int = PARTITION_BYTES) -> int:
+    """Partitions of about ``bytes_each`` of what ``df`` reads."""
+    return max(1, min(most, -(-input_bytes(df) // bytes_each)))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.joins import BROADCAST_KEYS, ROWS_COL, aggregate_stats, join_back
+from riskweave.functions.joins import ROWS_COL, aggregate_stats, broadcast_bytes, join_back
 from riskweave.session import cut_lineage
 
 
@@ -27,12 +27,13 @@ def _both(e: DataFrame) -> DataFrame:
 
 def _to_min(rows: DataFrame, m: DataFrame, small: bool) -> DataFrame:
     """rows (u, v) joined to the per-node minimum m (u, m, _rows). ``small``:
-    the node count (an upper bound of m's keys in every round) was checked
+    the nodes' bytes (an upper bound of m's in every round) were checked
     under the broadcast limit. Otherwise sizes are checked per step and a hub
     node (one account in a third of all edges) is salted, not left to one task."""
     if small:
         joined = rows.join(F.broadcast(m.drop(ROWS_COL)), "u", "left")
     else:
+        m = cut_lineage(m)
         joined = join_back(rows, m, ["u"], aggregate_stats({"m": m})["m"])
     return joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
 
@@ -57,14 +58,20 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(h), F.bit_xor(F.xxhash64(h, F.lit(1)))).first())
 
 
+def _minimum_bytes(e: DataFrame) -> int:
+    """Bytes of two node ids for every node: what the per-node minima take, and more."""
+    n = e.select("u").unionByName(e.select(F.col("v").alias("u"))).distinct()
+    width = F.octet_length(F.col("u")) if dict(n.dtypes)["u"] == "string" else F.lit(16)
+    return 2 * (n.agg(F.sum(width.cast("bigint"))).first()[0] or 0)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) with component = smallest node of its weak component.
     Rounds go on until the edge set stays the same."""
     nodes = (edges.select(F.col(src).alias("node"))
                   .unionByName(edges.select(F.col(dst).alias("node"))).distinct())
     e = cut_lineage(_canon(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))))
-    limit = int(edges.sparkSession.conf.get("riskweave.join.broadcastKeys", str(BROADCAST_KEYS)))
-    small = e.select("u").unionByName(e.select(F.col("v").alias("u"))).distinct().count() <= limit
+    small = _minimum_bytes(e) <= broadcast_bytes(edges.sparkSession)
     mark, last = _mark(e), None
     while mark != last:
         e = cut_lineage(_small_star(_large_star(e, small), small))
@@ -75,6 +82,3 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return (nodes.join(label, "node", "left")
                  .select("node", F.coalesce("component", "node").alias("component")))
 
-
-def component_count(components: DataFrame) -> int:
-    return components.select(F.count_distinct("component")).first()[0]

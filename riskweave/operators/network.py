@@ -155,20 +155,12 @@ def edges(ep: DataFrame) -> DataFrame:
 
 def edge_recent_tx(ep: DataFrame, k: int = MAX_TX_PER_EDGE) -> DataFrame:
     """Last k payments per edge by (timestamp, id), exploded with position
-    (1 = most recent). Salted two-stage top-k, so a hot edge is split."""
+    (1 = most recent). A task hands on at most k payments of an edge (functions/topk.py)."""
     order = [F.col("timestamp").desc_nulls_last(), F.col("transaction_id").desc()]
     return top_k_per_group(ep, ["src", "dst"], order, k, "pos").select(
         "src", "dst", "pos", "transaction_id", "amount", "sender_bank", "receiver_bank", "score", "timestamp")
 
 
-def edge_tx_lists(ep: DataFrame, k: int = MAX_TX_PER_EDGE) -> DataFrame:
-    """N8 nested form: edge -> array of at most k records, oldest first."""
-    recent = edge_recent_tx(ep, k)
-    rec = F.struct("pos", "transaction_id", "amount", "sender_bank", "receiver_bank", "score", "timestamp")
-    return (recent.groupBy("src", "dst").agg(F.sort_array(F.collect_list(rec), asc=False).alias("tx_list"))
-                  .withColumn("tx_list", F.transform("tx_list", lambda r: r.dropFields("pos"))))
-
-
 def _ends(e: DataFrame, threshold: float) -> DataFrame:
     fl = (F.col("max_score") >= threshold).cast("int")
     out_end = e.select(F.col("src").alias("account"), F.lit(0).alias("in_degree"), F.lit(1).alias("out_degree"),
@@ -206,11 +198,14 @@ def flagged_edges(e: DataFrame, threshold: float) -> DataFrame:
     return e.where(F.col("max_score") >= threshold)
 
 
-def network_metrics(e: DataFrame, threshold: float, score_col: str | None,
-                    n_components: int | None = None) -> DataFrame:
-    """Nodes, edges, mean degree, density, flagged edges, total amount."""
-    ends = e.select(F.col("src").alias("a")).unionByName(e.select(F.col("dst").alias("a")))
-    n = int(ends.select(F.count_distinct("a")).first()[0])      # one scalar, used three times
+def network_metrics(e: DataFrame, threshold: float, score_col: str | None, n_components: int | None = None,
+                    n_nodes: int | None = None, hubs: int | None = None) -> DataFrame:
+    """Nodes, edges, mean degree, density, flagged edges, total amount; with ``hubs``, the accounts of highest
+    degree as an array. ``n_nodes`` is counted where it isn't known."""
+    if n_nodes is None:
+        ends = e.select(F.col("src").alias("a")).unionByName(e.select(F.col("dst").alias("a")))
+        n_nodes = int(ends.select(F.count_distinct("a")).first()[0])
+    n = n_nodes
     m = e.agg(F.count(F.lit(1)).alias("n_edges"),
               F.count(F.when(F.col("max_score") >= threshold, 1)).alias("num_fraud_edges"),
               F.coalesce(F.sum("total_amount"), F.lit(0.0)).alias("total_amount"))
@@ -222,6 +217,11 @@ def network_metrics(e: DataFrame, threshold: float, score_col: str | None,
                    F.lit(score_col).cast("string").alias("score_column_used"))
     if n_components is not None:
         out = out.withColumn("n_connected_components", F.lit(int(n_components)).cast("bigint"))
+    if hubs is not None:
+        record = F.struct(F.col("account").alias("account_id"), "degree", "in_degree", "out_degree")
+        best = top_hubs(degrees(e), hubs).agg(F.sort_array(F.collect_list(
+            F.struct((-F.col("degree")).alias("_o"), F.col("account").alias("_a"), record.alias("r")))).alias("h"))   # ``hubs`` rows
+        out = out.withColumn("top_hubs", best.select(F.transform("h", lambda x: x["r"])).scalar())
     return out
 
 
@@ -259,13 +259,21 @@ class Network:
 
 
 def transaction_network(df: DataFrame, score_col: str | None = None, threshold: float = 0.5,
-                        limit: int | None = 400, with_components: bool = True) -> Network:
-    """Selection (or the whole table) -> endpoints -> edges -> nodes -> metrics."""
+                        limit: int | None = 400, with_components: bool = True, hubs: int | None = 10) -> Network:
+    """Selection (or the whole table) -> endpoints -> edges -> nodes -> metrics.
+
+    The edges are written once and read by all that follows; the components give the node count. Metrics hold the
+    hubs and, with a selection, its counts."""
     score_col = score_col or guess_column(df.columns, SCORE_NAMES, SCORE_KEYWORDS)
     sel = select_for_network(df, score_col, threshold, limit) if limit is not None else None
     rows = sel.rows if sel is not None else df
     ep = resolve_endpoints(rows, score_col)
-    e = edges(ep)
-    comps = connected_components(e) if with_components else None
-    ncomp = comps.select(F.count_distinct("component")).first()[0] if comps is not None else None
-    return Network(ep, e, node_stats(e, threshold), network_metrics(e, threshold, score_col, ncomp), sel, comps)
+    e = cut_lineage(edges(ep))
+    comps, n_comp, n_nodes = None, None, None
+    if with_components:
+        comps = cut_lineage(connected_components(e))
+        n_nodes, n_comp = comps.agg(F.count(F.lit(1)), F.count(F.when(F.col("node") == F.col("component"), 1))).first()
+    metrics = network_metrics(e, threshold, score_col, n_comp, n_nodes, hubs)
+    if sel is not None:
+        metrics = metrics.select("*", *[sel.counts.select(c).scalar().alias(c) for c in sel.counts.columns])
+    return Network(ep, e, node_stats(e, threshold), metrics, sel, comps)

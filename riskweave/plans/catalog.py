@@ -13,10 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.config import DEFAULT_CONFIG, with_config
+from riskweave.config import DEFAULT_CONFIG, HIGH_WEIGHT_INDICATORS, with_config
 from riskweave.operators import clean as C
 from riskweave.plans import oracle as O
-from riskweave.plans.scoring import features_table, scored_table
+from riskweave.plans.scoring import features_table, scored_table, surrogate_native_score
 from riskweave.sources import fixtures
 from riskweave.sources.mapping import apply_mapping, resolve_mapping
 
@@ -179,7 +179,8 @@ def _feat_query(name: str, cols: list[str], cfg=DEFAULT_CONFIG):
     sel_sql = ", ".join(["transaction_id"] + [f'"{c}"' for c in cols])
 
     def fn(spark, sf_dir):
-        return features_table(spark, sf_dir, cfg).select("transaction_id", *cols)
+        only = [c for c in cols if c in O.FEATURE_COLUMNS]
+        return features_table(spark, sf_dir, cfg, only=only).select("transaction_id", *cols)
     fn.__name__ = name
     register(name, O.features_query(f"SELECT {sel_sql} FROM feat", cfg))(fn)
 
@@ -226,9 +227,9 @@ _SWEEP_FLAGS = ["near_threshold", "structuring_flag", "midnight_transaction", "h
                 "rare_bank_combo_flag", "definite_fraud_flag"]
 
 
-def _sweep_sql() -> str:
+def _sweep_sql(sweep: dict) -> str:
     parts = []
-    for name, kv in SWEEP.items():
+    for name, kv in sweep.items():
         cfg = with_config(**kv)
         sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _SWEEP_FLAGS)
         body = (f"SELECT '{name}' AS config, count(*) AS n_rows, {sums}, "
@@ -237,20 +238,47 @@ def _sweep_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-@register("q_f21_config_sweep", _sweep_sql())
-def q_f21(spark, sf_dir):
-    """flag counts per configuration; the cleaned table is computed once."""
-    from riskweave.operators.features import engineer_features
+def _sweep(spark, sf_dir, sweep):
+    from riskweave.operators.features import sweep as sweep_all
     from riskweave.session import cut_lineage
     cleaned = cut_lineage(C.clean(fixtures.txn(spark, sf_dir)))
-    out = None
-    for name, kv in SWEEP.items():
-        feat = engineer_features(cleaned, with_config(**kv))
-        agg = feat.agg(F.lit(name).alias("config"), F.count(F.lit(1)).alias("n_rows"),
-                       *[F.sum(c).cast("bigint").alias(c) for c in _SWEEP_FLAGS],
-                       F.sum(F.when(F.col("enhanced_aml_score") >= 6.0, 1).otherwise(0)).cast("bigint").alias("n_enhanced"))
-        out = agg if out is None else out.unionByName(agg)
-    return out
+    return sweep_all(cleaned, {name: with_config(**kv) for name, kv in sweep.items()}, _SWEEP_FLAGS)
+
+
+@register("q_f21_config_sweep", _sweep_sql(SWEEP))
+def q_f21(spark, sf_dir):
+    """flag counts per configuration, all from one pass over the cleaned table."""
+    return _sweep(spark, sf_dir, SWEEP)
+
+
+#: Sixteen configurations: four thresholds, night hours, lists and limits against each other.
+SWEEP_16 = {f"t{t}_c{c}": {"reporting_threshold": 2500.0 * (t + 1), "near_threshold_buffer": 0.7 + 0.1 * (t % 3),
+                           "structuring_min_count": 2 + c, "rare_bank_min_count": 1 + 2 * c, "high_amount_percentile": 0.9 + 0.03 * c,
+                           "midnight_start_hour": t, "midnight_end_hour": 5 + c,
+                           **({"high_risk_drug_countries": "CO,MX,AL"} if c % 2 else {}),
+                           **({"high_risk_countries": "IR,US,TR", "weight_midnight": 4.0} if t % 2 else {})}
+            for t in range(4) for c in range(4)}
+
+
+@register("q_f21_config_sweep_16", _sweep_sql(SWEEP_16))
+def q_f21_16(spark, sf_dir):
+    return _sweep(spark, sf_dir, SWEEP_16)
+
+
+@register("q_f7_structuring_salted", O.features_query(
+    "SELECT transaction_id, small_txn_count_per_day, structuring_flag, receiver_bank_count FROM feat"))
+def q_f7_salted(spark, sf_dir):
+    """The join back of large aggregates: none is broadcast, and hot keys are salted."""
+    old = spark.conf.get("riskweave.join.broadcastBytes", None)
+    spark.conf.set("riskweave.join.broadcastBytes", "0")
+    try:
+        only = ["small_txn_count_per_day", "structuring_flag", "receiver_bank_count"]
+        return features_table(spark, sf_dir, only=only).select("transaction_id", *only)
+    finally:
+        if old is None:
+            spark.conf.unset("riskweave.join.broadcastBytes")
+        else:
+            spark.conf.set("riskweave.join.broadcastBytes", old)
 
 
 # ---------------------------------------------------------------- scoring and alerts
@@ -293,13 +321,15 @@ def q_a4(spark, sf_dir):
 
 @register("q_a5_flag_enhanced", _sc("SELECT transaction_id, enhanced_aml_score, flagged_by_enhanced FROM scored"))
 def q_a5(spark, sf_dir):
-    return scored_table(spark, sf_dir).select("transaction_id", "enhanced_aml_score", "flagged_by_enhanced")
+    feat = features_table(spark, sf_dir, only=["enhanced_aml_score"])
+    return A.flag_enhanced(feat).select("transaction_id", "enhanced_aml_score", "flagged_by_enhanced")
 
 
 @register("q_a6_flag_indicators", _sc(
     "SELECT transaction_id, high_weight_indicator_count, flagged_by_indicators FROM scored"))
 def q_a6(spark, sf_dir):
-    return scored_table(spark, sf_dir).select("transaction_id", "high_weight_indicator_count", "flagged_by_indicators")
+    feat = features_table(spark, sf_dir, only=HIGH_WEIGHT_INDICATORS)
+    return A.flag_indicators(feat).select("transaction_id", "high_weight_indicator_count", "flagged_by_indicators")
 
 
 _A7 = ["transaction_id", "anomaly_label", "flagged_by_model", "flagged_by_enhanced", "flagged_by_indicators", "is_flagged"]
@@ -307,7 +337,11 @@ _A7 = ["transaction_id", "anomaly_label", "flagged_by_model", "flagged_by_enhanc
 
 @register("q_a7_combine_flags", _sc("SELECT " + ", ".join(_A7) + " FROM scored"))
 def q_a7(spark, sf_dir):
-    return scored_table(spark, sf_dir).select(*_A7)
+    """Flags need no rank: the policy's cut is the one quantile read here."""
+    feat = features_table(spark, sf_dir, only=[*HIGH_WEIGHT_INDICATORS, "enhanced_aml_score"])
+    feat = feat.withColumn("native_score", surrogate_native_score())
+    cut, _ = A.policy_cut(feat.select("native_score"), "native", contamination=DEFAULT_CONFIG.contamination)
+    return A.combine_flags(A.apply_policy(feat, cut)).select(*_A7)
 
 
 _KPI_SQL = ("count(*) AS n_transactions, CAST(sum(is_flagged) AS BIGINT) AS n_flagged, "
@@ -742,6 +776,23 @@ def q_n16(spark, sf_dir):
     return _metrics_out(net.metrics)
 
 
+_SUMMARY_SQL = _METRICS_SQL.replace("SELECT (SELECT", f"""SELECT (SELECT string_agg(account || ':' || degree || ':' || in_degree || ':' || out_degree, ',' ORDER BY degree DESC, account)
+         FROM (SELECT * FROM deg ORDER BY degree DESC, account LIMIT 10) h) AS hubs,
+       (SELECT count(*) FROM sel) AS selected_total, (SELECT count(*) FROM sel_f) AS selected_fraud,
+       (SELECT count(*) FROM sel) - (SELECT count(*) FROM sel_f) AS selected_context,
+       (SELECT count(*) FROM scored) AS total_transactions_in_df, (SELECT c FROM nf) AS flagged_transactions_in_df, (SELECT""", 1)
+
+
+@register("q_n16_network_summary", _sel_net_sql(_SUMMARY_SQL))
+def q_n16_summary(spark, sf_dir):
+    """The summary beside the drawn network: metrics, hubs and what was selected of how much."""
+    m = N.transaction_network(scored_table(spark, sf_dir), NET_SCORE, NET_THR, limit=NET_LIMIT).metrics
+    hubs = F.array_join(F.transform("top_hubs", lambda h: F.concat_ws(":", h["account_id"], h["degree"], h["in_degree"], h["out_degree"])), ",")
+    counts = ["selected_total", "selected_fraud", "selected_context", "total_transactions_in_df", "flagged_transactions_in_df"]
+    return m.select("n_nodes", "n_edges", "average_degree", "density", "num_fraud_edges", r6("total_amount"), "score_threshold_used",
+                    "score_column_used", "n_connected_components", hubs.alias("hubs"), *counts)
+
+
 # ---------------------------------------------------------------- models
 import uuid  # noqa: E402
 

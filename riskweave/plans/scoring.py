@@ -7,6 +7,8 @@ re-running the scan, joins and dedup shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +16,18 @@ from riskweave.config import DEFAULT_CONFIG, RiskConfig
 from riskweave.functions.keys import with_row_key
 from riskweave.operators.alerts import attach_scores
 from riskweave.operators.clean import clean
-from riskweave.operators.features import engineer_features
+from riskweave.operators.features import ROW_FEATURES, engineer_features
 from riskweave.session import cut_lineage
 from riskweave.sources import fixtures
 
 
 def features_table(spark: SparkSession, sf_dir: str, cfg: RiskConfig = DEFAULT_CONFIG,
-                   materialize: bool = True) -> DataFrame:
+                   materialize: bool = True, only: Iterable[str] | None = None) -> DataFrame:
+    """The fixture's features, or just those in ``only``. Row-level features alone need no written table."""
     cleaned = clean(fixtures.txn(spark, sf_dir))
-    if materialize:
+    if materialize and (only is None or not set(only) <= ROW_FEATURES):
         cleaned = cut_lineage(cleaned)
-    return engineer_features(cleaned, cfg)
+    return engineer_features(cleaned, cfg, only=only)
 
 
 def surrogate_native_score():

@@ -80,7 +80,7 @@ def test_components_match_union_find(spark):
 def test_top_k_per_group_hot_group(spark):
     rows = [(0, i) for i in range(2000)] + [(g, i) for g in range(1, 5) for i in range(3)]
     df = spark.createDataFrame(rows, "g long, transaction_id long")
-    out = top_k_per_group(df, ["g"], [F.col("transaction_id").desc()], 6, salt_buckets=8)
+    out = top_k_per_group(df, ["g"], [F.col("transaction_id").desc()], 6)
     got = {}
     for r in out.collect():
         got.setdefault(r["g"], []).append((r["pos"], r["transaction_id"]))

@@ -89,6 +89,8 @@ def test_nulls_infinities_and_counts(spark):
     assert got == {"a": [3.0], "b": [1.0], "c": [None]}
     assert counts == {"a": 3, "b": 1, "c": 0, "__rows__": 5}
     assert Q.exact_quantiles(df, [], [0.5]) == {}
+    counts = {}
+    assert Q.exact_quantiles(df.limit(0), ["a"], [0.5], counts=counts) == {"a": [None]} and counts["__rows__"] == 0
 
 
 def test_counts_of_repeated_tasks_are_not_trusted(spark, monkeypatch):

@@ -12,7 +12,7 @@ from riskweave.sources import fixtures
 from tests.conftest import SF_SMALL
 
 SKEW_CONF = {
-    "riskweave.join.broadcastKeys": "0",          # force the shuffled path
+    "riskweave.join.broadcastBytes": "0",          # force the shuffled path
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
@@ -49,7 +49,7 @@ def _run(spark, conf):
 
 def test_hot_sender_day_is_salted_and_results_equal(spark):
     salted_rows, salted_plan = _run(spark, SKEW_CONF)
-    broadcast_rows, broadcast_plan = _run(spark, {**SKEW_CONF, "riskweave.join.broadcastKeys": "1000000"})
+    broadcast_rows, broadcast_plan = _run(spark, {**SKEW_CONF, "riskweave.join.broadcastBytes": "100000000"})
     assert salted_rows == broadcast_rows
     assert "_salt" in salted_plan and "_salt" not in broadcast_plan
     hot = [r for r in salted_rows if r[2] == 999999]
@@ -73,10 +73,10 @@ def test_components_with_hub_salted(spark):
     from tests.test_primitives import _brute_components
     edges = [("hub", f"a{i:04d}") for i in range(600)] + [(f"b{i:04d}", f"b{i + 1:04d}") for i in range(1200)]
     edges += [("a0007", "b0003")]
-    spark.conf.set("riskweave.join.broadcastKeys", "0")
+    spark.conf.set("riskweave.join.broadcastBytes", "0")
     try:
         got = {r["node"]: r["component"] for r in
                connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
     finally:
-        spark.conf.unset("riskweave.join.broadcastKeys")
+        spark.conf.unset("riskweave.join.broadcastBytes")
     assert got == _brute_components(edges)
