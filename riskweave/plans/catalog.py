@@ -968,18 +968,18 @@ def _emb_matrix(spark, sf_dir):
 
 @register("q_m9_autoencoder_fit")
 def q_m9(spark, sf_dir):
-    """Training history (3 epochs here; the trainer default is 100)."""
-    x, _ = _emb_matrix(spark, sf_dir)
-    m = AE.fit_autoencoder(x, "vec_id", epochs=3)
+    """Training history with the trainer's settings, on the transaction features."""
+    x, _ = _txn_matrix(spark, sf_dir)
+    m = AE.fit_autoencoder(x, "transaction_id")
     return spark.createDataFrame([(h["epoch"], round(h["loss"], 6), round(h["val_loss"], 6), h["lr"]) for h in m.history],
                                  "epoch int, loss double, val_loss double, lr double")
 
 
 @register("q_m10_reconstruction_error")
 def q_m10(spark, sf_dir):
-    x, _ = _emb_matrix(spark, sf_dir)
-    m = AE.fit_autoencoder(x, "vec_id", epochs=3)
-    return AE.reconstruction_error(m, x).select("vec_id", F.round("native_score", 9).alias("native_score"))
+    x, _ = _txn_matrix(spark, sf_dir)
+    m = AE.fit_autoencoder(x, "transaction_id")
+    return AE.reconstruction_error(m, x).select("transaction_id", F.round("native_score", 9).alias("native_score"))
 
 
 @register("q_m11_pca_reconstruction")
@@ -1015,13 +1015,33 @@ def q_m12(spark, sf_dir):
                                            F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff"))
 
 
-@register("q_m14_train_models", O.features_query(" UNION ALL ".join(
-    f"SELECT '{kind}' AS model_type, CAST({len(MODEL_FEATURES)} AS INTEGER) AS n_features, count(*) AS n_samples, "
-    f"CAST(0.01 AS DOUBLE) AS contamination FROM feat" for kind in ("IsolationForest", "PCA"))))
+_MODELS = {"IsolationForest": "isolation_forest", "PCA": "pca", "Autoencoder": "autoencoder"}
+
+
+@register("q_m14_train_models", O.forest_query(" UNION ALL ".join(
+    f"SELECT '{kind}' AS model_type, CAST({len(MODEL_FEATURES)} AS INTEGER) AS n_features, (SELECT count(*) FROM feat) AS n_samples, "
+    f"CAST(0.01 AS DOUBLE) AS contamination, "
+    + ("(SELECT round(quantile_cont(native_score, 0.99), 9) FROM walked)" if kind == "IsolationForest" else "CAST(NULL AS DOUBLE)")
+    + " AS forest_threshold" for kind in _MODELS), MODEL_FEATURES, TREES))
 def q_m14(spark, sf_dir):
+    """The trainer's models with its settings; SQL grows the forest again and has its threshold."""
     from riskweave.operators.models.artifacts import model_registry
-    _, d, _ = _train(spark, sf_dir)
-    return model_registry(spark, d).select("model_type", "n_features", "n_samples", "contamination")
+    _, d, _ = _train(spark, sf_dir, list(_MODELS.values()))
+    thr = F.when(F.col("model_type") == "IsolationForest", F.round("threshold", 9))
+    return model_registry(spark, d).select("model_type", "n_features", "n_samples", "contamination", thr.alias("forest_threshold"))
+
+
+@register("q_m7_calibrate_model", O.forest_query(
+    "SELECT transaction_id, round(native_score, 9) AS native_score, anomaly_label, is_flagged FROM scored",
+    MODEL_FEATURES, TREES, scored=True, cfg=with_config(contamination=0.05)))
+def q_m7_model(spark, sf_dir):
+    """A trained forest calibrated to flag one payment in twenty: the artifact's threshold changes, and with it the labels."""
+    from riskweave.operators.models.training import calibrate_model
+    from riskweave.plans.scoring import score_transactions
+    feat, _, paths = _train(spark, sf_dir, ("isolation_forest",))
+    calibrate_model(spark, paths["isolation_forest"], feat, 0.05)
+    scored, _ = score_transactions(spark, paths["isolation_forest"], feat, "native")
+    return scored.select("transaction_id", F.round("native_score", 9).alias("native_score"), "anomaly_label", "is_flagged")
 
 
 @register("q_m15_retrain", O.features_query(
