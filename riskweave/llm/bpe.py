@@ -6,7 +6,11 @@ tokens. So one token per prefix is enough: walk back through the table to read
 the ids. The last token of a prefix is the one token t ending there for which
 (last token of the rest, t) is a pair that merging leaves as it is. Appending
 bytes only adds rows to the table, and after an edit only the rows behind it
-are computed again.
+are computed again. New pieces are encoded in sorted order for that reason: a
+piece keeps the rows of the prefix that it shares with the one before.
+
+The tokens that end at a place come from an Aho-Corasick automaton over the
+vocabulary, the longest first.
 
 A piece that is itself in the vocabulary is that token, as the rank files'
 library has it; pieces are the matches of ``public_tokenizers.PATTERN``.
@@ -17,16 +21,20 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.pieces import PieceCache, vocabulary
+from riskweave.llm.pieces import LONG_PIECE, splitter, vocabulary
 
+KEEP = 300_000                       # pieces that a process keeps
+AT_ONCE = 2_000_000                  # characters split at a time
 CHUNK = 1 << 19                      # ids in one Arrow batch of results
 PAIRS = 200_000                      # pair checks a process remembers
 
@@ -40,6 +48,10 @@ class PrefixBpe:
         for t, r in ranks.items():
             self.token[r] = t
         self.longest = max(map(len, ranks), default=0)
+        self.ending = ahocorasick.Automaton()
+        for t, r in ranks.items():
+            self.ending.add_word(t.decode("latin-1"), (len(t), r))
+        self.ending.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.made: dict[int, tuple[int, int] | None] = {}
 
@@ -100,23 +112,24 @@ class PrefixBpe:
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """Fill ``last`` (the last token of each prefix already done; entry 0 is a
         placeholder) up to the whole of ``data``, in place."""
-        rank, known = self.ranks.get, self.pairs.get
-        for end in range(len(last), len(data) + 1):
-            for begin in range(max(0, end - self.longest), end):         # the longest token first
-                t = rank(data[begin:end])
-                if t is None:
-                    continue
-                if begin == 0:
-                    ok = self.stands(t)
-                else:
-                    ok = known((last[begin], t))
-                    if ok is None:
-                        ok = self.follows(last[begin], t)
-                if ok:
-                    last.append(t)
-                    break
+        known, todo = self.pairs.get, len(last)
+        for stop, (size, t) in self.ending.iter(data.decode("latin-1"), max(0, todo - self.longest)):
+            if stop + 1 < todo:                              # that prefix has its token
+                continue
+            if stop + 1 > todo:
+                break
+            begin = todo - size
+            if begin == 0:
+                ok = self.stands(t)
             else:
-                raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
+                ok = known((last[begin], t))
+                if ok is None:
+                    ok = self.follows(last[begin], t)
+            if ok:
+                last.append(t)
+                todo += 1
+        if todo <= len(data):
+            raise ValueError(f"byte {data[todo - 1]} is not in the vocabulary")
         return last
 
     def table(self, data: bytes) -> list[int]:
@@ -145,30 +158,84 @@ class PrefixBpe:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else self.read(self.table(data))
 
+    def encode_sorted(self, pieces: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """(piece, ids) of pieces in ascending order of their bytes, each on the table of the one before."""
+        before, last = b"", [-1]
+        for data, piece in sorted((p.encode("utf-8", "surrogatepass"), p) for p in pieces):
+            whole = self.ranks.get(data)
+            if whole is not None:
+                yield piece, [whole]
+                continue
+            same, most = 0, min(len(data), len(before))
+            while same < most and data[same] == before[same]:
+                same += 1
+            before, last = data, self.extend(data, last[:same + 1])
+            yield piece, self.read(last)
+
     def decode(self, ids) -> bytes:
         """The bytes of ids."""
         token = self.token
-        return b"".join([token[i] for i in ids])
-
-
-_MADE: dict[str, tuple[PrefixBpe, PieceCache]] = {}
-
-
-def encoder(name: str = "byte_bpe_50k.tiktoken") -> tuple[PrefixBpe, PieceCache]:
-    """This process's encoder of a rank file and its cache of piece -> ids, as unsigned ints' bytes."""
+        return b"".join(map(token.__getitem__, ids))
+
+
+class TextEncoder:
+    """Encodes texts by their pieces; keeps pieces it has met, up to KEEP: new ones and those asked for again
+    replace the older half."""
+
+    def __init__(self, bpe: PrefixBpe):
+        self.bpe, self.split, self.kept, self.older = bpe, splitter(), {}, {}
+        self.decimal = [str(i) for i in range(len(bpe.token))]
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of new pieces; all but long ones are kept."""
+        if len(self.kept) + len(new) > KEEP // 2:
+            self.older, self.kept = self.kept, {}
+        values = {piece: array("I", ids).tobytes() for piece, ids in self.bpe.encode_sorted(new)}
+        self.kept.update((p, v) for p, v in values.items() if len(p) <= LONG_PIECE)
+        return values
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text (null: none), in turn. A bounded number of characters is split at a time, one text's at least."""
+        at = 0
+        while at < len(texts):
+            rows, size, new = [], 0, set()
+            while at < len(texts) and (not rows or size + len(texts[at] or "") <= AT_ONCE):
+                pieces = self.split.findall(texts[at] or "")
+                values = list(map(self.kept.get, pieces))
+                gaps = []
+                for i in [i for i, v in enumerate(values) if v is None] if None in values else ():
+                    piece = pieces[i]
+                    values[i] = v = self.older.get(piece)
+                    if v is None:
+                        gaps.append((i, piece))
+                        new.add(piece)
+                    else:
+                        self.kept[piece] = v
+                rows.append((values, gaps))
+                size += len(texts[at] or "")
+                at += 1
+            learned = self.learn(new)
+            for values, gaps in rows:
+                for i, piece in gaps:
+                    values[i] = learned[piece]
+                yield np.frombuffer(b"".join(values), dtype="<i4")
+
+
+_MADE: dict[str, TextEncoder] = {}
+
+
+def encoder(name: str = "byte_bpe_50k.tiktoken") -> TextEncoder:
+    """This process's encoder of a rank file."""
     if name not in _MADE:
         with open(vocabulary(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        bpe = PrefixBpe(ranks)
-        _MADE[name] = bpe, PieceCache(
-            lambda p: array("I", bpe.encode_piece(p.encode("utf-8", "surrogatepass"))).tobytes(), 200_000)
+        _MADE[name] = TextEncoder(PrefixBpe(ranks))
     return _MADE[name]
 
 
 def encode_text(text: str, name: str = "byte_bpe_50k.tiktoken") -> list[int]:
     """Ids of a whole text."""
-    _, cache = encoder(name)
-    return array("I", b"".join(cache.each(cache.split.findall(text)))).tolist()
+    return next(encoder(name).encode([text])).tolist()
 
 
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -176,13 +243,16 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFr
     @F.pandas_udf("array<int>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([np.array(encode_text(t or "", vocabulary), dtype=np.int32) for t in batch], dtype=object)
+            yield pd.Series(list(encoder(vocabulary).encode(batch.tolist())), dtype=object)
     return docs.select("doc_id", run("text").alias("ids"))
 
 
 def encode_checked(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """(doc_id, source, n_tokens, ids, exact): ``exact`` tells whether the ids decode to
-    the text's bytes. A task holds about CHUNK ids at a time, one text's at least."""
+    the text's bytes. A task holds about CHUNK ids at a time, one text's at least.
+
+    A null or empty text has no ids; null doc_ids and sources stay null; repeated rows and ties
+    give a row each; an empty table gives an empty result; other columns are not read."""
     names = ["doc_id", "source", "n_tokens", "ids", "exact"]
 
     def table(out) -> pa.RecordBatch:
@@ -194,14 +264,12 @@ def encode_checked(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -
              pa.array(np.diff(ends), type=pa.int64()), lists, pa.array([o[3] for o in out], type=pa.bool_())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, _ = encoder(vocabulary)
-        out, size = [], 0
+        out, size, e = [], 0, encoder(vocabulary)
         for b in batches:
-            for i, text, source in zip(*b.columns):
-                text = text.as_py() or ""
-                ids = encode_text(text, vocabulary)
-                exact = bpe.decode(ids) == text.encode("utf-8", "surrogatepass")
-                out.append((i.as_py(), source.as_py(), np.array(ids, dtype=np.int32), exact))
+            texts = b.column(1).to_pylist()
+            for i, source, text, ids in zip(b.column(0), b.column(2), texts, e.encode(texts)):
+                exact = e.bpe.decode(ids.tolist()) == (text or "").encode("utf-8", "surrogatepass")
+                out.append((i.as_py(), source.as_py(), ids, exact))
                 size += len(ids)
                 if size >= CHUNK:
                     yield table(out)
@@ -216,7 +284,7 @@ def decode(rows: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFr
     """(doc_id, bytes): the bytes that ids stand for (null: empty)."""
     @F.pandas_udf("binary")
     def run(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe, _ = encoder(vocabulary)
+        bpe = encoder(vocabulary).bpe
         for batch in ids:
             yield pd.Series([bpe.decode([] if i is None else i) for i in batch], dtype=object)
     return rows.select("doc_id", run("ids").alias("bytes"))
@@ -229,13 +297,12 @@ def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> Da
     A null text is empty; other columns are not read; repeated rows give repeated results."""
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe, _ = encoder(vocabulary)
-        decimal = [str(i) for i in range(len(bpe.token))]
+        e = encoder(vocabulary)
         for batch in texts:
             out = []
-            for t in batch:
-                ids = encode_text(t or "", vocabulary)
-                out.append((len(ids), hashlib.sha256(" ".join([decimal[i] for i in ids]).encode()).hexdigest(),
-                            hashlib.sha256(bpe.decode(ids)).hexdigest()))
+            for found in e.encode(batch.tolist()):
+                ids = found.tolist()
+                decimal = " ".join(map(e.decimal.__getitem__, ids))
+                out.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(e.bpe.decode(ids)).hexdigest()))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
     return docs.select("doc_id", run("text").alias("r")).select("doc_id", "r.*")

@@ -36,9 +36,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.llm.common import written
 from riskweave.llm.pieces import vocabulary
 
 PER_LANGUAGE = 5_000                  # labelled documents of a language in the fit, at most
+BROADCAST_IDS = 500_000               # of sampled ids: above it they are joined by a shuffle
 MARK = "▁"                            # the vocabulary's word start
 KEEP_TOKENS = 200_000                 # tokens whose scores a process keeps
 RESCALE = 8                           # letters between two rescalings of a forward column
@@ -225,6 +227,8 @@ def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     near = near.where(place * F.col("n_docs") < per_language + 8 * per_language ** 0.5 + 16)
     first = Window.partitionBy("lang").orderBy(place, "doc_id")
     ids = near.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= per_language).drop("_k")
+    ids = written(ids)                                        # a bounded number for each language
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     rows = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"])
     return rows.groupBy("doc_id", "lang", "n_docs").agg(F.min("text").alias("text")).select("text", "lang", "n_docs")
 

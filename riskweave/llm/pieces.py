@@ -33,7 +33,13 @@ def vocabulary(name: str) -> str:
 #: public_tokenizers.PATTERN in the terms of Python's own engine, which is faster; the two
 #: differ on the characters that ``_unlike`` finds.
 #: Letters come first, as most pieces are words: no other alternative can match where they do.
-_PLAIN = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]+|_+)+|\s+(?!\S)|\s+")
+_REST = r"| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]+|_+)+|\s+(?!\S)|\s+"
+_PLAIN = re.compile(r" ?[^\W\d_]+" + _REST)
+#: The same for texts whose letters are spelled out, which is faster again.
+_ASCII = re.compile(r" ?[A-Za-z]+" + _REST)
+LATIN_END = 0x250
+_LATIN = re.compile(" ?[" + "".join(chr(c) for c in range(LATIN_END) if chr(c).isalpha()) + "]+" + _REST)
+_BEYOND = re.compile(f"[^\0-{chr(LATIN_END - 1)}]")
 
 
 def _unlike(engine) -> re.Pattern:
@@ -55,8 +61,11 @@ class Splitter:
         self.unlike = _unlike(regex)
 
     def findall(self, text: str) -> list[str]:
-        plain = text.isascii() or not self.unlike.search(text)
-        return (_PLAIN if plain else self.exact).findall(text)
+        if text.isascii():
+            return _ASCII.findall(text)
+        if self.unlike.search(text):
+            return self.exact.findall(text)
+        return (_PLAIN if _BEYOND.search(text) else _LATIN).findall(text)
 
 
 _SPLITTER: list[Splitter] = []

@@ -321,8 +321,36 @@ def test_bpe(spark, docs):
     assert bpe.round_trip(empty(spark)).count() == 0
 
 
+def test_encode_checked(spark, docs):
+    """A pipeline stage: ids by document with its source, and whether they decode to the text; nulls, empties, repeated rows."""
+    want = collections.Counter((d.doc_id, d.source, tuple(bpe.encode_text(d.text or ""))) for d in docs.collect())
+    rows = bpe.encode_checked(docs).collect()
+    assert collections.Counter((r.doc_id, r.source, tuple(r.ids)) for r in rows) == want
+    assert all(r.exact and r.n_tokens == len(r.ids) for r in rows)
+    none = bpe.encode_checked(empty(spark))
+    assert none.columns == ["doc_id", "source", "n_tokens", "ids", "exact"] and none.collect() == []
+
+
+def test_encoder_that_forgets(monkeypatch):
+    """A cache smaller than a text's pieces, few characters at a time, long pieces never kept: the same ids."""
+    ts = [t for t in texts() if t and len(t) < 3000] + ["x" * 600, None, ""]
+    plain = [bpe.encode_text(t or "") for t in ts]
+    monkeypatch.setattr(bpe, "KEEP", 20)
+    monkeypatch.setattr(bpe, "AT_ONCE", 500)
+    monkeypatch.setattr(bpe, "LONG_PIECE", 8)
+    e = bpe.TextEncoder(bpe.encoder().bpe)
+    assert [ids.tolist() for ids in e.encode(ts)] == plain
+    assert len(e.kept) <= 20 + max(len(set(e.split.findall(t or ""))) for t in ts) and all(len(p) <= 8 for p in e.kept)
+
+
+def test_sorted_pieces_share_prefix_tables():
+    b, rng = bpe.encoder().bpe, random.Random(5)
+    some = {"".join(rng.choice(["er", "in", "the", " ", "ß", "ing", "qu"]) for _ in range(rng.randint(1, 9))) for _ in range(400)}
+    assert dict(b.encode_sorted(some)) == {p: b.encode_piece(p.encode()) for p in some}
+
+
 def test_prefix_table_appends_and_edits():
-    b, _ = bpe.encoder()
+    b = bpe.encoder().bpe
     rng = random.Random(4)
     for _ in range(60):
         data = bytes(rng.choice(b"abcdeinrst -\n\xc3\xa9") for _ in range(rng.randint(1, 30)))
