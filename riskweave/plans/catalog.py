@@ -158,20 +158,35 @@ FEED_HEADERS = {"tx_id": "Transaction ID", "shuma_e_transaksionit": "AMOUNT", "i
                 "data_transaksionit": "Timestamp", "tx_type": "Transaction Type"}
 
 
-@register("q_s13_load_and_map", _raw_sql("SELECT count(*) AS n_rows, count(DISTINCT transaction_id) AS n_ids, "
-                                         "CAST(sum(amount) AS DOUBLE) AS total_amount FROM cl"))
+@register("q_s13_load_and_map", _raw_sql(f"SELECT {_TYPED_OUT.replace(TS_SQL, '')} {TS_SQL} FROM c2"))
 def q_s13(spark, sf_dir):
-    """The upload as two CSV feeds with different headers, read and mapped to one
-    table, cleaned and summarised. A row's id decides its feed; both are read whole."""
+    """The upload as many CSV files with two different headers, read and mapped to one table. A row's id decides its
+    feed; all are read whole."""
     from riskweave.sources.mapping import load_and_map
     raw, path = fixtures.txn_raw(spark, sf_dir), scratch_dir(spark)
     first = F.crc32(F.col("tx_id")) % 2 == 0
     feeds = {"a.csv": raw.where(first), "b.csv": raw.where(~first).withColumnsRenamed(FEED_HEADERS)}
     for name, feed in feeds.items():
-        feed.write.option("header", True).csv(f"{path}/{name}")
-    d = C.clean(load_and_map(spark, [f"{path}/{name}" for name in feeds], "csv")[0])
-    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("transaction_id").alias("n_ids"),
-                 F.sum("amount").alias("total_amount"))
+        (feed.repartition(8).write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(f"{path}/{name}"))
+    d, _ = load_and_map(spark, [f"{path}/{name}" for name in feeds], "csv")
+    typed = F.expr("try_cast(amount AS double)")
+    return _typed_out(C.clean_timestamp(d).withColumn("amount", typed))
+
+
+@register("q_s2_read_workbooks", _raw_sql(f"SELECT {_TYPED_OUT.replace(TS_SQL, '')} {TS_SQL} FROM c2"))
+def q_s2(spark, sf_dir):
+    """The upload as workbooks in two layouts, streamed, written once and mapped by layout."""
+    from functools import reduce
+
+    from riskweave.session import cut_lineage
+    from riskweave.sources.mapping import mapped_workbooks
+    from riskweave.sources.readers import workbook_rows
+    table = cut_lineage(workbook_rows(fixtures.txn_workbooks(spark, sf_dir, FEED_HEADERS)))
+    parts, _ = mapped_workbooks(table)
+    d = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    typed = F.expr("try_cast(amount AS double)")
+    return _typed_out(C.clean_timestamp(d).withColumn("amount", typed))
 
 
 # ---------------------------------------------------------------- rule features

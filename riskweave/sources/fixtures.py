@@ -9,6 +9,11 @@ work grows with the scale factor. Modulus rules below only *place* faults
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +82,43 @@ def txn_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _raw_projection(ev)
     dups = _raw_projection(ev.where(F.col("event_id") % 50 == 0))
     return rows.unionByName(dups)
+
+
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_RELATION = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+def workbook(header: list[str], rows: list[tuple]) -> bytes:
+    """A workbook of one sheet: header texts are shared strings, cells are inline texts, absent ones left out."""
+    def letters(i: int) -> str:
+        return (letters(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+    heads = "".join(f'<c r="{letters(j)}1" t="s"><v>{j}</v></c>' for j in range(len(header)))
+    body = "".join(
+        f'<row r="{i}">' + "".join(f'<c r="{letters(j)}{i}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+                                   for j, v in enumerate(r) if v is not None) + "</row>" for i, r in enumerate(rows, 2))
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{_SHEET}" xmlns:r="{_RELATION}"><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}"><Relationship Id="r1" Target="worksheets/sheet1.xml" Type="x"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{_SHEET}">' + "".join(f"<si><t>{escape(h)}</t></si>" for h in header) + "</sst>",
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_SHEET}"><sheetData><row r="1">{heads}</row>{body}</sheetData></worksheet>'}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def txn_workbooks(spark: SparkSession, sf_dir: str, headers: dict[str, str], rows_each: int = 2_000) -> DataFrame:
+    """``txn_raw`` as workbooks (path, content) of about ``rows_each`` rows; every other one has its columns in
+    reverse order under ``headers`` (raw name -> name there)."""
+    raw = txn_raw(spark, sf_dir)
+    file = F.floor(F.col("tx_id").cast("bigint") / rows_each)
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = [c for c in pdf.columns if c != "_file"]
+        names = names[::-1] if key[0] % 2 else names
+        rows = [tuple(None if v is None else str(v) for v in r) for r in pdf[names].itertuples(index=False)]
+        head = [headers.get(c, c) if key[0] % 2 else c for c in names]
+        return pd.DataFrame({"path": [f"upload{key[0]}.xlsx"], "content": [workbook(head, rows)]})
+    return raw.withColumn("_file", file).groupBy("_file").applyInPandas(pack, "path string, content binary")

@@ -7,15 +7,21 @@ becomes null instead of failing the job.
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from riskweave.session import cut_lineage
 
 SUPPORTED = (".csv", ".parquet", ".xlsx")
 
@@ -86,42 +92,58 @@ def _date_text(serial: str, from_1904: bool) -> str:
         return serial
 
 
-def _header(row: list[str | None]) -> list[str]:
-    """Column names of a header row; a name met again gets .1, .2, ..."""
+def header_names(row: list[str | None]) -> list[str]:
+    """Column names of a header row; a name met again (in any case) gets .1, .2, ..."""
     seen: dict[str, int] = {}
     out = []
     for h in ("" if v is None else str(v) for v in row):
-        n = seen.get(h, 0)
-        seen[h] = n + 1
+        n = seen.get(h.lower(), 0)
+        seen[h.lower()] = n + 1
         out.append(f"{h}.{n}" if h and n else h)
     return out
 
 
-def _first_sheet_rows(data: bytes, max_rows: int | None = None) -> list[list[str | None]]:
-    """Rows of the first sheet as text (first row = header)."""
+_M = f"{{{_NS['m']}}}"
+
+
+def _texts(element: ET.Element) -> str:
+    return "".join(t.text or "" for t in element.iter(f"{_M}t"))
+
+
+def _elements(z: zipfile.ZipFile, name: str, tag: str) -> Iterator[ET.Element]:
+    """The elements of one name in a part of the file, one at a time: what was read is let go of."""
+    with z.open(name) as f:
+        path: list[ET.Element] = []
+        for event, el in ET.iterparse(f, events=("start", "end")):
+            if event == "start":
+                path.append(el)
+                continue
+            path.pop()
+            if el.tag == tag:
+                yield el
+                path[-1].clear()
+
+
+def sheet_rows(data: bytes) -> Iterator[list[str | None]]:
+    """Rows of the first sheet as text (the first is the header), streamed from the file's XML. Only the workbook's
+    shared strings are held."""
     z = zipfile.ZipFile(io.BytesIO(data))
     wb = ET.fromstring(z.read("xl/workbook.xml"))
-    sheet = wb.find("m:sheets/m:sheet", _NS)
-    rid = sheet.get(f"{{{_NS['r']}}}id")
+    rid = wb.find("m:sheets/m:sheet", _NS).get(f"{{{_NS['r']}}}id")
     rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
-    target = next(r.get("Target") for r in rels.findall("pr:Relationship", _NS) if r.get("Id") == rid)
-    target = target.lstrip("/")
+    target = next(r.get("Target") for r in rels.findall("pr:Relationship", _NS) if r.get("Id") == rid).lstrip("/")
     target = target if target.startswith("xl/") else "xl/" + target
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+    shared = [_texts(si) for si in _elements(z, "xl/sharedStrings.xml", f"{_M}si")] if "xl/sharedStrings.xml" in z.namelist() else []
     dates = _date_styles(z)
     properties = wb.find("m:workbookPr", _NS)
     from_1904 = properties is not None and properties.get("date1904") in ("1", "true")
-    rows: list[list[str | None]] = []
-    for row in ET.fromstring(z.read(target)).iter(f"{{{_NS['m']}}}row"):
+    for row in _elements(z, target, f"{_M}row"):
         cells: dict[int, str | None] = {}
         for c in row.findall("m:c", _NS):
             idx = _col_index(_REF.match(c.get("r")).group(1)) if c.get("r") else len(cells)
             t = c.get("t")
             if t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter(f"{{{_NS['m']}}}t"))
+                val = _texts(c)
             else:
                 v = c.find("m:v", _NS)
                 val = None if v is None else v.text
@@ -132,39 +154,106 @@ def _first_sheet_rows(data: bytes, max_rows: int | None = None) -> list[list[str
                 elif val is not None and t in (None, "n") and int(c.get("s") or 0) in dates:
                     val = _date_text(val, from_1904)
             cells[idx] = val
-        width = max(cells) + 1 if cells else 0
-        rows.append([cells.get(i) for i in range(width)])
-        if max_rows and len(rows) >= max_rows:
-            break
-    return rows
+        yield [cells.get(i) for i in range(max(cells) + 1 if cells else 0)]
+
+
+ROWS_AT_ONCE = 4096
+WORKBOOK_ROWS = "path string, row bigint, head array<string>, cells array<string>"
+
+
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """Rows (path, row, head, cells) of the first sheet of every workbook in ``files`` (path, content): row 0 is the
+    header alone (cells null), ``head`` is repeated on every row. A file is opened once and streamed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = pa.list_(pa.string())
+
+        def batch(path: str, first: int, head: list[str], cells: list) -> pa.RecordBatch:
+            n = len(cells)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([path] * n, type=pa.string()), pa.array(range(first, first + n), type=pa.int64()),
+                 pa.array([head] * n, type=text), pa.array(cells, type=text)], names=["path", "row", "head", "cells"])
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = sheet_rows(content.as_py())
+                head = header_names(next(rows, []))
+                yield batch(path, 0, head, [None])
+                at, held = 1, []
+                for r in rows:
+                    held.append(r)
+                    if len(held) == ROWS_AT_ONCE:
+                        yield batch(path, at, head, held)
+                        at, held = at + len(held), []
+                if held:
+                    yield batch(path, at, head, held)
+    return files.select("path", "content").mapInArrow(run, WORKBOOK_ROWS)
 
 
 def read_workbooks(spark: SparkSession, glob: str) -> DataFrame:
-    """Many workbooks in parallel (one file per task; a sheet is bounded
-    by the format's row limit). Headers are read first (first row of each
-    file), then all rows are emitted as text under the union of headers."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-
-    def headers(it):
-        for pdf in it:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                head = _first_sheet_rows(content, max_rows=1)
-                names = [h for h in _header(head[0] if head else []) if h]
-                yield pd.DataFrame({"h": pd.Series(names, dtype=object), "at": range(len(names))})
-
-    # header names only, in the order of the sheets that hold them furthest left
-    found = files.mapInPandas(headers, "h string, at int").groupBy("h").agg(F.min("at").alias("at"))
-    names = [r["h"] for r in found.orderBy("at", "h").collect()]
-    schema = ", ".join(f"`{n}` string" for n in names) or "_empty string"
-
-    def body(it):
-        for pdf in it:
-            for content in pdf["content"]:
-                rows = _first_sheet_rows(content)
-                if not rows:
-                    continue
-                head = _header(rows[0])
-                recs = [{h: (r[i] if i < len(r) else None) for i, h in enumerate(head) if h} for r in rows[1:]]
-                yield pd.DataFrame(recs, columns=names).astype(object)
-
-    return files.mapInPandas(body, schema)
+    """Many workbooks in parallel, each opened once. Rows are written as (head, cells) and read back as text under
+    the union of headers; names that differ only in case are one column."""
+    return united_rows(cut_lineage(workbook_rows(spark.read.format("binaryFile").load(glob))))
+
+
+def layouts(table: DataFrame) -> list[list[str]]:
+    """The distinct headers of a written table of ``workbook_rows``: one row per file is read."""
+    return sorted(list(r["head"]) for r in table.where("row = 0").select("head").distinct().collect())
+
+
+def united_rows(table: DataFrame) -> DataFrame:
+    """Rows of a written table of ``workbook_rows`` under the union of headers, furthest left first."""
+    first: dict[str, tuple[int, str]] = {}
+    for head in layouts(table):
+        for at, name in enumerate(head):
+            if name:
+                key = name.lower()
+                first[key] = min(first.get(key, (at, name)), (at, name))
+    lower = F.transform("head", F.lower)
+    cols = [F.get("cells", F.array_position(lower, key) - 1).alias(name) for key, (_, name) in sorted(first.items(), key=lambda i: i[1])]
+    return table.where("row > 0").select(*(cols or [F.lit(None).cast("string").alias("_empty")]))
+
+
+# --- feeds by header ---------------------------------------------------------
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The data files under a path or pattern, by the file system that Spark reads it with."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs, out = at.getFileSystem(conf), []
+    for status in fs.globStatus(at) or []:
+        found = fs.listFiles(status.getPath(), True)
+        while found.hasNext():
+            p = found.next().getPath()
+            if not p.getName().startswith(("_", ".")):
+                out.append(p.toString())
+    if not out:
+        raise FileNotFoundError(path)
+    return sorted(out)
+
+
+def csv_header(spark: SparkSession, file: str) -> list[str]:
+    """Column names of a CSV file, from its first line."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(file)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return header_names(next(csv.reader([line.lstrip("\ufeff")]), [])) if line else []
+
+
+def by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Header -> CSV files that have it. First lines are read side by side on the driver; no data is."""
+    files = [f for p in paths for f in files_of(spark, p)]
+    with ThreadPoolExecutor(16) as pool:
+        heads = list(pool.map(lambda f: tuple(csv_header(spark, f)), files))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for f, h in zip(files, heads):
+        out.setdefault(h, []).append(f)
+    return out
+
+
+def read_csv_files(spark: SparkSession, files: list[str], header: tuple[str, ...], multi_line: bool = False) -> DataFrame:
+    """CSV files of one header as one scan, all columns text."""
+    schema = T.StructType([T.StructField(c or f"_c{i}", T.StringType()) for i, c in enumerate(header)])
+    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(files))
