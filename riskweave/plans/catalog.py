@@ -232,6 +232,24 @@ def q_f20(spark, sf_dir):
     return features_table(spark, sf_dir).select(*_ALL_FEAT, ts_text())
 
 
+@register("q_f14_sender_store", O.features_query(
+    "SELECT receiver_id, date, count(DISTINCT sender_id) AS unique_senders_per_day, "
+    "CAST(count(DISTINCT sender_id) > 1 AS INTEGER) AS multiple_senders_same_receiver FROM feat "
+    "WHERE date IS NOT NULL AND sender_id IS NOT NULL AND receiver_id IS NOT NULL GROUP BY receiver_id, date"))
+def q_f14_store(spark, sf_dir):
+    """Distinct senders from the stored sketches of three uploads, one of them sent twice, compacted half way."""
+    from riskweave.operators.sender_sketches import SenderStore, estimates
+    days = features_table(spark, sf_dir, only=["date"])
+    store = SenderStore(spark, scratch_dir(spark) + "/senders")
+    parts = [days.where(F.col("transaction_id") % 3 == k) for k in range(3)]
+    store.add(parts[0], "a")
+    store.add(parts[1], "b")
+    store.add(parts[1], "b")
+    store.compact()
+    store.add(parts[2].unionByName(parts[0]), "c")
+    return estimates(store.table())
+
+
 SWEEP = {
     "default": {},
     "strict_structuring": {"structuring_min_count": 6},
