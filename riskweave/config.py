@@ -56,6 +56,8 @@ HIGH_WEIGHT_MIN_COUNT = 2
 
 @dataclass(frozen=True)
 class RiskConfig:
+    """Thresholds, lists and weights of the rules. The defaults are fixed values that must equal the reference
+    application's, as are the ranges in ``_RANGES``."""
     reporting_threshold: float = 10000.0
     near_threshold_buffer: float = 0.9
     structuring_min_count: int = 3
@@ -106,7 +108,7 @@ class RiskConfig:
 
 DEFAULT_CONFIG = RiskConfig()
 
-# Accepted ranges (from the reference's configuration form).
+# Accepted ranges, as the reference application's form has them.
 _RANGES = {
     "reporting_threshold": (0.0, 1_000_000.0),
     "near_threshold_buffer": (0.5, 1.0),
@@ -117,6 +119,7 @@ _RANGES = {
     "midnight_start_hour": (0, 23),
     "midnight_end_hour": (0, 23),
 }
+# End of fixed values.
 _ALIASES = {"multi_bank_min": "rare_bank_min_count"}
 
 

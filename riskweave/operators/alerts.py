@@ -28,13 +28,13 @@ def policy_cut(df: DataFrame, policy: str = "native", native_col: str = "native_
                topk_pct: float = 1.0, contamination: float = 0.01) -> tuple[float | None, str]:
     """A2-A4: the native-score cut of a policy and its description."""
     if policy == "native":
-        thr = trained_threshold
-        if thr is None:
-            thr = exact_quantile(df, native_col, 1.0 - float(contamination))
-        return thr, f"Native threshold from training: {float(thr):.6g}" if thr is not None else "Native threshold from training: none"
+        cut = trained_threshold
+        if cut is None:
+            cut = exact_quantile(df, native_col, 1.0 - float(contamination))
+        return cut, "learned cut: no scores" if cut is None else f"learned cut: {float(cut):.6g}"
     if policy == "manual":
-        mc = 0.0 if manual_cutoff is None else float(manual_cutoff)
-        return mc, f"score cut set by hand: {mc:.6g}"
+        cut = float(manual_cutoff or 0.0)
+        return cut, f"score cut set by hand: {cut:.6g}"
     if policy == "topk":
         cut = exact_quantile(df, native_col, 1.0 - float(topk_pct) / 100.0)
         return cut, f"scores in the top {float(topk_pct):.1f}%, from {float(cut):.6g}" if cut is not None else "highest scores: no rows"

@@ -25,10 +25,6 @@ def missing_columns(df: DataFrame, score_col: str, label_col: str, with_countrie
     return [c for c in need if c not in df.columns]
 
 
-def missing_columns_report(spark: SparkSession, missing: list[str]) -> DataFrame:
-    return spark.createDataFrame([(m,) for m in missing], "missing_column string")
-
-
 def bank_role_metrics(df: DataFrame, role: str, score_col: str = "aml_score",
                       label_col: str = "anomaly_label", min_transactions: int = 5) -> DataFrame:
     """B1: per bank in one role: count, sum amount, mean/max score, flagged."""

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.config import DEFAULT_CONFIG, HIGH_WEIGHT_INDICATORS, with_config
+from riskweave.config import DEFAULT_CONFIG, HIGH_WEIGHT_INDICATORS, REQUIRED_COLUMNS, with_config
 from riskweave.operators import clean as C
 from riskweave.plans import oracle as O
 from riskweave.plans.scoring import features_table, scored_table, surrogate_native_score
@@ -1112,11 +1112,23 @@ def q_s1(spark, sf_dir):
     return read_transactions(spark, path, "csv")
 
 
-@register("q_s14_mapping_report")
+def _report_sql() -> str:
+    m = resolve_mapping([c for c in FEED_HEADERS])
+    rows = " UNION ALL ".join(
+        f"SELECT '{canon}' AS canonical, {str(canon in REQUIRED_COLUMNS).lower()} AS required, "
+        + (f"'{raw}' AS mapped_column, 100.0::DOUBLE AS confidence_pct, count(CASE WHEN trim({raw}) <> '' THEN 1 END) AS n_values"
+           if raw else "NULL AS mapped_column, 0.0::DOUBLE AS confidence_pct, 0 AS n_values")
+        + ", count(*) AS n_rows FROM txn_raw" for canon, raw in m.columns.items())
+    return O.with_chain(O.txn_raw_cte(), body=rows)
+
+
+@register("q_s14_mapping_report", _report_sql())
 def q_s14(spark, sf_dir):
+    """The upload's mapping (all its headers are known ones) with how far each mapped column is filled."""
     from riskweave.sources.mapping import mapping_report
     raw = fixtures.txn_raw(spark, sf_dir)
-    return mapping_report(spark, resolve_mapping(raw.columns), raw.columns)
+    report = mapping_report(spark, resolve_mapping(raw.columns), raw.columns, df=raw)
+    return report.select("canonical", "required", "mapped_column", "confidence_pct", "n_values", "n_rows")
 
 
 _EXPORT_COLS = [c for c in list(O.TXN_COLUMNS) + list(O.FEATURE_COLUMNS) + list(A.SCORE_COLUMNS) if c != "timestamp"]

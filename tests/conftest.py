@@ -11,7 +11,8 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from riskweave.session import get_spark
+    from riskweave.session import drop_scratch_tables, get_spark
     s = get_spark("riskweave-tests", 4, 4)
     yield s
+    drop_scratch_tables(s)
     s.stop()
