@@ -5,7 +5,8 @@
 2. Sets that share a PartEnum signature are candidates (partenum.py: no linked
    pair is lost). The smallest set id under a signature is its hub. Each set is
    compared with the hub that it shares most signatures with, then with the hubs
-   that this left in other components; links become components each time.
+   that this left in other components, then in a few rounds with another member
+   of a signature it shares; links become components each time.
 3. What that leaves open are signatures that hold several components. Under one
    of at most ``FEW`` sets, pairs of different components are compared one by
    one; the sets under a larger one are joined on a prefix of their rarest
@@ -41,6 +42,8 @@ from riskweave.llm.shingles import set_digest, shingle_set
 from riskweave.operators.components import connected_components
 
 FEW = 512                                # sets under a signature that are paired directly
+ROUNDS = 4                               # of comparisons with one more member, while they find links
+FILTER_BITS = 1 << 30                    # of a filter of signatures: 128 MB, at most
 BROADCAST_ROWS = 1_000_000               # longs in a broadcast: 16 MB and their table
 
 
@@ -142,6 +145,37 @@ class Texts:
             discard(self.docs.sparkSession, path)
 
 
+def _likely(sets_: DataFrame, shared: DataFrame, n: int) -> DataFrame:
+    """(id, sig) of the signatures of ``sets_`` (id, sigs) that could be among ``shared`` (sig, ...): all that are, and
+    about one in seventy of the others. A filter of 16 bits a shared signature goes to the tasks, so signatures that
+    one set alone has are not shuffled again; where it would be too large they all are."""
+    m = 1 << (16 * n - 1).bit_length()
+    if m > FILTER_BITS:
+        return sets_.select("id", F.explode("sigs").alias("sig"))
+    places = [F.shiftrightunsigned("sig", k).bitwiseAND(F.lit(m - 1)) + 1 for k in (0, 32)]
+    bits = shared.select(F.explode(F.array(*places)).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    held = np.zeros(m // 8, dtype=np.uint8)
+    for r in bits.collect():                                 # 4 KB a row, FILTER_BITS in all
+        part = np.frombuffer(r["bits"], dtype=np.uint8)
+        at = (r["b"] - 1) * len(part)
+        held[at:at + len(part)] = part[:len(held) - at]
+    filter_ = sets_.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.uint64(m - 1)
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            ok = np.ones(len(flat), dtype=bool)
+            for k in (0, 32):
+                h = (flat >> np.uint64(k)) & mask
+                ok &= (filter_.value[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))[ok]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(flat[ok].view(np.int64))], names=["id", "sig"])
+    return sets_.mapInArrow(run, f"id {sets_.schema['id'].dataType.simpleString()}, sig bigint")
+
+
 def _components_of(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """``rows`` (id, ...) with ``c``: the component, which is the id itself where nothing is linked."""
     at = rows.join(comp.withColumnRenamed("node", "id"), "id", "left")
@@ -156,7 +190,9 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) once the components that ``links`` (ca, cb) join are one."""
+    """(node, component) once the components that ``links`` (ca, cb), a written table, join are one."""
+    if links.isEmpty():
+        return comp
     over = written(connected_components(written(links.select("ca", "cb").distinct()), "ca", "cb"))
     nodes = over.join(comp, "node", "left_anti").select("node", F.col("node").alias("component")).unionByName(comp)
     top = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
@@ -192,7 +228,10 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **sc
 
     sigs = firsts.select("id", F.explode("sigs").alias("sig"))
     shared = kept(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("hub")).where("many > 1"))
-    members = kept(sigs.join(_small(shared, shared.count()), "sig"))
+    n_shared = shared.count()
+    if n_shared > BROADCAST_ROWS:
+        sigs = _likely(firsts.select("id", "sigs"), shared, n_shared)
+    members = kept(sigs.join(_small(shared, n_shared), "sig"))
     under = kept(members.select("id").distinct())
     bits = kept(firsts.select("id", "n", *ODD).join(_small(under, under.count()), "id", "left_semi"))
     # from here on nothing reads the signatures of single sets again: their table goes
@@ -211,23 +250,42 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **sc
     hubs = kept(members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("k")))
     most = hubs.groupBy(F.col("id").alias("a")).agg(F.min(F.struct(-F.col("k"), "hub")).alias("m")).select("a", F.col("m.hub").alias("b"))
     links = kept(texts.linked(kept(near(most)), num, den))
-    comp = kept(connected_components(links, "a", "b"))
+    comp = written(connected_components(links, "a", "b"))             # the last of these is read by the result
     others = _across(hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")), comp)
-    comp = _merged(comp, texts.linked(kept(near(others)), num, den))
-
-    at = _components_of(members, comp)
-    still = kept(at.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig"))
-    opened = kept(at.join(_small(still, still.count()), "sig", "left_semi"))
-    few = opened.where(f"many > 2 and many <= {FEW}").join(bits, "id")
-    x, y = few.alias("x"), few.alias("y")
-    # pairs with the hub were compared above
-    open_pair = ((F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") > F.col("y.id"))
-                 & (F.col("y.id") != F.col("y.hub")) & possible("x", "y", num, den))
-    direct = x.join(y, open_pair).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    crowd = kept(opened.where(f"many > {FEW}").select("id", "c").distinct())
-    rare = rare_pairs(crowd.join(bits, "id"), texts.sets(kept(crowd.select("id").distinct())), num, den)
-    left = kept(_across(direct.unionByName(rare).distinct(), comp))
-    comp = _merged(comp, texts.linked(left, num, den))
+    comp = _merged(comp, kept(texts.linked(kept(near(others)), num, den)))
+
+    # a signature of two sets has had its one comparison
+    crowded = kept(members.where("many > 2"))
+
+    def still_open() -> DataFrame:
+        """Rows of the signatures that hold several components; of signatures with the same members, one."""
+        at = _components_of(crowded, comp)
+        ids = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"h{k}") for k in (0, 1)]           # 128 bits of the members
+        still = at.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), *ids)
+        still = kept(still.where("lo < hi").groupBy("h0", "h1", "n").agg(F.min("sig").alias("sig")).select("sig"))
+        return kept(at.join(_small(still, still.count()), "sig", "left_semi"))
+    opened = still_open()
+    for r in range(ROUNDS):
+        if opened.isEmpty():
+            break
+        one = opened.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), F.col("id").alias("b"), F.col("c").alias("d"))).alias("p"))
+        met = opened.join(one.select("sig", "p.b", "p.d"), "sig").where("c <> d").select(F.col("id").alias("a"), "b").distinct()
+        found = kept(_across(texts.linked(kept(near(met)), num, den), comp))
+        if found.isEmpty():
+            break
+        comp = _merged(comp, found)
+        opened = still_open()
+    if not opened.isEmpty():
+        few = opened.where(f"many <= {FEW}").join(bits, "id")
+        x, y = few.alias("x"), few.alias("y")
+        # pairs with the hub were compared above
+        open_pair = ((F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") > F.col("y.id"))
+                     & (F.col("y.id") != F.col("y.hub")) & possible("x", "y", num, den))
+        direct = x.join(y, open_pair).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        crowd = kept(opened.where(f"many > {FEW}").select("id", "c").distinct())
+        rare = rare_pairs(crowd.join(bits, "id"), texts.sets(kept(crowd.select("id").distinct())), num, den)
+        left = kept(_across(direct.unionByName(rare).distinct(), comp))
+        comp = _merged(comp, kept(texts.linked(left, num, den)))
     for path in tables:
         discard(spark, path)
     texts.drop()

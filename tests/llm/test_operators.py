@@ -439,6 +439,43 @@ def test_components_of_texts_with_one_id(spark, words, num):
     assert sum(i == 1 and t in (b, near) for i, t in kept) == 1 and sum(i == 4 for i, _ in kept) == 1 and len(kept) == 6
 
 
+def test_filter_of_signatures(spark, monkeypatch):
+    """No shared signature is lost, few of the others pass; beyond its bound the filter lets all pass."""
+    rng = np.random.default_rng(3)
+    sigs = rng.integers(-(1 << 63), 1 << 63, (400, 50), dtype=np.int64)
+    df = spark.createDataFrame([(i, [int(v) for v in r]) for i, r in enumerate(sigs)], "id long, sigs array<long>").repartition(3)
+    shared = spark.createDataFrame([(int(v),) for v in sigs[:40].ravel()], "sig long")
+    got_rows = {(r.id, r.sig) for r in ngram_join._likely(df, shared, 2000).collect()}
+    want = {(i, int(v)) for i in range(40) for v in sigs[i]}
+    assert want <= got_rows and len(got_rows - want) < 0.05 * 360 * 50
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 8)
+    assert ngram_join._likely(df, shared, 2000).count() == 20_000
+
+
+def test_components_with_nothing_broadcast(spark, docs, monkeypatch):
+    """Every join a shuffle, signatures through the filter, open pairs by rounds: the same components."""
+    want = component_brute([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None], 3, 90, 100)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    out = ngram_join.components(docs, 3, 90, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None} == want
+
+
+def test_sets_just_under_and_over_the_threshold(spark):
+    """A group whose sets share most shingles, some pairs linked and some not: rounds and pairs find every link."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for j in rng.sample(range(120), rng.choice([1, 2, 3])):
+            w[j] = f"e{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for words, num in ((5, 80), (3, 90)):
+        want = component_brute(rows, words, num, 100)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(df, words, num, 100).collect()} == want
+
+
 def test_many_near_copies_make_few_pairs(spark, monkeypatch):
     """A group of g near copies is joined through hubs: far fewer comparisons than pairs."""
     rng = random.Random(9)
