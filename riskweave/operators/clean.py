@@ -80,13 +80,14 @@ def date_order(df: DataFrame, feed: str | None = None, forms: DateForms = DATE_F
 
 
 def clean_timestamp(df: DataFrame, feed: str | None = None, forms: DateForms = DATE_FORMS,
-                    prefer: str | None = None) -> DataFrame:
+                    prefer: str | None = None, strict: bool = False) -> DataFrame:
     """Timestamp to timestamp_ntz, bad -> null; the row is kept.
 
     ISO texts and forms with one reading are read wherever they stand. Where a
     text could be day first or month first, all texts of that look in a feed
     (a value of column ``feed``; without one, the table) are read the way that
-    reads most of them; what that way can't read is bad. ``prefer`` settles ties."""
+    reads most of them. What that way can't read is a date in the other way only,
+    and is read so; with ``strict`` it is bad. ``prefer`` settles ties."""
     if "timestamp" not in df.columns:
         return df
     if dict(df.dtypes)["timestamp"] == "timestamp_ntz":
@@ -100,8 +101,9 @@ def clean_timestamp(df: DataFrame, feed: str | None = None, forms: DateForms = D
         rows, swap = df.join(swaps, F.col(f"`{feed}`").eqNullSafe(swaps["_feed"]), "left"), F.col("_swap")
     else:
         rows, swap = df, swaps.scalar()
-    two = [F.when(_looks_like(text, a), F.when(swap[f"swap{k}"], _read(text, b)).otherwise(_read(text, a)))
-           for k, (a, b) in enumerate(pairs)]
+    def by(first: str, second: str) -> Column:
+        return _read(text, first) if strict else F.coalesce(_read(text, first), _read(text, second))
+    two = [F.when(_looks_like(text, a), F.when(swap[f"swap{k}"], by(b, a)).otherwise(by(a, b))) for k, (a, b) in enumerate(pairs)]
     read = F.coalesce(F.expr("try_cast(`timestamp` AS timestamp_ntz)"), *two, *[_read(text, f) for f in forms.plain])
     return rows.select(*[read.alias(c) if c == "timestamp" else F.col(f"`{c}`") for c in df.columns])
 
@@ -138,7 +140,8 @@ def fill_defaults(df: DataFrame) -> DataFrame:
     ])
 
 
-def clean(df: DataFrame, feed: str | None = None, forms: DateForms = DATE_FORMS, prefer: str | None = None) -> DataFrame:
-    """C7 = C1..C6; one shuffle (the dedup). ``feed``, ``forms`` and ``prefer`` are clean_timestamp's."""
-    return (df.transform(clean_amount).transform(clean_timestamp, feed, forms, prefer).transform(drop_exact_duplicates)
+def clean(df: DataFrame, feed: str | None = None, forms: DateForms = DATE_FORMS, prefer: str | None = None,
+          strict: bool = False) -> DataFrame:
+    """C7 = C1..C6; one shuffle (the dedup). ``feed``, ``forms``, ``prefer`` and ``strict`` are clean_timestamp's."""
+    return (df.transform(clean_amount).transform(clean_timestamp, feed, forms, prefer, strict).transform(drop_exact_duplicates)
               .transform(require_parties).transform(normalize_country).transform(fill_defaults))

@@ -26,9 +26,11 @@ def test_feeds_of_opposite_order(spark):
 
 
 def test_one_table_reads_one_way(spark):
-    """Without feeds the whole table elects; what the winner can't read is bad, not read the other way."""
-    got = read(spark, [("a", "13/04/2024"), ("a", "25/12/2023"), ("b", "05/04/2024"), ("b", "04/13/2024")])
-    assert got == [dt.datetime(2024, 4, 13), dt.datetime(2023, 12, 25), dt.datetime(2024, 4, 5), None]
+    """Without feeds the whole table elects. What the winner can't read has one reading left, or none with ``strict``."""
+    rows = [("a", "13/04/2024"), ("a", "25/12/2023"), ("b", "05/04/2024"), ("b", "04/13/2024"), ("b", "31/31/2024")]
+    first = [dt.datetime(2024, 4, 13), dt.datetime(2023, 12, 25), dt.datetime(2024, 4, 5)]
+    assert read(spark, rows) == [*first, dt.datetime(2024, 4, 13), None]
+    assert read(spark, rows, strict=True) == [*first, None, None]
 
 
 @pytest.mark.parametrize("prefer, day, month", [(None, 5, 4), ("month", 5, 4), ("day", 4, 5)])

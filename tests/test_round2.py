@@ -41,7 +41,7 @@ def test_autoencoder_trains_on_every_row(monkeypatch):
     seen = []
     real = A.loss_grad
     monkeypatch.setattr(A, "loss_grad", lambda out, x, loss: seen.append(len(x)) or real(out, x, loss))
-    monkeypatch.setattr(A, "forward", lambda p, x, train, cache=None: x)
+    monkeypatch.setattr(A, "forward", lambda p, x, train, cache=None, activation="relu": x)
     monkeypatch.setattr(A, "backward", lambda *a: {})
     cfg = {"batch_size": 128, "noise_std": 0.0, "loss": "mse", "l2_reg": 0.0}
     for n in (1, 128, 129, 257, 300):
