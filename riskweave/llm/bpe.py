@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.pieces import LONG_PIECE, splitter, vocabulary
 
-KEEP = 300_000                       # pieces that a process keeps
+KEEP = 200_000                       # pieces that a process keeps
 AT_ONCE = 2_000_000                  # characters split at a time
 CHUNK = 1 << 19                      # ids in one Arrow batch of results
 PAIRS = 200_000                      # pair checks a process remembers

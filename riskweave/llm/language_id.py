@@ -42,7 +42,7 @@ from riskweave.llm.pieces import vocabulary
 PER_LANGUAGE = 5_000                  # labelled documents of a language in the fit, at most
 BROADCAST_IDS = 500_000               # of sampled ids: above it they are joined by a shuffle
 MARK = "▁"                            # the vocabulary's word start
-KEEP_TOKENS = 200_000                 # tokens whose scores a process keeps
+KEEP_TOKENS = 120_000                 # tokens whose scores a process keeps
 RESCALE = 8                           # letters between two rescalings of a forward column
 AT_ONCE = 250_000                     # letters in the lattice at a time, one word at least
 CHUNK = 1 << 20                       # characters of text scored at a time, one text at least

@@ -42,7 +42,9 @@ from riskweave.llm.shingles import set_digest, shingle_set
 from riskweave.operators.components import connected_components
 
 FEW = 512                                # sets under a signature that are paired directly
-ROUNDS = 4                               # of comparisons with one more member, while they find links
+BROADCAST_SETS = 400_000                 # sizes and odd bits in a broadcast: 35 MB and their table
+BROADCAST_WIDE = 60_000                  # wide odd bits in a broadcast: 32 MB
+ROUNDS = 2                               # of comparisons with one more member, while they find links
 FILTER_BITS = 1 << 30                    # of a filter of signatures: 128 MB, at most
 BROADCAST_ROWS = 1_000_000               # longs in a broadcast: 16 MB and their table
 
@@ -62,6 +64,15 @@ def odd_bits(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+WIDE = 64                                # longs of the odd bits that are compared before whole sets are
+
+
+def wide_bits(s: np.ndarray) -> np.ndarray:
+    """As ``odd_bits`` with 4096 bits: nearly the number of elements in which two sets differ, and never more."""
+    odd = (np.bincount((s >> np.uint64(52)).astype(np.int64), minlength=64 * WIDE) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def sets(docs: DataFrame, words: int, scheme: PartEnum) -> DataFrame:
     """(doc_id, t, n_shingles, d1, d2, p0..p7, sigs): hash of the text as it is, set size, 128-bit digest, odd
     bits and PartEnum signatures."""
@@ -90,15 +101,16 @@ def sets(docs: DataFrame, words: int, scheme: PartEnum) -> DataFrame:
 
 
 def hashes(docs: DataFrame, words: int) -> DataFrame:
-    """(id, d1, s): the sorted shingle hashes of each text and half of their digest."""
+    """(id, d1, s, w): the sorted shingle hashes of each text, half of their digest and their wide odd bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, text in zip(b.column(0), b.column(1)):
                 s = shingle_set((text.as_py() or "").encode("utf-8", "surrogatepass"), words).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array([0, len(s)], type=pa.int32()), pa.array(s))
                 d1 = pa.array([set_digest(s.view(np.uint64))[0]], type=pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], type=pa.int64()), d1, lists], names=["id", "d1", "s"])
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(run, "id bigint, d1 bigint, s array<bigint>")
+                w = pa.ListArray.from_arrays(pa.array([0, WIDE], type=pa.int32()), pa.array(wide_bits(s.view(np.uint64))))
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], type=pa.int64()), d1, lists, w], names=["id", "d1", "s", "w"])
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(run, "id bigint, d1 bigint, s array<bigint>, w array<bigint>")
 
 
 def possible(x: str, y: str, num: int, den: int) -> Column:
@@ -125,15 +137,31 @@ class Texts:
             made = hashes(texts, self.words)
             if self.apart:
                 made = made.withColumn("id", F.struct(F.col("id").alias("rep"), "d1")).join(_small(new, n), "id", "left_semi")
-            made = made.groupBy("id").agg(F.first("s").alias("s"))          # a repeated row once
+            made = made.groupBy("id").agg(F.first("s").alias("s"), F.first("w").alias("w"))          # a repeated row once
             self.paths.append(scratch_path(self.docs.sparkSession))
             made = written(made, self.paths[-1])
             self.held = made if self.held is None else self.held.unionByName(made)
         return self.held.join(_small(ids, ids.count()), "id", "left_semi")
 
+    def of_pairs(self, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """(id, s, w) of the ids in ``pairs`` (a, b, ...), and how many."""
+        ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        return self.sets(ids), ids.count()
+
+    def likely(self, pairs: DataFrame, num: int, den: int) -> DataFrame:
+        """Those of the written ``pairs`` that wide odd bits let pass, with the bits that ``differ``."""
+        s, n = self.of_pairs(pairs)
+        bits = s.select("id", F.size("s").cast("bigint").alias("n"), "w")
+        bits = F.broadcast(bits) if n <= BROADCAST_WIDE else bits
+        x, y = bits.alias("x"), bits.alias("y")
+        at = pairs.alias("p").join(x, F.col("p.a") == F.col("x.id")).join(y, F.col("p.b") == F.col("y.id"))
+        differ = F.aggregate(F.zip_with("x.w", "y.w", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, k: t + k)
+        at = at.select("p.*", differ.alias("differ"), (F.col("x.n") + F.col("y.n")).alias("_n"))
+        return at.where(F.col("differ") * (den + num) <= F.col("_n") * (den - num)).drop("_n")
+
     def linked(self, pairs: DataFrame, num: int, den: int) -> DataFrame:
         """Those of ``pairs`` (a, b, ...), a written table, whose sets reach the threshold, compared exactly."""
-        s = self.sets(written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
+        s, _ = self.of_pairs(pairs)
         at = (pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
                    .join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
         both = F.size(F.array_intersect("sa", "sb")).cast("bigint")
@@ -233,7 +261,9 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **sc
         sigs = _likely(firsts.select("id", "sigs"), shared, n_shared)
     members = kept(sigs.join(_small(shared, n_shared), "sig"))
     under = kept(members.select("id").distinct())
-    bits = kept(firsts.select("id", "n", *ODD).join(_small(under, under.count()), "id", "left_semi"))
+    n_under = under.count()
+    bits = kept(firsts.select("id", "n", *ODD).join(_small(under, n_under), "id", "left_semi"))
+    held = F.broadcast(bits) if n_under <= BROADCAST_SETS else bits
     # from here on nothing reads the signatures of single sets again: their table goes
     rows = written(rows.select("doc_id", "t", "n_shingles", F.col("id").alias("node"), "rep"))
     alone = written(all_sets.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select(
@@ -243,16 +273,26 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **sc
     texts = Texts(docs, words, apart)
 
     def near(pairs: DataFrame) -> DataFrame:
-        x, y = bits.alias("x"), bits.alias("y")
+        x, y = held.alias("x"), held.alias("y")
         return (pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
                      .where(possible("x", "y", num, den)).select(*pairs.columns))
 
+    def settled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """``comp`` with the links among the written ``pairs`` (a, b, ca, cb): of two components the pair that differs
+        least comes first, and only what that leaves apart is compared further."""
+        likely = kept(texts.likely(pairs, num, den))
+        best = likely.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(
+            F.min(F.struct("differ", "a", "b")).alias("m")).select("m.a", "m.b", "ca", "cb")
+        comp = _merged(comp, kept(texts.linked(kept(best), num, den)))
+        rest = kept(_across(likely.select("a", "b"), comp).join(best.select("a", "b"), ["a", "b"], "left_anti"))
+        return _merged(comp, kept(texts.linked(rest, num, den)))
+
     hubs = kept(members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("k")))
     most = hubs.groupBy(F.col("id").alias("a")).agg(F.min(F.struct(-F.col("k"), "hub")).alias("m")).select("a", F.col("m.hub").alias("b"))
-    links = kept(texts.linked(kept(near(most)), num, den))
+    links = kept(texts.linked(kept(texts.likely(kept(near(most)), num, den)), num, den).select("a", "b"))
     comp = written(connected_components(links, "a", "b"))             # the last of these is read by the result
     others = _across(hubs.select(F.col("id").alias("a"), F.col("hub").alias("b")), comp)
-    comp = _merged(comp, kept(texts.linked(kept(near(others)), num, den)))
+    comp = settled(kept(near(others)), comp)
 
     # a signature of two sets has had its one comparison
     crowded = kept(members.where("many > 2"))
@@ -270,22 +310,22 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **sc
             break
         one = opened.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), F.col("id").alias("b"), F.col("c").alias("d"))).alias("p"))
         met = opened.join(one.select("sig", "p.b", "p.d"), "sig").where("c <> d").select(F.col("id").alias("a"), "b").distinct()
-        found = kept(_across(texts.linked(kept(near(met)), num, den), comp))
+        found = kept(_across(near(met), comp))
         if found.isEmpty():
             break
-        comp = _merged(comp, found)
+        comp = settled(found, comp)
         opened = still_open()
     if not opened.isEmpty():
-        few = opened.where(f"many <= {FEW}").join(bits, "id")
+        few = opened.where(f"many <= {FEW}").join(held, "id")
         x, y = few.alias("x"), few.alias("y")
         # pairs with the hub were compared above
         open_pair = ((F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") > F.col("y.id"))
                      & (F.col("y.id") != F.col("y.hub")) & possible("x", "y", num, den))
         direct = x.join(y, open_pair).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
         crowd = kept(opened.where(f"many > {FEW}").select("id", "c").distinct())
-        rare = rare_pairs(crowd.join(bits, "id"), texts.sets(kept(crowd.select("id").distinct())), num, den)
+        rare = rare_pairs(crowd.join(held, "id"), texts.sets(kept(crowd.select("id").distinct())), num, den)
         left = kept(_across(direct.unionByName(rare).distinct(), comp))
-        comp = _merged(comp, kept(texts.linked(left, num, den)))
+        comp = settled(left, comp)
     for path in tables:
         discard(spark, path)
     texts.drop()
