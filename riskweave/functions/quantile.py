@@ -121,18 +121,16 @@ def _ranked(table: DataFrame, brackets: list[Bracket]) -> list[dict[int, float]]
     out: list[dict[int, float]] = [{} for _ in brackets]
     if not asked:
         return out
-    at = F.lit(False)
-    for k, p in {a[:2] for a in asked}:
-        at = at | ((F.col("k") == k) & (F.col("_p") == p))
+    # a row per rank, joined: as a condition they would be more code than Spark can compile
+    spark = table.sparkSession
+    want = spark.createDataFrame([(i, k, p, place) for i, (k, p, place, _) in enumerate(asked)], "_i int, k int, _p int, _place long")
+    parts_asked = F.broadcast(want.select("k", "_p").distinct())
     order = Window.partitionBy("k", "_p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    found = ranged.where(at).withColumn("_end", F.sum("n").over(order))
-    hit = F.lit(False)
-    for k, p, place, _ in asked:
-        hit = hit | ((F.col("k") == k) & (F.col("_p") == p) & (F.col("_end") > place) & (F.col("_end") - F.col("n") <= place))
-    for r in found.where(hit).collect():                                       # a row per rank at most
-        for k, p, place, w in asked:
-            if (k, p) == (r["k"], r["_p"]) and r["_end"] - r["n"] <= place < r["_end"]:
-                out[k][w - brackets[k].below] = r["v"]
+    found = ranged.join(parts_asked, ["k", "_p"]).withColumn("_end", F.sum("n").over(order))
+    hit = found.join(F.broadcast(want), ["k", "_p"]).where((F.col("_end") > F.col("_place")) & (F.col("_end") - F.col("n") <= F.col("_place")))
+    for r in hit.select("_i", "v").collect():                                  # a row per rank
+        k, _, _, w = asked[r["_i"]]
+        out[k][w - brackets[k].below] = r["v"]
     return out
 
 
