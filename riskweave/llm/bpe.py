@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import ahocorasick
@@ -247,37 +247,40 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFr
     return docs.select("doc_id", run("text").alias("ids"))
 
 
-def encode_checked(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """(doc_id, source, n_tokens, ids, exact): ``exact`` tells whether the ids decode to
+def encode_checked(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, n_tokens, ids, exact, keep...): ``exact`` tells whether the ids decode to
     the text's bytes. A task holds about CHUNK ids at a time, one text's at least.
 
     A null or empty text has no ids; null doc_ids and sources stay null; repeated rows and ties
     give a row each; an empty table gives an empty result; other columns are not read."""
-    names = ["doc_id", "source", "n_tokens", "ids", "exact"]
+    names = ["doc_id", "source", "n_tokens", "ids", "exact", *keep]
 
-    def table(out) -> pa.RecordBatch:
+    def table(out, types: list[pa.DataType]) -> pa.RecordBatch:
         ids = np.concatenate([o[2] for o in out])
         ends = np.concatenate([[0], np.cumsum([len(o[2]) for o in out])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, type=pa.int32()))
         return pa.RecordBatch.from_arrays(
             [pa.array([o[0] for o in out], type=pa.int64()), pa.array([o[1] for o in out], type=pa.string()),
-             pa.array(np.diff(ends), type=pa.int64()), lists, pa.array([o[3] for o in out], type=pa.bool_())], names=names)
+             pa.array(np.diff(ends), type=pa.int64()), lists, pa.array([o[3] for o in out], type=pa.bool_()),
+             *[pa.array([o[4 + k] for o in out], type=t) for k, t in enumerate(types)]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size, e = [], 0, encoder(vocabulary)
+        out, size, types, e = [], 0, [], encoder(vocabulary)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, source, text, ids in zip(b.column(0), b.column(2), texts, e.encode(texts)):
+            texts, types = b.column(1).to_pylist(), b.schema.types[3:]
+            for i, source, text, ids, *more in zip(b.column(0), b.column(2), texts, e.encode(texts), *b.columns[3:]):
                 exact = e.bpe.decode(ids.tolist()) == (text or "").encode("utf-8", "surrogatepass")
-                out.append((i.as_py(), source.as_py(), ids, exact))
+                out.append((i.as_py(), source.as_py(), ids, exact, *[m.as_py() for m in more]))
                 size += len(ids)
                 if size >= CHUNK:
-                    yield table(out)
+                    yield table(out, types)
                     out, size = [], 0
         if out:
-            yield table(out)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
-    return rows.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, ids array<int>, exact boolean")
+            yield table(out, types)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("source").cast("string").alias("source"),
+                       *[F.col(f"`{c}`") for c in keep])
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
+    return rows.mapInArrow(run, f"doc_id bigint, source string, n_tokens bigint, ids array<int>, exact boolean{kept}")
 
 
 def decode(rows: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
