@@ -1,7 +1,9 @@
 """Many files, few layouts. S2: workbooks opened once and streamed."""
 
+import io
 import os
 import tracemalloc
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +132,22 @@ def test_rows_of_a_large_sheet_are_streamed():
         assert seen == n + 1
         return most
     assert peak(100_000) < 2 * peak(20_000) + (1 << 20)
+
+
+def test_a_sheet_is_read_without_a_tree(monkeypatch):
+    """Only the small parts become element trees; cells are read as before, whatever their place, type and nesting."""
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    cells = ['<x:c r="B1" t="s"><x:v>0</x:v></x:c><x:c t="inlineStr"><x:is><x:r><x:t>a &amp; </x:t></x:r><x:r><x:t>b</x:t></x:r></x:is></x:c>',
+             '<x:c r="AA2"><x:f>1+1</x:f><x:v>2</x:v><x:v>9</x:v></x:c><x:c r="A2" t="b"><x:v>1</x:v></x:c><x:c r="B2"><x:v/></x:c>',
+             "", '<x:c r="A4" t="str"><x:v> té </x:v><x:ext><x:v>no</x:v><x:c r="C4"><x:v>no</x:v></x:c></x:ext></x:c><x:c r="B4" t="inlineStr"/>']
+    sheet = f'<x:worksheet xmlns:x="{ns}"><x:sheetData>' + "".join(f"<x:row>{c}</x:row>" for c in cells) + "</x:sheetData></x:worksheet>"
+    data = io.BytesIO(workbook(["head"], []))
+    out = io.BytesIO()
+    with zipfile.ZipFile(data) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            new.writestr(name, sheet if name.endswith("sheet1.xml") else old.read(name))
+    plain, parts = R.ET.iterparse, []
+    monkeypatch.setattr(R.ET, "iterparse", lambda f, events: parts.append(f.name) or plain(f, events=events))
+    got = list(R.sheet_rows(out.getvalue()))
+    assert got == [[None, "a & b"], ["True", *[None] * 25, "2"], [], [" té ", ""]]
+    assert parts == ["xl/sharedStrings.xml"]
