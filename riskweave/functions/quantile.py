@@ -3,8 +3,9 @@
 1. One pass takes a mergeable sketch (KLL) of every column and the counts. With
    many partitions the sketches are merged in two levels, so no task takes one
    from every partition. The sketch gives a bracket of values for each rank.
-2. One pass counts the rows below each bracket and adds up equal values inside
-   it, map side first, so a value that a third of the rows share is one row.
+2. One pass counts the rows below each bracket and at its ends, and adds up equal
+   values between them, map side first. A bracket of one value (a flag, a small
+   count) has only its counts: no row is made for it.
 3. The values inside are few (the brackets' width is a share of the rows that
    the sketch bounds): they come to the driver where their bound is at most
    ``gather``. Where it isn't, they are written, range-partitioned by bracket
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -56,8 +58,13 @@ class Bracket:
     high: float
     below: int = 0
 
-    def holds(self, x: Column) -> Column:
-        return x.between(F.lit(self.low), F.lit(self.high))
+    @property
+    def wide(self) -> bool:
+        """Whether values can lie between its ends."""
+        return self.low < self.high
+
+    def inside(self, x: Column) -> Column:
+        return (x > F.lit(self.low)) & (x < F.lit(self.high))
 
 
 def _sketches(df: DataFrame, m: int) -> DataFrame:
@@ -74,25 +81,36 @@ def _sketches(df: DataFrame, m: int) -> DataFrame:
                      *[F.kll_merge_agg_double(F.when(F.col(f"n{j}") > 0, F.col(f"s{j}"))).alias(f"s{j}") for j in range(m)])
 
 
-def _counted(df: DataFrame, brackets: list[Bracket], n_rows: int, direct: bool) -> list | DataFrame:
-    """Rows (k, v, n): how often each value inside bracket k occurs; sets the brackets' ``below``.
-    Collected where ``direct``, else a written table."""
-    sums = [F.count(F.when(F.col(f"_{b.column}") < F.lit(b.low), 1)).alias(f"b{k}") for k, b in enumerate(brackets)]
-    seen = Observation()
-    inside = [F.when(b.holds(F.col(f"_{b.column}")), F.struct(F.lit(k).alias("k"), F.col(f"_{b.column}").alias("v")))
-              for k, b in enumerate(brackets)]
-    rows = df.observe(seen, F.count(F.lit(1)).alias("n"), *sums)
-    rows = rows.select(F.explode(F.array_compact(F.array(*inside))).alias("_x")).select("_x.k", "_x.v")
-    rows = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    out = rows.collect() if direct else cut_lineage(rows)
-    empty = not out if direct else out.isEmpty()
-    # a plan without result rows drops what was observed; tasks that ran again after a loss are observed twice
-    below = seen.get if not empty else {}
-    if below.get("n") != n_rows:
-        below = df.agg(*sums).first().asDict()
-    for k, b in enumerate(brackets):
-        b.below = below[f"b{k}"]
-    return out
+def _counted(df: DataFrame, brackets: list[Bracket], n_rows: int, direct: bool) -> tuple[list | DataFrame | None, list[tuple]]:
+    """Rows (k, v, n): how often each value between the ends of bracket k occurs, and the same of the ends themselves;
+    sets the brackets' ``below``. The first are collected where ``direct``, else a written table; None if no bracket is wide."""
+    names: dict[tuple, str] = {}                              # (column, end, how) -> name of a count
+
+    def asked(column: int, end: float, how: str) -> str:
+        return names.setdefault((column, end, how), f"c{len(names)}")
+    counts = [(asked(b.column, b.low, "below"), asked(b.column, b.low, "at"), asked(b.column, b.high, "at")) for b in brackets]
+    sums = [F.count(F.when(F.col(f"_{j}") < F.lit(v) if how == "below" else F.col(f"_{j}") == F.lit(v), 1)).alias(name)
+            for (j, v, how), name in names.items()]
+    wide = [F.when(b.inside(F.col(f"_{b.column}")), F.struct(F.lit(k).alias("k"), F.col(f"_{b.column}").alias("v")))
+            for k, b in enumerate(brackets) if b.wide]
+    out, got = None, {}
+    if wide:
+        seen = Observation()
+        rows = df.observe(seen, F.count(F.lit(1)).alias("n"), *sums)
+        rows = rows.select(F.explode(F.array_compact(F.array(*wide))).alias("_x")).select("_x.k", "_x.v")
+        rows = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+        out = rows.collect() if direct else cut_lineage(rows)
+        empty = not out if direct else out.isEmpty()
+        # a plan without result rows drops what was observed; tasks that ran again after a loss are observed twice
+        got = seen.get if not empty else {}
+    if got.get("n") != n_rows:
+        got = df.agg(*sums).first().asDict()
+    ends = []
+    for k, (b, (below, low, high)) in enumerate(zip(brackets, counts)):
+        b.below = got[below]
+        at = {b.low + 0.0: got[low], b.high + 0.0: got[high]}         # no negative zero
+        ends += [(k, v, n) for v, n in at.items() if n]
+    return out, ends
 
 
 def _pick(rows: list[tuple[float, int]], want: list[int]) -> dict[int, float]:
@@ -107,8 +125,10 @@ def _pick(rows: list[tuple[float, int]], want: list[int]) -> dict[int, float]:
     return out
 
 
-def _ranked(table: DataFrame, brackets: list[Bracket]) -> list[dict[int, float]]:
-    """As ``_pick`` for each bracket, without bringing its values to the driver."""
+def _ranked(table: DataFrame, ends: list[tuple], brackets: list[Bracket]) -> list[dict[int, float]]:
+    """As ``_pick`` for each bracket, without bringing the values between its ends to the driver."""
+    if ends:
+        table = table.unionByName(table.sparkSession.createDataFrame(ends, "k int, v double, n long"))
     parts = max(1, -(-table.count() // RANGE_ROWS))
     ranged = cut_lineage(table.repartitionByRange(parts, "k", "v").withColumn("_p", F.spark_partition_id()))
     sums = ranged.groupBy("k", "_p").agg(F.sum("n").alias("n")).collect()      # at most partitions + brackets rows
@@ -157,7 +177,7 @@ def exact_quantiles(df: DataFrame, cols, qs, *, bracket_limit: int = BRACKET_LIM
         counts.update({c: stats[f"n{j}"] for j, c in enumerate(cols)})
         counts["__rows__"] = stats["_rows"]
 
-    brackets: list[Bracket] = []
+    asked: dict[tuple, set[int]] = {}             # (column, low, high) -> ranks
     values: dict[tuple[int, int], float] = {}
     for j in range(len(cols)):
         n = stats[f"n{j}"]
@@ -168,19 +188,20 @@ def exact_quantiles(df: DataFrame, cols, qs, *, bracket_limit: int = BRACKET_LIM
             # the outer brackets are open, whatever the sketch kept
             low = -math.inf if few or q <= error else at[q - error]
             high = math.inf if few or q >= 1 - error else at[q + error]
-            brackets.append(Bracket(j, tuple(sorted({math.floor(pos), math.ceil(pos)})), low, high))
-    bound = sum(4 * error * stats[f"n{b.column}"] + 8 for b in brackets)
+            asked.setdefault((j, low, high), set()).update((math.floor(pos), math.ceil(pos)))
+    brackets = [Bracket(j, tuple(sorted(ranks)), low, high) for (j, low, high), ranks in asked.items()]
+    bound = sum(4 * error * stats[f"n{b.column}"] + 8 for b in brackets if b.wide)
     tries = 0
     while brackets:
         direct = bound <= bracket_limit
-        rows = _counted(narrow, brackets, stats["_rows"], direct)
-        if direct:
+        rows, ends = _counted(narrow, brackets, stats["_rows"], direct)
+        if direct or rows is None:
             held: list[list[tuple[float, int]]] = [[] for _ in brackets]
-            for r in rows:
-                held[r["k"]].append((r["v"], r["n"]))
+            for k, v, n in chain(rows or [], ends):
+                held[k].append((v, n))
             picked = [_pick(h, [w - b.below for w in b.ranks]) for h, b in zip(held, brackets)]
         else:
-            picked = _ranked(rows, brackets)
+            picked = _ranked(rows, ends, brackets)
         wider: list[Bracket] = []
         for b, got in zip(brackets, picked):
             for w in b.ranks:

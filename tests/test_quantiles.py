@@ -113,3 +113,23 @@ def test_ranks_of_many_columns_are_joined(spark, capfd):
     for j in range(64):
         assert np.allclose(got[f"c{j}"], np.quantile(x[:, j], [0.25, 0.5, 0.75]), rtol=1e-12)
     assert "grows beyond 64 KB" not in capfd.readouterr().err
+
+
+def test_brackets_of_one_value_make_no_rows(spark, monkeypatch):
+    """Flags and small counts are counted where they lie: nothing is written, none of their values is made a row."""
+    n = 6000
+    df = spark.range(n).select((F.col("id") % 3 == 0).cast("double").alias("flag"), (F.col("id") % 7).cast("double").alias("count"),
+                               F.lit(-0.0).alias("zero"))
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: pytest.fail("a table was written"))
+    got = Q.exact_quantiles(df, ["flag", "count", "zero"], [0.25, 0.5, 0.75], bracket_limit=0)
+    assert got == {"flag": [0, 0, 1], "count": [1, 3, 5], "zero": [0, 0, 0]}
+    assert math.copysign(1, got["zero"][0]) == 1
+
+
+def test_ends_of_a_bracket_count_with_what_lies_between(spark):
+    """Ranks at a bracket's ends and between them, on both paths."""
+    v = np.repeat([1.0, 2.0, 3.0, 4.0], [1000, 3, 4, 1000])
+    for limit in (Q.BRACKET_LIMIT, 0):
+        qs = [0.25, 1000 / 2006, 1003 / 2006, 1006 / 2006, 1007 / 2006, 0.75]
+        got = Q.exact_quantiles(frame(spark, {"v": v}), "v", qs, bracket_limit=limit, error=0.01)["v"]
+        assert np.allclose(got, np.quantile(v, qs))
