@@ -344,10 +344,9 @@ def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.0) ->
 
 
 def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``keep_identified``'s rows with the language found and its posterior as ``lang_pred`` and ``lang_score`` (in
-    place of columns of these names); ``und`` and 0 where there was nothing to learn from."""
-    cols = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "text")
-    found = predict(row, model, "_row")
-    found = found if model is None else found.where(F.col("lang_pred") != "und")
-    return found.select("_row.*", "lang_pred", F.col("score").alias("lang_score"))
+    """``keep_identified``'s rows with the language found as their ``lang``; ``docs`` where there was nothing to learn from."""
+    if model is None:
+        return docs
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    found = predict(row, model, "_row").where(F.col("lang_pred") != "und")
+    return found.select(*[F.col("lang_pred" if c == "lang" else f"_row.`{c}`").alias(c) for c in docs.columns])
