@@ -330,7 +330,8 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
             found = s[:, -1] > 0
             yield pd.DataFrame({"lang_pred": names[np.where(found, best, len(m.languages))],
                                 "score": np.where(found, p, 0.0)})
-    return docs.select(*keep_cols, run("text").alias("_r")).select(*keep_cols, "_r.*")
+    # so marked, it stays in its place: a filter on what it finds would score every text once more
+    return docs.select(*keep_cols, run.asNondeterministic()("text").alias("_r")).select(*keep_cols, "_r.*")
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.0) -> DataFrame:

@@ -655,6 +655,16 @@ def test_keep_identified_drops_only_texts_without_a_language(spark):
     assert language_id.keep_identified(docs, None).count() == 8
 
 
+def test_a_language_is_found_once_for_each_text(spark):
+    rows = [(i, t, g) for i, (t, g) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("12", "en")])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(docs)
+    for found in (language_id.with_language(docs, model), language_id.keep_identified(docs, model)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        assert sorted(map(tuple, found.collect())) == rows[:2]
+
+
 # ---- toxicity
 def test_toxicity_finds_the_sentence(spark):
     rng = random.Random(2)
