@@ -127,10 +127,10 @@ class Texts:
     def __init__(self, docs: DataFrame, words: int, apart: bool):
         self.docs, self.words, self.apart, self.paths, self.held = docs, words, apart, [], None
 
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, s) of the written, distinct ``ids``."""
+    def sets(self, ids: DataFrame, n_ids: int) -> DataFrame:
+        """(id, s, w) of the ``n_ids`` written, distinct ``ids``."""
         new = ids if self.held is None else written(ids.join(self.held.select("id"), "id", "left_anti"))
-        n = new.count()
+        n = n_ids if self.held is None else new.count()
         if n or self.held is None:
             numbers = new.select(F.col("id.rep").alias("doc_id")).distinct() if self.apart else new.select(F.col("id").alias("doc_id"))
             texts = self.docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(_small(numbers, n), "doc_id", "left_semi")
@@ -141,16 +141,22 @@ class Texts:
             self.paths.append(scratch_path(self.docs.sparkSession))
             made = written(made, self.paths[-1])
             self.held = made if self.held is None else self.held.unionByName(made)
-        return self.held.join(_small(ids, ids.count()), "id", "left_semi")
+        return self.made_before(ids, n_ids)
 
-    def of_pairs(self, pairs: DataFrame) -> tuple[DataFrame, int]:
-        """(id, s, w) of the ids in ``pairs`` (a, b, ...), and how many."""
+    def made_before(self, ids: DataFrame, n_ids: int) -> DataFrame:
+        """As ``sets``, of ids whose sets were made already."""
+        return self.held.join(_small(ids, n_ids), "id", "left_semi")
+
+    @staticmethod
+    def ids_of(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The distinct ids in ``pairs`` (a, b, ...), written, and how many."""
         ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-        return self.sets(ids), ids.count()
+        return ids, ids.count()
 
     def likely(self, pairs: DataFrame, num: int, den: int) -> DataFrame:
         """Those of the written ``pairs`` that wide odd bits let pass, with the bits that ``differ``."""
-        s, n = self.of_pairs(pairs)
+        ids, n = self.ids_of(pairs)
+        s = self.sets(ids, n)
         bits = s.select("id", F.size("s").cast("bigint").alias("n"), "w")
         bits = F.broadcast(bits) if n <= BROADCAST_WIDE else bits
         x, y = bits.alias("x"), bits.alias("y")
@@ -160,8 +166,9 @@ class Texts:
         return at.where(F.col("differ") * (den + num) <= F.col("_n") * (den - num)).drop("_n")
 
     def linked(self, pairs: DataFrame, num: int, den: int) -> DataFrame:
-        """Those of ``pairs`` (a, b, ...), a written table, whose sets reach the threshold, compared exactly."""
-        s, _ = self.of_pairs(pairs)
+        """Those of ``pairs`` (a, b, ...), a written table of pairs that ``likely`` let pass, whose sets reach the
+        threshold, compared exactly."""
+        s = self.made_before(*self.ids_of(pairs))
         at = (pairs.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
                    .join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
         both = F.size(F.array_intersect("sa", "sb")).cast("bigint")
@@ -279,13 +286,17 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **sc
 
     def settled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """``comp`` with the links among the written ``pairs`` (a, b, ca, cb): of two components the pair that differs
-        least comes first, and only what that leaves apart is compared further."""
+        least comes first, and only what that leaves apart is compared further. Without a link it is ``comp`` itself."""
+        if pairs.isEmpty():
+            return comp
         likely = kept(texts.likely(pairs, num, den))
+        if likely.isEmpty():
+            return comp
         best = likely.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(
             F.min(F.struct("differ", "a", "b")).alias("m")).select("m.a", "m.b", "ca", "cb")
         comp = _merged(comp, kept(texts.linked(kept(best), num, den)))
         rest = kept(_across(likely.select("a", "b"), comp).join(best.select("a", "b"), ["a", "b"], "left_anti"))
-        return _merged(comp, kept(texts.linked(rest, num, den)))
+        return comp if rest.isEmpty() else _merged(comp, kept(texts.linked(rest, num, den)))
 
     hubs = kept(members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("k")))
     most = hubs.groupBy(F.col("id").alias("a")).agg(F.min(F.struct(-F.col("k"), "hub")).alias("m")).select("a", F.col("m.hub").alias("b"))
@@ -313,8 +324,9 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **sc
         found = kept(_across(near(met), comp))
         if found.isEmpty():
             break
-        comp = settled(found, comp)
-        opened = still_open()
+        before, comp = comp, settled(found, comp)
+        if comp is not before:
+            opened = still_open()
     if not opened.isEmpty():
         few = opened.where(f"many <= {FEW}").join(held, "id")
         x, y = few.alias("x"), few.alias("y")
@@ -323,8 +335,10 @@ def classes(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, **sc
                      & (F.col("y.id") != F.col("y.hub")) & possible("x", "y", num, den))
         direct = x.join(y, open_pair).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
         crowd = kept(opened.where(f"many > {FEW}").select("id", "c").distinct())
-        rare = rare_pairs(crowd.join(held, "id"), texts.sets(kept(crowd.select("id").distinct())), num, den)
-        left = kept(_across(direct.unionByName(rare).distinct(), comp))
+        if not crowd.isEmpty():
+            ids = kept(crowd.select("id").distinct())
+            direct = direct.unionByName(rare_pairs(crowd.join(held, "id"), texts.sets(ids, ids.count()), num, den)).distinct()
+        left = kept(_across(direct, comp))
         comp = settled(left, comp)
     for path in tables:
         discard(spark, path)

@@ -496,6 +496,18 @@ def test_many_near_copies_make_few_pairs(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(compared) < 3 * 300
 
 
+def test_sets_of_likely_pairs_are_not_looked_for_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k"), (3, "a b c u v w x y z")],
+                                 "doc_id bigint, text string")
+    texts_ = ngram_join.Texts(docs, 3, False)
+    pairs = ngram_join.written(spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint"))
+    likely = ngram_join.written(texts_.likely(pairs, 80, 100))
+    tables, write = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda *a: tables.append(write(*a)) or tables[-1])
+    assert [(r.a, r.b) for r in texts_.linked(likely, 80, 100).collect()] == [(1, 2)]
+    assert len(tables) == 1                     # the ids; none of them lacks its set
+
+
 def test_components_of_no_rows(spark):
     assert ngram_join.components(empty(spark)).count() == 0
     assert ngram_join.first_of_each(empty(spark)).columns == SCHEMA.replace(",", "").split()[::2]
